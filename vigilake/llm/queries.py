@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import simhash_dedup
+from vigilake.llm import language_id, packing, secret_scan, simhash_dedup
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_language_id": op6_language_id,
+        "op10_packing": op10_packing,
     }
 
 

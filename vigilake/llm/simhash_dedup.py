@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.components import connected_components
@@ -302,3 +302,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
     by_fp = reps.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+
+    Of rows that repeat the kept id, the one with the smallest text stays.  Rows with a null id can't be named
+    as copies and all stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    once = named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    return once.unionByName(docs.filter(F.col(id_col).isNull()))
