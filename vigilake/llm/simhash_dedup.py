@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vigilake.llm.components import connected_components
 from vigilake.llm.scratch import Scratch
-from vigilake.llm.votes import hex16, majority, vote_sums
+from vigilake.llm.votes import hex16, longs, majority, vote_sums
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -268,7 +268,7 @@ def _midpoint_links(hot: DataFrame, radius: int) -> DataFrame:
     """
     flips = [0] + [sum(1 << b for b in c) for k in range(1, radius // 2 + 1) for c in combinations(range(64), k)]
     flips = [x - (1 << 64) if x >> 63 else x for x in flips]
-    at = hot.select("fp", "rep", F.explode(F.lit(flips)).alias("x")).select("rep", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"))
+    at = hot.select("fp", "rep", F.explode(longs(flips)).alias("x")).select("rep", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"))
     least = at.groupBy("mid").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c").select("mid", "b")
     return at.join(least, "mid").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linkable = reps.filter("rep is not null")
     n = linkable.count()
     masks, _ = plan_masks(linkable.select("fp"), n, radius, run_limit)
-    keys = F.transform(F.lit(masks), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
+    keys = F.transform(longs(masks), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
     keyed = linkable.select(F.explode(keys).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
     found = scratch.save(keyed.mapInArrow(run_links(radius, run_limit), "a long, b long, hot boolean"))
     links = found.filter("not hot").select("a", "b")

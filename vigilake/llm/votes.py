@@ -28,6 +28,11 @@ def majority(total: Column) -> Column:
     return word
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array of longs."""
+    return F.array(*[F.lit(x).cast("long") for x in values])
+
+
 def hex16(word: Column) -> Column:
     """16 lower-case hex digits of a long, as unsigned."""
     return F.lower(F.lpad(F.hex(word), 16, "0"))
