@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vigilake.llm.scratch import Scratch
 
 END_ID = 1
-_CACHE = 400_000  # entries of a worker's memo of words, emptied when full
+_CACHE = 1_000_000  # entries of a worker's memo of words (under 200 MB), emptied when full
 
 
 class WordCodec:
@@ -42,7 +42,9 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.model = self.tokenizer.model
         # the tokenizer's own split, inside a word
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -57,7 +59,7 @@ class WordCodec:
             if len(self.parts) >= _CACHE:
                 self.parts.clear()
             raw = part if part.isascii() else "".join(map(self.byte_char.__getitem__, part.encode()))
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+            got = self.parts[part] = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(raw)])
         return got
 
     def _whole(self, text: str) -> bytes:
@@ -65,8 +67,14 @@ class WordCodec:
 
     def _word(self, word: str) -> bytes:
         # Latin letters without combining marks: composed already, and lower case is character by character
-        if max(word) < "ɐ" and "İ" not in word and not any(s in word for s in self.special):
-            got = b"".join(map(self._part, self.pieces.findall(word.lower())))
+        if word.isascii() or (max(word) < "ɐ" and "İ" not in word):
+            low = word.lower()
+            if low.isalpha():
+                got = self._part(low)
+            elif low[:-1].isalpha() and low[-1] in ".,;:!?":  # letters, then one mark
+                got = self._part(low[:-1]) + self._part(low[-1])
+            else:
+                got = self._whole(word) if self.special.search(word) else b"".join(map(self._part, self.pieces.findall(low)))
         else:
             got = self._whole(word)
         if len(self.words) >= _CACHE:
