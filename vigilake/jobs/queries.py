@@ -408,7 +408,7 @@ def w5_admission(spark, sf_dir):
     return evaluate(_events(spark, sf_dir), category("recon") + category("shadow_it") + _day_rates()).select("event_id", "action")
 
 
-@_query(f"WITH {EV}, n AS (SELECT * FROM ev ORDER BY us DESC, event_id DESC LIMIT 500) SELECT event_id FROM n WHERE us >= (SELECT max(us) FROM n) - 3600 * 1000000")
+@_query(f"WITH {EV}, n AS (SELECT * FROM ev ORDER BY us DESC, event_id DESC LIMIT 500) SELECT event_id FROM n WHERE us >= (SELECT max(us) FROM n) - 3600000000")
 def w6_retain(spark, sf_dir):
     return rates.retain_history(_events(spark, sf_dir), 3600, 500).select("event_id")
 
