@@ -306,7 +306,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000)
     return predict(docs.select(id_col, "text", held_out(id_col).alias("held_out")), model, [id_col, "held_out"])
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", least: float = 0.3) -> DataFrame:
     """``docs`` without rows that have no language: no letter, or none that holds at least ``least`` of the letters."""
     model = learn(docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()))
     names = ("__lang_pred", "__score", "__n_spans")
