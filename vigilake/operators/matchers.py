@@ -131,11 +131,9 @@ def _parity_condition(text: str, named: dict[str, Column]) -> Column:
             return (get(a) & get(b)) if op == "and" else (get(a) | get(b))
     if "(" in text and ")" in text:
         start, stop = text.index("("), text.rindex(")")
-        if stop < start or text.count("(") != text.count(")"):
+        if stop < start:
             raise AlwaysFails(text)
         group, head, tail = text[start + 1 : stop], text[:start].strip(), text[stop + 1 :].strip()
-        if ")" in group and group.index(")") < group.find("(", group.index(")")):
-            raise AlwaysFails(text)
         inner = _parity_condition(group, named) if group.strip() else _all(list(named.values()))
         joined = re.fullmatch(r"(.*?)\s*(and|or)", head, re.S)
         if joined:

@@ -28,7 +28,8 @@ class _TrailingCount(StatefulProcessor):
         self.window_us, self.ttl_ms = window_us, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "us long", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.times = handle.getListState("times", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         new = pd.concat(list(rows)).sort_values(["us", "event_id"])
@@ -38,13 +39,21 @@ class _TrailingCount(StatefulProcessor):
             held.append(int(us))
             # events may come late: count what is not newer than this one
             out.append((event, sum(us - self.window_us < t <= us for t in held)))
-        mark = timers.getCurrentWatermarkInMs() * 1000
-        kept = [(t,) for t in held if t > min(mark, int(new["us"].max())) - self.window_us]
+        newest = int(new["us"].max())
+        self._keep(held, min(timers.getCurrentWatermarkInMs() * 1000, newest))
+        self.handle.registerTimer(newest // 1000 + self.ttl_ms)  # idle keys are looked at again and forgotten
+        yield pd.DataFrame({"event_id": [e for e, _ in out], "cnt": [int(n) for _, n in out]}).assign(key="\x1f".join(map(str, key)))[["key", "event_id", "cnt"]]
+
+    def _keep(self, held: list[int], mark: int) -> None:
+        kept = [(t,) for t in held if t > mark - self.window_us]
         if kept:
             self.times.put(kept)
         else:
             self.times.clear()
-        yield pd.DataFrame({"event_id": [e for e, _ in out], "cnt": [int(n) for _, n in out]}).assign(key="\x1f".join(map(str, key)))[["key", "event_id", "cnt"]]
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self._keep([r[0] for r in self.times.get()], timers.getCurrentWatermarkInMs() * 1000)
+        return iter([])
 
     def close(self) -> None:
         pass
