@@ -99,7 +99,11 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
     plain = [(i, e) for i, e in ordered if e.type != "sql"]
     rated = [(i, e) for i, e in ordered if e.type == "sql"]
     df = prepare(events)
-    df = df.withColumn("results", F.array_compact(F.array(*[evaluate_one(e, i, mode) for i, e in plain])) if plain else F.array().cast(f"array<{RESULT}>"))
+    if plain:
+        # exploding an array of one keeps later filters from being pushed into, and so copying, the rules' expressions
+        df = df.withColumn("results", F.explode(F.array(F.array_compact(F.array(*[evaluate_one(e, i, mode) for i, e in plain])))))
+    else:
+        df = df.withColumn("results", F.array().cast(f"array<{RESULT}>"))
     df = df.withColumns(aggregate_results(F.col("results")))
     for i, e in rated:
         enters = F.col("stage").isin(*e.stages) & ~F.exists("results", lambda r: r["action"] == "block")
