@@ -252,7 +252,7 @@ def _encode(path: str):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        for batch in batches:
+        for batch in _slices(batches, 3):
             out = []
             for r in batch.to_pylist():
                 if r["word"] < 0:
@@ -262,7 +262,7 @@ def _encode(path: str):
                 entry = None if r["first"] else codec.states(r["text"], r["cut"])[r["entry"]]
                 pieces = codec.trace(r["text"], r["cut"], r["stop"], entry, exits[r["leave"]])
                 out.append([i for p in pieces for i in codec.ids(p)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["row", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), _lists(out)], names=["row", "k", "ids"])
 
     return go
 
@@ -281,19 +281,37 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     parts = chunks.filter("word >= 0")
     solved = parts.mapInArrow(_transfer(model_path), "row long, word int, k int, matrix array<string>").groupBy("row", "word").applyInPandas(_solve, "row long, k int, entry int, leave int")
     ready = chunks.join(solved, ["row", "k"], "left")
+    ready = ready.select("row", "k", "word", "text", "cut", "stop", "inner", "first", "last", "entry", "leave")
     coded = ready.mapInArrow(_encode(model_path), "row long, k int, ids array<int>")
     joined = coded.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("c")).select("row", F.flatten(F.transform("c", lambda x: x["ids"])).alias("ids"), F.size("c").alias("n_chunks"))
     big = rows.filter(giant).select("row", "id").join(joined, "row").select("id", "ids", "n_chunks")
     return whole.unionByName(big).withColumnRenamed("id", id_col)
 
 
+def _lists(each: list[list[int]]) -> pa.Array:
+    sizes = np.fromiter(map(len, each), "i8", len(each))
+    flat = np.concatenate([np.empty(0, "i4"), *(np.array(x, "i4") for x in each)])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("i4")), pa.array(flat))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes of text or one row: ids of a large batch, as Python numbers, take far more room."""
+    for batch in batches:
+        ends = np.cumsum(np.diff(np.frombuffer(batch.column(text_at).buffers()[1], "i4")[batch.column(text_at).offset :][: batch.num_rows + 1]))
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most)))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _encode_small(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = codec.sp.encode(texts, num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(np.ones(len(ids), "i4"))], names=["id", "ids", "n_chunks"])
+        for batch in _slices(batches, 1):
+            ids = codec.sp.encode(batch.column(1).to_pylist(), num_threads=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), pa.array(np.ones(len(ids), "i4"))], names=["id", "ids", "n_chunks"])
 
     return go
 
