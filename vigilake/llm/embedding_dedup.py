@@ -233,21 +233,27 @@ def range_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: int, thr
         who[act] = np.take_along_axis(all_who, keep, 1)
         done[act] = np.take_along_axis(all_done, keep, 1)
     # range expansion: neighbours of what is within the range, until no new one is
-    inside = np.zeros((nq, n), bool)
+    inside, tested = np.zeros((nq, n), bool), np.zeros((nq, n), bool)
     qi, hit = np.nonzero(best >= threshold)
     qi, xi = qi, who[qi, hit]
+    tested[qi, xi] = True
     while len(qi):
         inside[qi, xi] = True
-        nb = near[xi]
-        r, c = np.nonzero(nb >= 0)
-        pairs = np.unique(qi[r].astype("i8") * n + nb[r, c])
-        a, b = pairs // n, pairs % n
-        new = ~inside[a, b]
-        a, b = a[new], b[new]
-        ok = np.empty(len(a), bool)
-        for i in range(0, len(a), 200_000):
-            ok[i : i + 200_000] = np.einsum("ij,ij->i", q[a[i : i + 200_000]], x[b[i : i + 200_000]]) >= threshold
-        qi, xi = a[ok], b[ok]
+        next_q, next_x = [], []
+        for i in range(0, len(qi), 10_000):  # neighbours of so many at once
+            nb = near[xi[i : i + 10_000]]
+            r, c = np.nonzero(nb >= 0)
+            pairs = np.unique(qi[i : i + 10_000][r].astype("i8") * n + nb[r, c])
+            a, b = pairs // n, pairs % n
+            new = ~tested[a, b]
+            a, b = a[new], b[new]
+            tested[a, b] = True
+            for k in range(0, len(a), 100_000):
+                u, v = a[k : k + 100_000], b[k : k + 100_000]
+                ok = np.einsum("ij,ij->i", q[u], x[v]) >= threshold
+                next_q.append(u[ok])
+                next_x.append(v[ok])
+        qi, xi = (np.concatenate(next_q), np.concatenate(next_x)) if next_q else (np.empty(0, "i8"), np.empty(0, "i8"))
     return [np.flatnonzero(row) for row in inside]
 
 
@@ -267,7 +273,8 @@ def _search(cfg: Settings):
             near[i, : len(a)] = a
         x, q = _unit(v), _unit(w)
         start = int((x @ x.mean(0)).argmax())
-        found = range_search(x.astype("f4"), near, q.astype("f4"), start, cfg.threshold - 1e-5, cfg.beam)
+        x4, q4 = x.astype("f4"), q.astype("f4")
+        found = [hits for i in range(0, len(q), 128) for hits in range_search(x4, near, q4[i : i + 128], start, cfg.threshold - 1e-5, cfg.beam)]
         cluster = int(rows["cluster"].iloc[0])
         homes_x, homes_q = [set(c) for c in data["clusters"]], [set(c) for c in asks["clusters"]]
         counts, links = [], []
