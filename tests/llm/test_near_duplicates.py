@@ -134,6 +134,28 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_embeddings_of_a_large_group(spark):
+    g = np.random.default_rng(5)
+    x = np.concatenate([g.normal(size=32) + g.normal(scale=0.07, size=(1000, 32)), g.normal(size=(2000, 32))])
+    x = x[g.permutation(len(x))].astype("f4").astype("f8")
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    assert want.max() > 900
+    nodes = embedding_dedup.distinct_vectors(df, "vec_id", "embedding", "label")
+    for cfg, graph, least in [(embedding_dedup.Settings(shard_rows=100), True, 0.98), (embedding_dedup.Settings(shard_rows=100, reach=float("inf")), False, 1.0)]:
+        placed = embedding_dedup.place(nodes, cfg).cache()
+        found = embedding_dedup.search_graph(placed, embedding_dedup.build_graph(placed, cfg) if graph else None, cfg)
+        got = {r.a: r.n for r in found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+        assert all(got.get(i, 0) <= want[i] for i in range(len(x)))
+        assert sum(got.values()) >= least * want.sum()
+        assert np.mean([got.get(i, 0) / want[i] for i in np.flatnonzero(want)]) >= least
+    # one vector's lost links count, however few they are
+    lost = int(np.flatnonzero(want)[0])
+    some = spark.createDataFrame([(int(i), None, int(want[i])) for i in np.flatnonzero(want) if i != lost], "a long, b long, n long")
+    assert embedding_dedup.audit(nodes, some, embedding_dedup.Settings(audit_rows=3000)) <= 1 - 1 / (want > 0).sum() + 1e-9
+
+
 def test_fingerprints_of_edits(spark):
     docs = [(i, t) for i, t in enumerate(texts(40))] + [(3, "again"), (None, "no id")]
     got = fingerprints.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string"), query_every=2).collect()

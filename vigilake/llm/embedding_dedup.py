@@ -2,14 +2,16 @@
 
 1. Equal vectors of a label are one node that stands for all of them.
 2. Centroids, fitted per large label on a bounded sample, cut each label into clusters; each vector joins its
-   ``overlap`` nearest ones.  A cluster of more than ``shard_rows`` vectors is cut by a hash into pieces.
+   ``overlap`` nearest ones and those whose border is within its ``reach``.  Clusters whose centroids are within the
+   threshold of each other are one.  A cluster of more than ``shard_rows`` vectors is cut by a hash into pieces.
 3. Build: each shard's vectors get neighbour lists by robust pruning (a neighbour is dropped if a kept one is
    closer to it, by a factor alpha, than the vector is).  A vector's lists of all its shards are united.
 4. Search: each vector asks in its shards, greedily from the shard's medoid with a beam; whatever it meets
    within the range is expanded until nothing new is within the range.
 5. Found pairs are verified by cosine in double precision; each pair counts in one shard only.
-6. Audit: a bounded set of vectors is compared with all rows.  If recall is below the target, the search is run again
-   with a wider beam, more overlap and longer lists.
+6. Audit: a bounded set of vectors is compared with all rows.  If recall, by link or by vector, is below the target,
+   the search is run again with a wider beam, more overlap, more reach and longer lists; after the third time
+   without the graph: each vector is put wherever a link of it may lie, and shards are compared pair by pair.
 
 Shards are bounded, so a task's memory is; links leave a task as counts and a spanning forest, not as pairs.
 """
@@ -32,11 +34,16 @@ from vigilake.llm.simhash_dedup import _forest
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds what centroids are fitted on, ``centroids`` their number, ``audit_rows`` the audit."""
+    """``sample_rows`` bounds what centroids are fitted on, ``centroids`` their number, ``audit_rows`` the audit.
+
+    ``reach``: how far across a border links are looked for, in standard deviations of the step that the longest
+    link takes towards the border if its direction is by chance; infinite: as far as any link goes.
+    """
 
     threshold: float = 0.98
     shard_rows: int = 800
     overlap: int = 2
+    reach: float = 2.0
     degree: int = 24
     alpha: float = 1.2
     beam: int = 24
@@ -67,8 +74,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def merged(c: np.ndarray, threshold: float) -> np.ndarray:
+    """Numbers of clusters: centroids that a chain of steps within the threshold connects have one number."""
+    number = np.arange(len(c))
+    for i in range(0, len(c), 256):
+        for a, b in zip(*np.nonzero(c[i : i + 256] @ c.T >= threshold), strict=True):
+            x, y = number[i + a], number[b]
+            if x != y:
+                number[number == max(x, y)] = min(x, y)
+    return number
+
+
+def near_clusters(x: np.ndarray, c: np.ndarray, number: np.ndarray, overlap: int, reach: float, threshold: float) -> list[list[int]]:
+    """For each unit vector, the clusters of its ``overlap`` nearest centroids and of those within its reach.
+
+    A link of angle t crosses the border of x's nearest centroid m and centroid c only if x (m - c) <= sin(t) |m - c|.
+    """
+    step = np.sqrt(max(0.0, 1 - threshold**2)) * min(1.0, reach / np.sqrt(x.shape[1])) if threshold > 0 else np.inf
+    out = []
+    for i in range(0, len(x), 256):
+        cos = x[i : i + 256] @ c.T
+        order = np.argsort(-cos, axis=1, kind="stable")[:, :overlap]
+        first = order[:, 0]
+        gap = np.sqrt(np.maximum(2 - 2 * (c[first] @ c.T), 0))
+        put = np.take_along_axis(cos, first[:, None], 1) - cos <= np.where(gap > 0, step * gap, 0) + 1e-9
+        np.put_along_axis(put, order, True, 1)
+        out += [np.unique(number[row]).tolist() for row in put]
+    return out
+
+
 def fit_centroids(nodes: DataFrame, cfg: Settings) -> dict:
-    """label -> unit centroids, for labels of more than ``shard_rows`` vectors, from at most about ``sample_rows`` rows.
+    """label -> (unit centroids, numbers of their clusters), for labels of more than ``shard_rows`` vectors, from at most about ``sample_rows`` rows.
 
     Vectors of one label may differ in length; only those of the label's most frequent length get centroids.
     """
@@ -95,12 +131,12 @@ def fit_centroids(nodes: DataFrame, cfg: Settings) -> dict:
             np.add.at(sums, near, x)
             held = np.linalg.norm(sums, axis=1) > 1e-9
             c[held] = sums[held] / np.linalg.norm(sums[held], axis=1, keepdims=True)
-        out[label] = c
+        out[label] = c, merged(c, cfg.threshold)
     return out
 
 
-def _assign(sent, overlap: int):
-    """mapInArrow: (label, v, ...) -> with ``clusters``, the numbers of the nearest centroids."""
+def _assign(sent, cfg: Settings):
+    """mapInArrow: (label, v, ...) -> with ``clusters``, the numbers of the nearest clusters."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = sent.value
@@ -113,12 +149,11 @@ def _assign(sent, overlap: int):
                     rows.setdefault(label, []).append(i)
             flat, at = vectors.flatten().to_numpy(), np.r_[0, np.cumsum(vectors.value_lengths().to_numpy())]
             for label, mine in rows.items():
-                c = centroids[label]
+                c, number = centroids[label]
                 mine = [i for i in mine if at[i + 1] - at[i] == c.shape[1]]
                 if mine:
                     x = _unit(np.stack([flat[at[i] : at[i + 1]] for i in mine]))
-                    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
-                    for i, cs in zip(mine, near.tolist(), strict=True):
+                    for i, cs in zip(mine, near_clusters(x, c, number, cfg.overlap, cfg.reach, cfg.threshold), strict=True):
                         out[i] = cs
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "clusters"])
 
@@ -129,7 +164,7 @@ def place(nodes: DataFrame, cfg: Settings) -> DataFrame:
     """(rep, label, v, n, clusters, cluster, pieces): a row per vector and cluster; ``pieces``: parts the cluster is cut into."""
     sent = nodes.sparkSession.sparkContext.broadcast(fit_centroids(nodes, cfg))
     kind = nodes.schema["label"].dataType.simpleString()
-    put = nodes.mapInArrow(_assign(sent, cfg.overlap), f"rep long, label {kind}, v array<double>, n long, clusters array<int>")
+    put = nodes.mapInArrow(_assign(sent, cfg), f"rep long, label {kind}, v array<double>, n long, clusters array<int>")
     rows = put.withColumn("cluster", F.explode("clusters"))
     sizes = rows.groupBy("label", "cluster").agg(F.ceil(F.count("*") / (2 * cfg.shard_rows)).cast("int").alias("pieces"))
     return rows.join(sizes, ["label", "cluster"])
@@ -257,7 +292,12 @@ def range_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: int, thr
     return [np.flatnonzero(row) for row in inside]
 
 
-def _search(cfg: Settings):
+def every_pair(x: np.ndarray, q: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """For each unit query, all rows of ``x`` within the range."""
+    return [np.flatnonzero(row) for row in q @ x.T >= threshold]
+
+
+def _search(cfg: Settings, exact: bool):
     """applyInPandas on (piece of the data, piece of the queries) of one cluster: counts and a forest of the links."""
 
     def one(rows: pd.DataFrame) -> tuple[list, list]:
@@ -266,15 +306,18 @@ def _search(cfg: Settings):
             return [], []
         v, w = np.stack(data["v"]), np.stack(asks["v"])
         reps, n = data["rep"].to_numpy(), data["n"].to_numpy()
-        place_of = {r: i for i, r in enumerate(reps.tolist())}
-        lists = [[place_of[y] for y in near if y in place_of] for near in data["near"]]
-        near = np.full((len(reps), max(1, max(map(len, lists)))), -1, "i4")
-        for i, a in enumerate(lists):
-            near[i, : len(a)] = a
         x, q = _unit(v), _unit(w)
-        start = int((x @ x.mean(0)).argmax())
         x4, q4 = x.astype("f4"), q.astype("f4")
-        found = [hits for i in range(0, len(q), 128) for hits in range_search(x4, near, q4[i : i + 128], start, cfg.threshold - 1e-5, cfg.beam)]
+        if exact:
+            found = [hits for i in range(0, len(q), 128) for hits in every_pair(x4, q4[i : i + 128], cfg.threshold - 1e-5)]
+        else:
+            place_of = {r: i for i, r in enumerate(reps.tolist())}
+            lists = [[place_of[y] for y in near if y in place_of] for near in data["near"]]
+            near = np.full((len(reps), max(1, max(map(len, lists)))), -1, "i4")
+            for i, a in enumerate(lists):
+                near[i, : len(a)] = a
+            start = int((x @ x.mean(0)).argmax())
+            found = [hits for i in range(0, len(q), 128) for hits in range_search(x4, near, q4[i : i + 128], start, cfg.threshold - 1e-5, cfg.beam)]
         cluster = int(rows["cluster"].iloc[0])
         homes_x, homes_q = [set(c) for c in data["clusters"]], [set(c) for c in asks["clusters"]]
         counts, links = [], []
@@ -301,14 +344,18 @@ def _search(cfg: Settings):
     return go
 
 
-def search_graph(placed: DataFrame, graph: DataFrame, cfg: Settings) -> DataFrame:
-    """(a, b, n): rows with null b say that ``a`` links to n rows (of other vectors); the others are links."""
+def search_graph(placed: DataFrame, graph: DataFrame | None, cfg: Settings) -> DataFrame:
+    """(a, b, n): rows with null b say that ``a`` links to n rows (of other vectors); the others are links.
+
+    Without a graph, all pairs of a shard are compared.
+    """
     piece = F.pmod(F.xxhash64("rep"), F.col("pieces"))
     each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     cols = ["label", "cluster", "rep", "v", "n", "clusters"]
-    stored = placed.join(graph, "rep").select(*cols, "near", F.lit(True).alias("stored"), piece.cast("int").alias("x"), each.alias("q"))
+    data = placed.withColumn("near", F.lit(None).cast("array<long>")) if graph is None else placed.join(graph, "rep")
+    stored = data.select(*cols, "near", F.lit(True).alias("stored"), piece.cast("int").alias("x"), each.alias("q"))
     asks = placed.select(*cols, F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("stored"), each.alias("x"), piece.cast("int").alias("q"))
-    return stored.unionByName(asks).groupBy("label", "cluster", "x", "q").applyInPandas(_search(cfg), "a long, b long, n long")
+    return stored.unionByName(asks).groupBy("label", "cluster", "x", "q").applyInPandas(_search(cfg, graph is None), "a long, b long, n long")
 
 
 # --- audit and result --------------------------------------------------------------------------------------
@@ -339,12 +386,17 @@ def _exact_counts(sent, threshold: float):
 
 
 def audit(nodes: DataFrame, found: DataFrame, cfg: Settings) -> float:
-    """Found links of the audited vectors, as a share of those that comparing them with all rows gives."""
+    """Found links of the audited vectors, as a share of those that comparing them with all rows gives.
+
+    The lesser of the share of all their links and the mean share of those vectors that have links.
+    """
     asked = nodes.orderBy(F.xxhash64("rep", F.lit(cfg.seed + 1)), "rep").limit(cfg.audit_rows).select("rep", "label", "v").collect()
     sent = nodes.sparkSession.sparkContext.broadcast([(r["rep"], r["label"], np.array(r["v"])) for r in asked])
-    true = nodes.mapInArrow(_exact_counts(sent, cfg.threshold), "a long, n long").agg(F.sum("n")).first()[0] or 0
-    got = found.filter(F.col("b").isNull() & F.col("a").isin([r["rep"] for r in asked])).agg(F.sum("n")).first()[0] or 0
-    return got / true if true else 1.0
+    true = nodes.mapInArrow(_exact_counts(sent, cfg.threshold), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 0")
+    got = found.filter(F.col("b").isNull() & F.col("a").isin([r["rep"] for r in asked])).groupBy("a").agg(F.sum("n").alias("got"))
+    share = F.coalesce("got", F.lit(0)) / F.col("n")
+    r = true.join(got, "a", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("links"), F.avg(share).alias("vectors")).first()
+    return 1.0 if r["links"] is None else min(r["links"], r["vectors"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cfg: Settings | None = None) -> DataFrame:
@@ -357,14 +409,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cfg = cfg or Settings()
     scratch = Scratch(vectors.sparkSession, "embeddings")
     nodes = scratch.save(distinct_vectors(vectors, id_col, vec_col, label_col))
-    for attempt in range(3):
+    for attempt in range(4):
         placed = scratch.save(place(nodes, cfg))
-        found = scratch.save(search_graph(placed, build_graph(placed, cfg), cfg))
+        found = scratch.save(search_graph(placed, build_graph(placed, cfg) if attempt < 3 else None, cfg))
         recall = audit(nodes, found, cfg)
         scratch.drop(placed)
-        if recall >= cfg.least_recall or attempt == 2:
+        if recall >= cfg.least_recall:
             break
-        cfg = replace(cfg, overlap=cfg.overlap + 1, beam=cfg.beam * 2, degree=cfg.degree * 3 // 2)
+        cfg = replace(cfg, overlap=cfg.overlap + 1, reach=cfg.reach * 2 if attempt < 2 else float("inf"), beam=cfg.beam * 2, degree=cfg.degree * 3 // 2)
+    else:
+        raise RuntimeError(f"audited recall {recall} after comparing all pairs")
     parts = connected_components(found.filter("b is not null").select("a", "b"), scratch).select(F.col("node").alias("rep"), "component")
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     known = nodes.join(parts, "rep", "left").join(counts, "rep", "left").select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
