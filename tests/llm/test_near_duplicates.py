@@ -63,6 +63,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
+def test_pipeline_drops_what_is_similar(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(4), []
+    for k in range(15):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(6):
+            near = [w if rng.random() > rng.choice([0.0, 0.01, 0.03, 0.06]) else f"x{rng.randrange(5000)}" for w in base]
+            rows.append((len(rows), " ".join(near)))
+    rows += [(len(rows), "a b c"), (len(rows) + 1, "A  b c"), (len(rows) + 2, ""), (len(rows) + 3, None), (0, "one id of two texts"), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOW))
+        return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    named = [(i, shingles(t)) for i, t in rows if i is not None]
+    links = [(i, j) for i, x in named for j, y in named if i < j and (x == y or (x | y and len(x & y) / len(x | y) >= 0.8))]
+    want = groups({i for i, _ in named}, links)
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i in want if want[i] == i)
+    assert len({i for i in want if want[i] == i}) < len(named) - 20 and sum(r.doc_id is None for r in kept) == 1
+
+
 def test_ids_that_repeat_or_are_null(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "x y z u v"), (3, "x y z u v"), (9, "a b c d e"), (None, "a b c d e"), (None, "q q")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in simhash_dedup.near_duplicates(df).collect() if r.component_id is not None) == [(-1, 3), (3, 3), (5, 3), (5, 3), (9, 3)]

@@ -304,13 +304,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
+    With ``similarity``, near-duplicates are those of ``set_dedup``: shingle sets of at least that Jaccard similarity.
+
     Of rows that repeat the kept id, the one with the smallest text stays.  Rows with a null id can't be named
     as copies and all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    if similarity is None:
+        groups = near_duplicates(docs, id_col, text_col, shingle)
+    else:
+        from vigilake.llm import set_dedup  # it needs this module's words
+
+        groups = set_dedup.near_duplicates(docs, id_col, text_col, shingle, similarity)
+    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
     first = Window.partitionBy(id_col).orderBy(text_col)
     once = named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
