@@ -41,3 +41,21 @@ def test_entry_module(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["event_id", "action", "reasons", "n_results"]
+
+
+def test_hot_sessions_are_detected(spark, tmp_path):
+    """Events of one session within a minute: the flagship and its like count them, and so does their SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    n = 240
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta([i * 200 for i in range(n)], unit="ms")
+    rows = pd.DataFrame({"event_id": range(n), "ts": ts.astype("datetime64[us]"), "user_id": 1, "event_type": ["click", "error"] * (n // 2), "value": 1.0, "props": '{"k": 1}'})
+    rows.to_parquet(tmp_path / "events.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ["a1_decisions_whole", "s8_audit_whole"]:
+        df = jobs.queries()[name](spark, str(tmp_path))
+        got = sorted((r.event_id, r.action, r.reasons, r.n_results) for r in df.collect())
+        assert got == sorted(con.execute(f"SELECT event_id, action, reasons, n_results FROM ({jobs.oracle_sql()[name]})").fetchall())
+        assert sum("tool call rate" in r[2] for r in got) > 20 and any(r[1] == "detect" and r[2].startswith("Unusually") for r in got)

@@ -470,6 +470,47 @@ _SQL["detect_resource_abuse"] = f"""WITH {EV}, adm AS (SELECT event_id, {_traili
 SELECT ev.event_id, CASE WHEN a > 50 OR b > 20 THEN 'detect' ELSE 'allow' END AS action, CASE WHEN a > 50 THEN 'Unusually high tool call rate (>50/min)' WHEN b > 20 THEN 'Same tool called >20 times in 5 minutes' ELSE '' END AS reasons FROM ev LEFT JOIN adm USING (event_id)"""
 
 
+# --- the whole pack, rate rules included ---------------------------------------------------------------------
+
+_WHOLE = f"""WITH {oracle.pack_sql()}, adm AS (SELECT event_id, {_trailing_sql('session_id', 60)} AS a, CASE WHEN tool_name IS NULL THEN 0 ELSE {_trailing_sql('session_id, tool_name', 300)} END AS b FROM decided WHERE action <> 'block' AND stage <> 'message.before'),
+hits AS (SELECT d.*, adm.event_id IS NOT NULL AS entered, CASE WHEN a > 50 THEN 'Unusually high tool call rate (>50/min)' WHEN b > 20 THEN 'Same tool called >20 times in 5 minutes' END AS hit FROM decided d LEFT JOIN adm USING (event_id)),
+whole AS (SELECT * REPLACE (CASE WHEN hit IS NOT NULL AND action = 'allow' THEN 'detect' ELSE action END AS action, concat_ws('; ', NULLIF(reasons, ''), hit) AS reasons, n_results + entered::INT AS n_results) FROM hits)"""
+
+
+@_query(f"{_WHOLE} SELECT event_id, action, reasons, n_results FROM whole")
+def a1_decisions_whole(spark, sf_dir):
+    d = scans.decide(_events(spark, sf_dir))
+    return d.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), F.size("results").alias("n_results"))
+
+
+@_query(f"{_WHOLE} SELECT stage, action, count(*) AS n FROM whole GROUP BY 1, 2")
+def a7_summary_whole(spark, sf_dir):
+    return scans.decide(_events(spark, sf_dir)).groupBy("stage", "action").agg(F.count("*").alias("n"))
+
+
+@_query(f"{_WHOLE} SELECT event_id, action, n_results, reasons FROM whole")
+def s8_audit_whole(spark, sf_dir):
+    decided = scans.decide(_events(spark, sf_dir))
+    record = F.from_json("value", "action string, reasons array<string>, evaluator_results array<struct<evaluator:string>>, timestamp double, session_id string")
+    lines = outputs.audit_records(decided.withColumn("session_id", F.col("event_id").cast("string"))).select(record.alias("r"))
+    return lines.select(F.col("r.session_id").cast("long").alias("event_id"), "r.action", F.size("r.evaluator_results").alias("n_results"), F.array_join("r.reasons", "; ").alias("reasons"))
+
+
+@_query(f"{_WHOLE} SELECT session_id, stage, tool_name, action, n_results AS evaluator_count, reasons FROM whole WHERE action IN ('block', 'redact')")
+def s9_alerts_whole(spark, sf_dir):
+    return outputs.alert_feed(scans.decide(_events(spark, sf_dir))).select("session_id", "stage", "tool_name", "action", "evaluator_count", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_query(f"WITH {EV}, n AS (SELECT * FROM ev ORDER BY us DESC, event_id DESC LIMIT 10000) SELECT event_id FROM n WHERE us >= (SELECT max(us) FROM n) - 3600000000")
+def w6_retain_whole(spark, sf_dir):
+    return rates.retain_history(_events(spark, sf_dir)).select("event_id")
+
+
+@_query(f"WITH {EV} SELECT event_id, tool_name, tool_name IS NULL AS no_args, left('\"' || replace(tool_result, '\"', '\\\"') || '\"', 4096) AS tool_result FROM ev")
+def w7_history_whole(spark, sf_dir):
+    return rates.history_rows(_events(spark, sf_dir)).select("event_id", "tool_name", F.col("tool_args").isNull().alias("no_args"), "tool_result")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
