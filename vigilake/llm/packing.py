@@ -5,8 +5,9 @@
 2. Deal the pieces out by row number to partitions of bounded size; pack each by best-fit decreasing.
 3. Dual-feasible functions give a lower bound on each partition's number of sequences.  Sequences of a
    partition that meets its bound stay, all but its emptiest one; a partition with a gap gives up its emptier
-   sequences too.  What was given up is exchanged: dealt out anew to fewer partitions, and packed again, until one
-   partition is left or nothing improves.
+   sequences too, up to 1 / ``shrink`` of its pieces.  What was given up is exchanged: dealt out anew to fewer
+   partitions, and packed again, until one partition is left.  So rounds end: each has at most 1 / ``shrink`` of the
+   pieces of the one before.
 
 Only rows of a few numbers move; no text is shuffled.
 """
@@ -58,7 +59,7 @@ class WordCodec:
         if got is None:
             if len(self.parts) >= _CACHE:
                 self.parts.clear()
-            raw = part if part.isascii() else "".join(map(self.byte_char.__getitem__, part.encode()))
+            raw = part if part.isascii() and part.isprintable() else "".join(map(self.byte_char.__getitem__, part.encode()))
             got = self.parts[part] = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(raw)])
         return got
 
@@ -164,7 +165,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _pack(capacity: int, round_: int, last: bool):
+def _pack(capacity: int, round_: int, last: bool, shrink: int):
     """applyInPandas on one partition: packs it, and marks the sequences that it gives up for exchange."""
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,8 +176,10 @@ def _pack(capacity: int, round_: int, last: bool):
         gap = n - lower_bound(lengths, capacity)
         emptiest = np.argsort(filled, kind="stable")
         spare = np.cumsum(capacity - filled[emptiest])
-        # enough room for the gap, and the emptiest sequence in any case
+        # enough room for the gap, and the emptiest sequence in any case, but no more pieces than may go on
         give = 0 if last else min(n, 1 + (int(np.searchsorted(spare, gap * capacity)) + 8 * gap if gap else 0))
+        held = np.cumsum(np.bincount(bins, minlength=n)[emptiest])
+        give = min(give, int(np.searchsorted(held, len(lengths) // shrink, "right")))
         given = np.zeros(n, bool)
         given[emptiest[:give]] = filled[emptiest[:give]] < capacity
         part = int(pdf["part"].iloc[0])
@@ -219,15 +222,12 @@ def packed_pieces(pieces: DataFrame, scratch: Scratch, capacity: int, rows_per_p
             break
         last = parts == 1
         dealt = todo.withColumn("part", _dealt(parts, F.concat_ws("-", "row", F.lit(round_))))
-        done = scratch.save(dealt.groupBy("part").applyInPandas(_pack(capacity, round_, last), schema))
+        done = scratch.save(dealt.groupBy("part").applyInPandas(_pack(capacity, round_, last, shrink), schema))
         kept.append(done.filter("not given").drop("given", "part"))
         if last:
             break
         todo = done.filter("given").drop("given", "part", "seq", "offset")
-        before, rows = rows, todo.count()
-        if rows * shrink > before:  # too little was certified: what is left goes through as it is
-            kept.append(done.filter("given").drop("given", "part"))
-            break
+        rows = todo.count()
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
