@@ -160,11 +160,12 @@ def test_legacy_records(spark, tmp_path):
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>menu</a></ul></nav><!-- ad --><div class="ad">buy</div><article><h1>A &amp; B</h1><p><b>x<br><p>y&nbsp; z</p><form>no</form><p>q</article><footer>foot</footer>'
 
 
-def test_main_text():
-    assert html_extract.main_text(PAGE, frozenset()) == "A & B x y z q"
-    assert html_extract.main_text("", frozenset()) == "" and html_extract.main_text("just text &lt;b", frozenset()) == "just text <b"
-    assert html_extract.main_text('<main><p>a<p>b</main><section id="comments"><p>c', frozenset()) == "a b"
-    assert html_extract.main_text("<article>cut <p>off <scr", frozenset()) == "cut off"
+def test_main_text(spark):
+    """Pages that are their host's only ones: marks decide, through the tree."""
+    pages = {PAGE: "A & B x y z q", "": "", "just text &lt;b": "just text <b", '<main><p>a<p>b</main><section id="comments"><p>c': "a b", "<article>cut <p>off <scr": "cut off"}
+    rows = [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
 
 
 def test_style_trees(spark):

@@ -265,16 +265,16 @@ def _importance(counts: DataFrame, keys: list[str]) -> DataFrame:
         *[(F.sum(F.when(kind == "node", F.col(c))) / F.sum(is_node)).alias(c) for c in ("share", "prior", "mark", "heading")],
         F.sum(F.when(kind == "shown", df)).alias("lists"),
         F.sum(F.when(kind == "shown", df * F.log(df))).alias("h"),
+        F.sum(F.when(kind == "text", F.col("length"))).alias("length"),
+        F.sum(F.when(kind == "text", F.col("length") * F.log(df))).alias("said"),
     )
     # entropy of the lists of children, as a share of what it is if every page has its own
     varied = F.coalesce(F.when(F.col("lists") > 1, 1 - F.col("h") / F.col("lists") / F.log("lists")), F.lit(0.0))
-    nodes = sums.select(*keys, "node", "n", "up", "ups", "share", "prior", "mark", "heading", varied.alias("varied"))
     # entropy of texts over the pages that have the node, weighted by length; then summed up the branches
-    texts = counts.filter(kind == "text").select(*keys, "node", "df", "length").join(nodes.select(*keys, "node", "n", "ups"), [*keys, "node"])
-    new = F.when(F.col("n") > 1, 1 - F.log("df") / F.log("n")).otherwise(1.0)
-    own = texts.groupBy(*keys, "node").agg(F.first("ups").alias("ups"), F.sum("length").alias("length"), F.sum(F.col("length") * F.greatest(new, F.lit(0.0))).alias("new"))
-    branch = own.select(*keys, F.explode("ups").alias("node"), "length", "new").groupBy(*keys, "node").agg((F.sum("new") / F.sum("length")).alias("content"))
-    whole = nodes.join(branch, [*keys, "node"], "left").join(own.select(*keys, "node", (F.col("new") / F.col("length")).alias("own_content")), [*keys, "node"], "left")
+    new = F.col("length") - F.when(F.col("n") > 1, F.col("said") / F.log("n")).otherwise(0.0)
+    nodes = sums.select(*keys, "node", "n", "up", "ups", "share", "prior", "mark", "heading", varied.alias("varied"), "length", F.greatest(new, F.lit(0.0)).alias("new"))
+    branch = nodes.filter("length > 0").select(*keys, F.explode("ups").alias("node"), "length", "new").groupBy(*keys, "node").agg((F.sum("new") / F.sum("length")).alias("content"))
+    whole = nodes.withColumn("own_content", F.col("new") / F.col("length")).join(branch, [*keys, "node"], "left")
     parents = nodes.select(*keys, F.col("node").alias("up"), F.col("varied").alias("flow"))
     whole = whole.join(parents, [*keys, "up"], "left")
     size = F.when(F.col("mark") > 0.5, F.col("share") * 0.6).when(F.col("heading") > 0.5, 1.0).otherwise(F.greatest("share", "varied", F.coalesce("flow", F.lit(1.0))))
@@ -285,13 +285,14 @@ def style_tree(pages: DataFrame, scratch: Scratch, prior_pages: float = 8.0) ->
     """``pages`` (host, body) -> (host, node, n, importance, own), importances with what is borrowed.
 
     Of n pages, one says nothing about what repeats: n - 1 are weighed against ``prior_pages`` of the tree of all
-    hosts, whose own are weighed against as many of the prior.
+    hosts, whose hosts are weighed in the same way against the prior.
     """
     rows = pages.mapInArrow(_features, _FEATURES)
     first = ("length", "share", "prior", "mark", "heading")
     once = rows.groupBy("host", "node", "kind", "feature", "copy").agg(F.max("up").alias("up"), F.max("ups").alias("ups"), *[F.avg(c).alias(c) for c in first])
     counts = scratch.save(once.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("df"), F.max("up").alias("up"), F.max("ups").alias("ups"), *[F.sum(c).alias(c) for c in first]))
-    everywhere = counts.groupBy("node", "kind", "feature").agg(F.sum("df").alias("df"), F.max("up").alias("up"), F.max("ups").alias("ups"), *[F.sum(c).alias(c) for c in first])
+    # in the tree of all hosts each host counts once, however many pages it has
+    everywhere = counts.groupBy("node", "kind", "feature").agg(F.count("*").alias("df"), F.max("up").alias("up"), F.max("ups").alias("ups"), *[F.sum(F.col(c) / F.col("df")).alias(c) for c in first])
     general = _importance(everywhere, []).select("node", *[_blend(F.col(c), F.col("prior"), F.col("n"), prior_pages).alias(f"general_{c}") for c in ("importance", "own")])
     own = _importance(counts, ["host"]).join(general, "node")
     return own.select("host", "node", "n", *[_blend(F.col(c), F.col(f"general_{c}"), F.col("n"), prior_pages).alias(c) for c in ("importance", "own")])
