@@ -7,7 +7,7 @@ the one whose spans hold most letters, its score their share of all letters.
 
 Training counts come from a bounded sample of labelled rows (``rows_per_lang``); a prediction reads the whole
 text and nothing else.  Texts are handled as arrays of code points, many at a time; a text's memory is a small
-multiple of its own length.
+multiple of its own length, times the number of languages that are learned.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilake.llm.scratch import unused
+
 # Scripts by first and last code point of their blocks (fixed values of the Unicode standard); others are "other".
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -139,12 +141,13 @@ def _count(langs: list[str]):
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 2000, max_langs: int = 200, min_script: float = 0.01) -> Model:
     """Fit on about ``rows_per_lang`` rows of each language, chosen by a hash of the text (all, if there are fewer).
 
-    Rows with a null text or label are not learned from.  At most the ``max_langs`` most frequent labels are
-    learned; counts of trigrams and scripts are added up in Spark and only their sums (languages x slots) are
-    fetched.
+    Rows with a null text or label are not learned from.  More labels than ``max_langs`` are an error: a model's
+    size is what is fetched and sent, sums of trigrams and scripts (languages x slots), added up in Spark.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()}
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages to learn")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((_SLOTS, 0), "f4"), np.zeros((len(SCRIPTS) + 1, 0), bool), np.zeros(0, int))
@@ -307,8 +310,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", least: float = 0.3) -> DataFrame:
-    """``docs`` without rows that have no language: no letter, or none that holds at least ``least`` of the letters."""
+    """``docs`` without rows that have no language: no letter, or none that holds at least ``least`` of the letters.
+
+    Where no row has a label to learn from, only texts without letters go.
+    """
     model = learn(docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()))
-    names = ("__lang_pred", "__score", "__n_spans")
+    names = tuple(unused(docs, n) for n in ("lang_pred", "score", "n_spans"))
+    if not model.langs:  # nothing to tell languages by
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     marked = predict(docs, model, docs.columns, names=names)
     return marked.filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)

@@ -21,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Names tables in the shared folder, and removes those that a later one replaces."""
 

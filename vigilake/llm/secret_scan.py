@@ -18,6 +18,8 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilake.llm.scratch import quoted, unused
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -248,13 +250,14 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Spans that overlap are masked together, under the first one's kind.
     """
-    found = find_spans(docs, id_col, text_col).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h").withColumnRenamed("spans", "_spans")
+    name, h, spans = unused(docs, "id_"), unused(docs, "h_"), unused(docs, "spans_")
+    found = find_spans(docs, id_col, text_col).select(F.col("id").alias(name), F.col("h").alias(h), F.col("spans").alias(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text) == F.col(h)), "left")
     empty = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("upto"))
     step = lambda acc, s: F.when(
         s["start"] >= acc["upto"],
         F.struct(F.concat(acc["text"], F.substring(text, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("text"), s["end"].alias("upto")),
     ).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["upto"], s["end"]).alias("upto")))
-    masked = F.aggregate("_spans", empty, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2147483647))))
-    return joined.select(*[F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    masked = F.aggregate(spans, empty, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2147483647))))
+    return joined.select(*[F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(masked).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.components import connected_components
-from vigilake.llm.scratch import Scratch
+from vigilake.llm.scratch import Scratch, unused
 from vigilake.llm.votes import hex16, longs, majority, vote_sums
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -318,8 +318,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         from vigilake.llm import set_dedup  # it needs this module's words
 
         groups = set_dedup.near_duplicates(docs, id_col, text_col, shingle, similarity)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    name, nth = unused(docs, "kept"), unused(docs, "nth")
+    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col(name), "left_semi")
     first = Window.partitionBy(id_col).orderBy(text_col)
-    once = named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    once = named.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
     return once.unionByName(docs.filter(F.col(id_col).isNull()))
