@@ -91,11 +91,65 @@ def test_chunks_encode_as_the_whole(spark):
     assert all(back[i].decoded_sha256 == hashlib.sha256(codec.sp.decode(codec.sp.encode(t)).encode()).hexdigest() for i, t in enumerate(texts))
 
 
-def test_matrices_combine_associatively():
-    r = random.Random(1)
-    a, b, c = ([r.getrandbits(4) for _ in range(4)] for _ in range(3))
-    f = sentencepiece_codec.combine
-    assert f(f(a, b), c) == f(a, f(b, c))
+def unigram_model(path):
+    """A small unigram model with byte fallback, written by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r, m = random.Random(6), pb.ModelProto()
+    kinds = [("<unk>", 2), ("<s>", 3), ("</s>", 3), *[(f"<0x{i:02X}>", 6) for i in range(256)]]
+    words = ["".join(r.choice("abc") for _ in range(n)) for n in (1, 1, 2, 2, 2, 3, 3, 4, 5) for _ in range(4)]
+    kinds += [(p, 1) for p in dict.fromkeys(["a", "b", "▁", "▁▁", *words, *["▁" + w for w in words[::2]]])]
+    for piece, kind in kinds:
+        m.pieces.add(piece=piece, score=-r.uniform(1, 9) if kind == 1 else 0.0, type=kind)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, True, len(kinds)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_unigram_chunks_encode_as_the_whole(spark, tmp_path):
+    path, r = unigram_model(tmp_path / "u.model"), random.Random(9)
+    sp = sentencepiece_codec.Codec(path).sp
+    texts = ["".join(r.choice("aaabbc  é"[: r.choice([6, 9])]) for _ in range(r.randrange(30, 400))) for _ in range(40)] + ["ab" * 500]
+    got = {x.doc_id: x for x in sentencepiece_codec.encode(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), path, chunk_chars=12).collect()}
+    weight = lambda ids: sum(sp.get_score(i) for i in ids) + 100.0 * sum(sp.is_byte(i) for i in ids)
+    for i, t in enumerate(texts):  # paths of equal weight may differ
+        ids, whole = list(got[i].ids), sp.encode(t)
+        assert weight(ids) == pytest.approx(weight(whole)) and sp.decode(ids) == sp.decode(whole)
+    assert sum(list(got[i].ids) == sp.encode(t) for i, t in enumerate(texts)) > 5
+    assert got[40].n_chunks > 64  # more than one level of the tree
+
+
+@pytest.mark.parametrize("unigram", [True, False])
+def test_matrices_hold_the_best_paths(unigram):
+    """A matrix's entries, chunk by chunk and combined, against all paths."""
+    r = random.Random(3)
+    lattice = sentencepiece_codec.Lattice({w: -r.uniform(1, 5) for w in ["a", "b", "▁", "ab", "ba", "aab", "▁a", "▁b", "bb", "▁ab"]}, unigram)
+    for text in ["▁aabbabaab", "▁ab▁baab▁a", "▁bbbbbbbbaa"]:
+        a, b = 4, 7
+
+        def weight(before, entry, leave, stop, text=text):
+            """The most weight from ``entry`` to ``leave`` (or to the end), over all paths."""
+            if entry == leave or (leave is None and entry[1] == stop):
+                return 0.0
+            steps = [(lattice.weight(before, text[entry[1] : e]), (entry[1], e)) for e in lattice.ends(text, entry[1])] if entry[1] < stop else []
+            return max((w + weight(text[n[0] : n[1]], n, leave, stop) for w, n in steps), default=-np.inf)
+
+        at = [0, a, b, len(text)]
+        each = [sentencepiece_codec.transfer(lattice, text, x, y, x == 0, y == len(text)) for x, y in zip(at, at[1:], strict=False)]
+        whole = []
+        for m, x, y in zip(each, at, at[1:], strict=False):
+            entries = [(0, 0)] if x == 0 else lattice.states(text, x)
+            exits = [None] if y == len(text) else lattice.states(text, y)
+            want = [[weight(text[e[0] : e[1]], e, z, y) for z in exits] for e in entries]
+            got = np.array([sentencepiece_codec.row_of(m, i) for i in range(len(entries))])
+            np.testing.assert_allclose(got - got.max(), np.array(want) - np.max(want))  # what all paths weigh between isn't counted
+            whole.append(np.array(want))
+        f = sentencepiece_codec.product
+        left, right = f(f(each[0], each[1]), each[2]), f(each[0], f(each[1], each[2]))
+        assert sentencepiece_codec.row_of(left, 0)[0] == pytest.approx(sentencepiece_codec.row_of(right, 0)[0])
+        i, j = sentencepiece_codec.states_between(each, 0, 0)
+        assert whole[0][0, i] + whole[1][i, j] + whole[2][j, 0] == pytest.approx(weight("", (0, 0), None, len(text)))
 
 
 # --- language ----------------------------------------------------------------------------------------------
