@@ -42,6 +42,33 @@ def test_other_aggregates(spark):
         assert got[r[0]].m == max(x[5] for x in same) and got[r[0]].a == pytest.approx(sum(before) / len(before))
 
 
+@pytest.mark.parametrize("window", [50, None])
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_all_aggregates_equal_a_replay(spark, window, bucketed):
+    rows, df = log(spark, 150, 8)
+    df = df.withColumn("timestamp", F.col("timestamp") * 40 if window is None else F.col("timestamp"))
+    scale = 40 if window is None else 1
+    for agg, value in [("count", None), ("sum", "value"), ("avg", "value"), ("min", "value"), ("max", "value"), ("distinct", "tool_name")]:
+        got = {r.event_id: r.x for r in trailing(df, RateSpec(("session_id",), window, agg, value, where="value < 7", name="x"), bucketed=bucketed).collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            past = [x for x in rows if x[2] == r[2] and x[3] <= r[3] and (window is None or r[3] - window < x[3])]
+            upto = [x[5] for x in past if (x[3], x[0]) <= (r[3], r[0]) and x[5] < 7]
+            peers = [x for x in past if x[5] < 7]
+            want = {"count": len(upto), "sum": sum(upto), "avg": sum(upto) / len(upto) if upto else None, "min": min((x[5] for x in peers), default=None), "max": max((x[5] for x in peers), default=None), "distinct": len({x[4] for x in peers} - {None})}[agg]
+            assert got[r[0]] == (want if want is None else pytest.approx(want)), (agg, r, scale)
+
+
+def test_one_session_of_half_the_events(spark):
+    """The busy session is dealt out over many partitions; rows without any key too."""
+    n = 4000
+    df = schema.as_events(spark.range(n).select(F.col("id").alias("event_id"), F.lit("tool.before").alias("stage"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("session_id"), (F.col("id") / 4.0).alias("timestamp"), F.lit(None).cast("string").alias("tool_name")))
+    got = trailing(df, RateSpec(("session_id",), 60)).filter("session_id = 'hot'")
+    assert got.agg(F.max("cnt")).first()[0] == 120
+    assert "_slice" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.cnt for r in trailing(df, RateSpec(("tool_name",), 60)).collect()} == {0}
+
+
 def test_thresholds(spark):
     n = {"cnt": F.lit(15)}
     row = spark.range(1).select(*[threshold(c, n).alias(str(i)) for i, c in enumerate(["cnt > 10", "cnt > 20", "cnt >= 15", "cnt == 15", "cnt != 10", "cnt ~ 1", "no > -1"])]).first()

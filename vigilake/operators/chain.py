@@ -88,12 +88,13 @@ def _decided(df: DataFrame) -> DataFrame:
     return df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "redacted": F.try_element_at(masked, F.lit(-1))["redacted"]}).withColumn("blocked", F.col("action") == "block")
 
 
-def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = False) -> DataFrame:
+def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True) -> DataFrame:
     """``events`` with columns action, blocked, reasons, redacted, results.
 
     Rules without history are one narrow stage.  Each rate evaluator then sees the events in its stages that
     nothing has blocked, which are its history, and is one more window; its results go behind the others.
-    ``compose``: ``redacted`` is the text with all redacting rules applied, one after the other.
+    ``compose``: ``redacted`` is the text with all redacting rules applied, one after the other.  ``bucketed``: busy
+    keys of bounded windows are dealt out by time slices as well.
     """
     ordered = list(enumerate(in_order(evaluators)))
     plain = [(i, e) for i, e in ordered if e.type != "sql"]

@@ -1,7 +1,7 @@
 """Rates over history: trailing windows per key that end at each event, exact with ties.
 
 An event counts itself and earlier arrivals (smaller time, or equal time and smaller id) that are less than the
-window older.  Counts and sums are differences of running ones: one shuffle by key, one sort, no self-join.
+window older.  Counts and sums are differences of running ones: one shuffle by key and slice, one sort, no self-join.
 """
 
 from __future__ import annotations
@@ -63,43 +63,88 @@ def recognise(query: str, condition: str) -> RateSpec:
     return RateSpec(tuple(keys), window, "distinct" if distinct else agg.lower(), None if value == "*" else value, None, name, condition)
 
 
-def trailing(df: DataFrame, spec: RateSpec, out: str | None = None, bucketed: bool = False) -> DataFrame:
+def trailing(df: DataFrame, spec: RateSpec, out: str | None = None, bucketed: bool = True, slice_s: float = 3600) -> DataFrame:
     """``df`` with the rate of each event as column ``out`` (``spec.name``).
 
     Events with a null key count 0.  min, max and distinct count events of the same microsecond as the event's
-    own, later arrivals included.  ``bucketed`` (bounded windows) deals each key out by time slices as well, so
-    that one busy key isn't one task: each event also goes to the next slice, where it is history only.
+    own, later arrivals included.  ``bucketed`` deals each key out by time slices as well, so that one busy key
+    isn't one task.  Bounded windows: slices are as long as the window, and each event also goes, without what the
+    rate doesn't read, to the next slice, where it is history only.  Unbounded ones (count, sum, avg, min, max): slices
+    of ``slice_s`` seconds, whose totals are run up over a key's slices, one row a slice.
     """
     out = out or spec.name
     known = F.lit(True)
     for k in spec.keys:
         known = known & F.col(k).isNotNull()
     counted = F.expr(spec.where) if spec.where else F.lit(True)
-    rows = df.withColumns({"_us": ts_us(), "_own": F.lit(True), "_slice": F.lit(0).cast("long"), "_known": F.coalesce(known, F.lit(False))})
-    keys = [F.col(k) for k in spec.keys]
+    value = F.col(spec.value).cast("double") if spec.value and spec.agg != "distinct" else F.col(spec.value) if spec.value else F.lit(1.0)
+    rows = df.withColumns({"_us": ts_us(), "_own": F.lit(True), "_slice": F.lit(0).cast("long"), "_known": F.coalesce(known, F.lit(False)), "_x": F.when(counted, value)})
+    # rows of unknown keys are nobody's history: they are dealt out by what they hold, not to one task
+    rows = rows.withColumn("_alone", F.when(~F.col("_known"), F.xxhash64("event_id", "_us", "_x")))
     width = None if spec.window is None else int(round(spec.window * 1_000_000))
+    keys = [F.col(k) for k in spec.keys]
     if bucketed and width:
         own = F.floor(F.col("_us") / width).cast("long")
-        rows = rows.withColumn("_at", F.explode(F.array(F.struct(own.alias("s"), F.lit(True).alias("o")), F.struct((own + 1).alias("s"), F.lit(False).alias("o")))))
-        rows = rows.withColumns({"_slice": F.col("_at.s"), "_own": F.col("_at.o")}).drop("_at")
-    # rows of unknown keys are dealt out by their own id: they are nobody's history
-    alone = F.when(~F.col("_known"), F.xxhash64("event_id"))
-    part = Window.partitionBy(*keys, "_slice", alone)
-    x = F.when(counted, F.col(spec.value).cast("double") if spec.value else F.lit(1.0))
-    if spec.agg in ("count", "sum", "avg"):
+        twice = F.when(F.col("_known"), F.array(F.struct(own.alias("s"), F.lit(True).alias("o")), F.struct((own + 1).alias("s"), F.lit(False).alias("o")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(True).alias("o"))))
+        rows = rows.withColumn("_at", F.explode(twice))
+        read = {*spec.keys, "event_id", "_us", "_known", "_x", "_alone"}
+        rows = rows.select(*[F.col(c) if c in read else F.when(F.col("_at.o"), F.col(c)).alias(c) for c in rows.columns if c not in ("_at", "_own", "_slice")], F.col("_at.s").alias("_slice"), F.col("_at.o").alias("_own"))
+    elif bucketed and spec.agg != "distinct":
+        rows = rows.withColumn("_slice", F.coalesce(F.floor(F.col("_us") / int(slice_s * 1_000_000)).cast("long"), F.lit(0).cast("long")))
+    part = Window.partitionBy(*keys, "_slice", "_alone")
+    x = F.col("_x")
+    if spec.agg == "distinct":
+        rows = _distinct(rows, spec, width, out)
+    elif width is None:
+        rows = _upto(rows, spec, part, out)
+    elif spec.agg in ("count", "sum", "avg"):
         upto = part.orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        gone = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -width) if width else None
-        run = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0)) - (F.coalesce(F.sum(c).over(gone), F.lit(0.0)) if gone is not None else 0.0)
+        gone = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
+        run = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0)) - F.coalesce(F.sum(c).over(gone), F.lit(0.0))
         n = run(x.isNotNull().cast("double"))
-        value = n.cast("long") if spec.agg == "count" else run(x) if spec.agg == "sum" else run(x) / F.nullif(n, F.lit(0.0))
+        rows = rows.withColumn(out, n.cast("long") if spec.agg == "count" else run(x) if spec.agg == "sum" else run(x) / F.nullif(n, F.lit(0.0)))
     else:
-        near = part.orderBy("_us").rangeBetween(-(width - 1) if width else Window.unboundedPreceding, Window.currentRow)
-        if spec.agg == "distinct":
-            value = F.size(F.collect_set(F.when(counted, F.col(spec.value))).over(near)).cast("long")
-        else:
-            value = (F.min if spec.agg == "min" else F.max)(x).over(near)
+        near = part.orderBy("_us").rangeBetween(-(width - 1), Window.currentRow)
+        rows = rows.withColumn(out, (F.min if spec.agg == "min" else F.max)(x).over(near))
     zero = F.lit(0).cast("long") if spec.agg in ("count", "distinct") else F.lit(None).cast("double")
-    return rows.withColumn(out, F.when(F.col("_known"), value).otherwise(zero)).filter("_own").drop("_us", "_own", "_slice", "_known")
+    return rows.withColumn(out, F.when(F.col("_known"), F.col(out)).otherwise(zero)).filter("_own").drop("_us", "_own", "_slice", "_known", "_x", "_alone")
+
+
+def _upto(rows: DataFrame, spec: RateSpec, part: Window, out: str) -> DataFrame:
+    """Over all history: what the slices before come to, and the slice up to the event.
+
+    Slices' rows stay where they are; only a row a slice is run up over a key.
+    """
+    order = part.orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    names = [f"_upto{n}" for n in range(len(spec.keys))]
+    totals = rows.filter("_known").groupBy(*[F.col(k).alias(n) for k, n in zip(spec.keys, names, strict=True)], F.col("_slice").alias("_s")).agg(F.count("_x").alias("_n"), F.sum(F.col("_x").cast("double")).alias("_t"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    earlier = Window.partitionBy(*names).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*names, "_s", F.sum("_n").over(earlier).alias("_n"), F.sum("_t").over(earlier).alias("_t"), F.min("_lo").over(earlier).alias("_lo"), F.max("_hi").over(earlier).alias("_hi"))
+    same = F.col("_slice") == F.col("_s")
+    for k, n in zip(spec.keys, names, strict=True):
+        same = same & (F.col(k) == F.col(n))
+    n = F.count("_x").over(order)
+    rows = rows.withColumns({"_in": n, "_it": F.sum(F.col("_x").cast("double")).over(order), "_il": F.min("_x").over(peers), "_ih": F.max("_x").over(peers)}).join(before, same & F.col("_known"), "left")
+    count, total = F.coalesce("_n", F.lit(0)) + F.col("_in"), F.coalesce("_t", F.lit(0.0)) + F.coalesce("_it", F.lit(0.0))
+    made = {"count": count, "sum": total, "avg": total / F.nullif(count.cast("double"), F.lit(0.0)), "min": F.least("_lo", "_il"), "max": F.greatest("_hi", "_ih")}[spec.agg]
+    return rows.withColumn(out, made).drop(*names, "_s", "_n", "_t", "_lo", "_hi", "_in", "_it", "_il", "_ih")
+
+
+def _distinct(rows: DataFrame, spec: RateSpec, width: int | None, out: str) -> DataFrame:
+    """Distinct values in the window: those that began less those that ended, in memory that doesn't grow with it.
+
+    An occurrence of a value begins at its time and ends when the value occurs again or the window has passed.
+    """
+    keys = [F.col(k) for k in spec.keys]
+    rows = rows.repartition(*keys, "_slice", "_alone")
+    again = F.lead("_us").over(Window.partitionBy(*keys, "_slice", "_alone", "_x").orderBy("_us", "event_id"))
+    end = again if width is None else F.least(again, F.col("_us") + F.lit(width))
+    held = F.col("_x").isNotNull()
+    both = F.array(F.struct(F.col("_us").alias("t"), held.cast("int").alias("d"), F.lit(True).alias("row")), F.struct(F.col("_end").alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("row")))
+    at = rows.withColumn("_end", F.when(held, end)).withColumn("_at", F.explode(both)).filter("_at.row or _at.t is not null")
+    upto = Window.partitionBy(*keys, "_slice", "_alone").orderBy("_at.t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return at.withColumn(out, F.sum("_at.d").over(upto).cast("long")).filter("_at.row").drop("_at", "_end")
 
 
 def retain_history(df: DataFrame, max_age: float = 3600, max_rows: int = 10_000) -> DataFrame:
