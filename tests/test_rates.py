@@ -109,6 +109,10 @@ def test_stream_of_decisions_and_audit(spark, tmp_path):
     events, rejects = sources.read_events(spark, str(tmp_path / "in"))
     assert events.count() == 2 and rejects.count() == 2
     assert {r.event_id: r.tool_result_is_string for r in events.collect()} == {1: False, 3: False}
+    odd = ['{"stage":"tool.after","tool_args":{"tool_result":"y"},"tool_result":{"a":1},"params":{"p":2},"raw":{}}', '{"stage":"tool.after","tool_result":"s"}', '{"stage":"tool.after","tool_result":null}']
+    got = [sources.parse_events(spark.createDataFrame([(x,) for x in odd], "value string"))[0].collect() for _ in range(2)]
+    assert got[0] == got[1] and len({r.event_id for r in got[0]}) == 3 and None not in {r.event_id for r in got[0]}
+    assert [(r.tool_result, r.tool_result_is_string) for r in got[0]] == [('{"a":1}', False), ("s", True), (None, False)] and got[0][0].params == '{"p":2}'
     from vigilake.rules.pack import category
 
     decided = scoring.evaluate_stream(sources.read_events_stream(spark, str(tmp_path / "in")), category("dangerous_commands"))
@@ -126,7 +130,37 @@ def test_streamed_calls(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = scoring.assemble_tool_calls_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("calls").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted((r.block, r.tool_args) for r in spark.table("calls").collect()) == [(0, '{"a":1}'), (1, "broken")]
+    assert sorted((r.block, r.tool_args) for r in spark.table("calls").collect()) == [(0, '{"a":1}'), (1, "{}")]
+
+
+def test_rewritten_responses_keep_their_fields(spark):
+    body = {"id": "m1", "model": "x", "usage": {"in": 1.5, "out": [1, None]}, "stop_reason": "tool_use", "content": [{"type": "text", "text": "so \"é\""}, {"type": "tool_use", "id": "a", "name": "n", "input": {"k": [1, {"z": None}]}}, {"type": "tool_use", "id": "b", "name": "m", "input": {}}]}
+    odd = '{"content" : "plain", "stop_reason":"tool_use"}'
+    rows = [(1, json.dumps(body)), (2, json.dumps(body)), (3, json.dumps(body)), (4, odd), (5, "no json")]
+    bad = [(1, 1, "n", True, ["r1", "r2"]), (1, 2, "m", True, []), (2, 2, "m", True, ["r"]), (2, 1, "n", False, []), (4, 0, "n", True, ["r"])]
+    got = {r.response_id: r.body for r in traffic.rewrite_responses(spark.createDataFrame(rows, "response_id long, body string"), spark.createDataFrame(bad, "response_id long, pos int, tool_name string, blocked boolean, reasons array<string>")).collect()}
+    text = lambda n, why, how="Tool call '%s' was blocked": {"type": "text", "text": f"[SECURITY] {how % n}: {why}"}
+    assert json.loads(got[1]) == body | {"stop_reason": "end_turn", "content": [body["content"][0], text("n", "r1; r2"), text("m", "Blocked by security policy")]}
+    assert json.loads(got[2]) == body | {"content": [*body["content"][:2], text("m", "r")]}
+    assert got[3] == rows[2][1] and got[4] == odd and got[5] == "no json"
+    calls = spark.createDataFrame([("s", 0, 3, "n", True, ['a "b"'])], "stream_id string, block int, index int, tool_name string, blocked boolean, reasons array<string>")
+    records = [json.loads(r.data) for r in traffic.replaced_records(calls).orderBy("nth").collect()]
+    assert [r["type"] for r in records] == ["content_block_start", "content_block_delta", "content_block_stop"] and {r["index"] for r in records} == {3}
+    assert records[1]["delta"] == {"type": "text_delta", "text": "[SECURITY] Tool 'n' blocked: a \"b\""}
+
+
+def test_stream_of_rate_decisions(spark, tmp_path):
+    stop = Evaluator("stop", "regex", ("tool.before",), (rule_from({"id": "x", "title": "X", "pattern": "rm", "action": "block"}, "regex"),))
+    rule = rule_from({"id": "b", "title": "B", "action": "block", "query": "SELECT COUNT(*) AS cnt FROM events WHERE session_id = :session_id AND timestamp > :now - 60", "condition": "cnt > 2"}, "sql")
+    both = [stop, Evaluator("burst", "sql", ("tool.before",), (rule,))]
+    rows = [(i, "tool.before", "s", 1000.0 + i, "exec", json.dumps({"command": "rm" if i == 1 else "ls"}), None) for i in range(6)]
+    df = schema.as_events(spark.createDataFrame(rows, "event_id long, stage string, session_id string, timestamp double, tool_name string, tool_args string, tool_result string"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = sources.with_event_time(spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in")))
+    q = scoring.rate_decisions_stream(stream, both, rule).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.event_id: r.action for r in spark.table("decided").collect()}
+    assert got == {r.event_id: r.action for r in evaluate(df, both).collect() if r.event_id != 1} and got[5] == "block" and got[2] == "allow"
 
 
 def test_gate(spark):

@@ -10,19 +10,33 @@ from vigilake.schema import EVENT, STAGES, as_events
 
 _CORRUPT = "_corrupt_record"
 # In logs, arguments and results are JSON of any shape; read as text.
-_LOG = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("tool_args", "tool_result") else f.dataType) for f in EVENT.fields if f.name != "tool_result_is_string"] + [T.StructField(_CORRUPT, T.StringType())])
+_LOG = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("tool_args", "tool_result") else f.dataType) for f in EVENT.fields if f.name != "tool_result_is_string"] + [T.StructField("params", T.StringType()), T.StructField("raw", T.StringType()), T.StructField(_CORRUPT, T.StringType())])
 
 
 def _parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines of JSON -> (events, rejects): rejects don't parse or name no known stage."""
     read = lines.select("value", F.from_json("value", _LOG, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("e"))
-    result = F.get_json_object("value", "$.tool_result")
-    quoted = F.col("value").rlike(r'"tool_result"\s*:\s*"')
-    rows = read.select("value", "e.*").withColumns({"tool_result": result, "tool_result_is_string": result.isNotNull() & quoted})
+    whole = F.try_parse_json("value")
+    result = F.try_variant_get(whole, "$.tool_result", "variant")
+    kind = F.schema_of_variant(result)
+    text = F.when(kind == "STRING", F.try_variant_get(whole, "$.tool_result", "string")).when(kind != "VOID", F.to_json(result))
+    rows = read.select("value", "e.*", text.alias("_result"), F.coalesce(kind == "STRING", F.lit(False)).alias("tool_result_is_string"))
+    rows = rows.withColumn("tool_result", F.col("_result")).drop("_result")
+    # requests name no event: equal lines are equal events, told apart by nothing
+    rows = rows.withColumn("event_id", F.coalesce("event_id", F.xxhash64("value")))
     fine = F.col(_CORRUPT).isNull() & F.coalesce(F.col("stage").isin(STAGES), F.lit(False))
     return as_events(rows.filter(fine).drop(_CORRUPT, "value")), rows.filter(~fine).select("value")
 
 
+def parse_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of JSON lines in a column ``value``.
+
+    Lines without an ``event_id`` get one from their content, the same in every run; columns ``params`` and ``raw`` of the
+    events are JSON text.
+    """
+    return _parsed(lines)
+
+
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of a log of JSON lines.  Nothing is dropped: what is no event is a reject."""
     return _parsed(spark.read.text(path))

@@ -10,7 +10,7 @@ from vigilake.schema import as_events
 _BLOCK = "struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>"
 _MESSAGE = "struct<role:string,content:string>"
 _REQUEST = f"struct<metadata:struct<session_id:string>,messages:array<{_MESSAGE}>>"
-_RESPONSE = "struct<stop_reason:string,content:array<string>>"
+_RESPONSE = "struct<content:array<string>>"
 DEFAULT_REASON = "Blocked by security policy"
 
 
@@ -127,20 +127,48 @@ def _why() -> Column:
 def rewrite_responses(resp: DataFrame, decisions: DataFrame) -> DataFrame:
     """(response_id, body): blocked calls become texts; a response left without calls ends the turn.
 
-    ``decisions``: (response_id, pos, tool_name, blocked, reasons) of the calls.
+    ``decisions``: (response_id, pos, tool_name, blocked, reasons) of the calls.  Responses without a blocked call stay as
+    they are, to the letter; the others keep all fields but ``content``, and ``stop_reason`` where the turn ends.
     """
-    bad = decisions.filter("blocked").select("response_id", "pos", F.to_json(F.struct(F.lit("text").alias("type"), F.concat(F.lit("[SECURITY] Tool call '"), "tool_name", F.lit("' was blocked: "), _why()).alias("text"))).alias("_text"))
-    parsed = resp.select("response_id", F.from_json("body", _RESPONSE).alias("b"))
-    each = parsed.select("response_id", "b.stop_reason", F.posexplode_outer("b.content").alias("pos", "raw")).join(bad, ["response_id", "pos"], "left")
-    is_call = F.from_json("raw", _BLOCK)["type"] == "tool_use"
-    made = each.groupBy("response_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_text", "raw").alias("raw")))).alias("content"),
-        F.max(F.coalesce(is_call & F.col("_text").isNull(), F.lit(False))).alias("calls"),
-        F.first("stop_reason").alias("stop_reason"),
+    text = F.concat(F.lit("[SECURITY] Tool call '"), "tool_name", F.lit("' was blocked: "), _why())
+    bad = decisions.filter("blocked").select("response_id", F.struct("pos", F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("made")).alias("p"))
+    rows = resp.join(bad.groupBy("response_id").agg(F.map_from_entries(F.collect_list("p")).alias("_bad")), "response_id", "left")
+    variant = F.try_parse_json("body")
+    fields = F.try_variant_get(variant, "$", "map<string,variant>")
+    blocks = F.try_variant_get(variant, "$.content", "array<variant>")
+    new = F.transform(blocks, lambda b, i: F.coalesce(F.try_element_at("_bad", i), F.to_json(b), F.lit("null")))
+    calls = F.exists(F.transform(blocks, lambda b, i: F.when(F.try_element_at("_bad", i).isNull(), F.try_variant_get(b, "$.type", "string"))), lambda t: F.coalesce(t == "tool_use", F.lit(False)))
+    ends = ~calls & F.coalesce(F.try_variant_get(variant, "$.stop_reason", "string") == "tool_use", F.lit(False))
+    kept = F.transform(
+        F.map_entries(fields),
+        lambda e: F.concat(
+            _quoted(e["key"]), F.lit(":"),
+            F.when(e["key"] == "content", F.concat(F.lit("["), F.array_join(new, ","), F.lit("]"))).when((e["key"] == "stop_reason") & ends, F.lit('"end_turn"')).otherwise(F.coalesce(F.to_json(e["value"]), F.lit("null"))),
+        ),
     )
-    stop = F.when((F.col("stop_reason") == "tool_use") & ~F.col("calls"), F.lit("end_turn")).otherwise(F.col("stop_reason"))
-    content = F.array_join(F.transform(F.filter("content", lambda c: c["raw"].isNotNull()), lambda c: c["raw"]), ",")
-    return made.select("response_id", F.concat(F.lit('{"content":['), content, F.lit('],"stop_reason":'), F.coalesce(F.to_json(F.array(stop)).substr(F.lit(2), F.length(F.to_json(F.array(stop))) - 2), F.lit("null")), F.lit("}")).alias("body"))
+    made = F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}"))
+    return rows.select("response_id", F.when(F.col("_bad").isNotNull() & blocks.isNotNull(), made).otherwise(F.col("body")).alias("body"))
+
+
+def _quoted(text: Column) -> Column:
+    """``text`` as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def replaced_records(calls: DataFrame) -> DataFrame:
+    """(stream_id, block, nth, data): the records that take the place of a blocked call's in a streamed response.
+
+    ``calls``: (stream_id, block, index, tool_name, blocked, reasons); ``index`` is the block's own in the stream.
+    """
+    at = F.coalesce(F.col("index").cast("string"), F.lit("0"))
+    text = _quoted(F.concat(F.lit("[SECURITY] Tool '"), "tool_name", F.lit("' blocked: "), _why()))
+    each = [
+        F.concat(F.lit('{"type":"content_block_start","index":'), at, F.lit(',"content_block":{"type":"text","text":""}}')),
+        F.concat(F.lit('{"type":"content_block_delta","index":'), at, F.lit(',"delta":{"type":"text_delta","text":'), text, F.lit("}}")),
+        F.concat(F.lit('{"type":"content_block_stop","index":'), at, F.lit("}")),
+    ]
+    return calls.filter("blocked").select("stream_id", "block", F.posexplode(F.array(*each)).alias("nth", "data"))
 
 
 def blocked_responses(decisions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilake.operators.chain import evaluate
 from vigilake.operators.outputs import alert_feed, audit_records
-from vigilake.rules.model import Evaluator
+from vigilake.operators.rates import threshold
+from vigilake.rules.model import Evaluator, Rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,27 +34,26 @@ class _TrailingCount(StatefulProcessor):
         self.times = handle.getListState("times", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        held = [r[0] for r in self.times.get()]
-        out = []
-        for us, event in zip(new["us"], new["event_id"], strict=True):
-            held.append(int(us))
-            # events may come late: count what is not newer than this one
-            out.append((event, sum(us - self.window_us < t <= us for t in held)))
-        newest = int(new["us"].max())
-        self._keep(held, min(timers.getCurrentWatermarkInMs() * 1000, newest))
+        new = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
+        us = new["us"].to_numpy("i8")
+        held = np.sort(np.array([r[0] for r in self.times.get()], "i8"))
+        # events may come late: count what is not newer than each, of those held and those that came with it
+        gone = us - self.window_us
+        cnt = np.searchsorted(held, us, "right") - np.searchsorted(held, gone, "right") + np.arange(1, len(us) + 1) - np.searchsorted(us, gone, "right")
+        newest = int(us[-1])
+        self._keep(np.concatenate([held, us]), min(timers.getCurrentWatermarkInMs() * 1000, newest))
         self.handle.registerTimer(newest // 1000 + self.ttl_ms)  # idle keys are looked at again and forgotten
-        yield pd.DataFrame({"event_id": [e for e, _ in out], "cnt": [int(n) for _, n in out]}).assign(key="\x1f".join(map(str, key)))[["key", "event_id", "cnt"]]
+        yield pd.DataFrame({"key": "\x1f".join(map(str, key)), "event_id": new["event_id"].to_numpy(), "cnt": cnt})
 
-    def _keep(self, held: list[int], mark: int) -> None:
-        kept = [(t,) for t in held if t > mark - self.window_us]
+    def _keep(self, held: np.ndarray, mark: int) -> None:
+        kept = [(int(t),) for t in held[held > mark - self.window_us]]
         if kept:
             self.times.put(kept)
         else:
             self.times.clear()
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self._keep([r[0] for r in self.times.get()], timers.getCurrentWatermarkInMs() * 1000)
+        self._keep(np.array([r[0] for r in self.times.get()], "i8"), timers.getCurrentWatermarkInMs() * 1000)
         return iter([])
 
     def close(self) -> None:
@@ -69,6 +70,21 @@ def rate_rule_stream(events: DataFrame, keys: tuple[str, ...] = ("session_id",),
     return rows.groupBy(*keys).transformWithStateInPandas(_TrailingCount(int(window * 1_000_000), ttl_s * 1000), "key string, event_id long, cnt long", "Append", "EventTime")
 
 
+def rate_decisions_stream(events: DataFrame, evaluators: list[Evaluator], rule: Rule, watermark: str = "10 minutes") -> DataFrame:
+    """(key, event_id, cnt, action, reason) per event of a stream that a counting rate rule admits.
+
+    Only events in the stages of the rule's evaluator that none of the other evaluators blocks enter its history.
+    Events older than the watermark are dropped by Spark, which counts them in ``numRowsDroppedByWatermark``.
+    """
+    own = next(e for e in evaluators if rule in e.rules)
+    if rule.rate.agg != "count" or rule.rate.window is None or rule.rate.where:
+        raise ValueError("only counts over a bounded window run on a stream")
+    admitted = evaluate_stream(events, evaluators).filter(~F.col("blocked") & F.col("stage").isin(*own.stages))
+    rate = rate_rule_stream(admitted.select(*events.columns), rule.rate.keys, rule.rate.window, watermark)
+    hit = threshold(rule.rate.condition, {rule.rate.name: F.col("cnt")})
+    return rate.withColumns({"action": F.when(hit, rule.action).otherwise("allow"), "reason": F.when(hit, rule.reason or f"SQL rule triggered: {rule.title}").otherwise("")})
+
+
 def rate_alerts_stream(events: DataFrame, keys: tuple[str, ...] = ("session_id",), length: str = "60 seconds", slide: str | None = "10 seconds", more_than: int = 50, watermark: str = "10 minutes") -> DataFrame:
     """(start, keys, n): windows in which a key has more than so many events; works on tables as on streams."""
     rows = events.withWatermark("event_time", watermark) if events.isStreaming else events
@@ -114,7 +130,12 @@ class _Assemble(StatefulProcessor):
 
 
 def assemble_tool_calls_stream(chunks: DataFrame) -> DataFrame:
-    """(stream_id, block, tool_name, tool_args) of a stream of records (stream_id, seq, data), as calls end; records in order."""
+    """(stream_id, block, tool_name, tool_args) of a stream of records (stream_id, seq, data), as calls end; records in order.
+
+    Input that isn't an object is empty, as in the batch.
+    """
     d = chunks.withColumn("d", F.from_json("data", "struct<type:string,content_block:struct<type:string,name:string>,delta:struct<type:string,partial_json:string>>"))
     rows = d.select("stream_id", "seq", "d.type", F.col("d.content_block.type").alias("block_type"), F.col("d.content_block.name").alias("name"), F.col("d.delta.type").alias("delta_type"), F.col("d.delta.partial_json").alias("part"))
-    return rows.groupBy("stream_id").transformWithStateInPandas(_Assemble(), "stream_id long, block int, tool_name string, tool_args string", "Append", "None")
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    calls = rows.groupBy("stream_id").transformWithStateInPandas(_Assemble(), f"stream_id {kind}, block int, tool_name string, tool_args string", "Append", "None")
+    return calls.withColumn("tool_args", F.when(F.schema_of_variant(F.try_parse_json("tool_args")).startswith("OBJECT"), F.col("tool_args")).otherwise(F.lit("{}")))
