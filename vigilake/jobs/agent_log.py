@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ COMMANDS = [
     ("exec", "cat notes.txt", "/home/u/notes.txt", None),
     ("exec", "aws s3 ls > out.txt; echo 'api_key = \"abcdefghij0123456789xyz\"'", None, None),
     (None, None, None, None),
+    ("exec", "post token=" + "QUJDREVG" * 6, None, None),
+    ("exec", "xxd -r -p " + "00ff" * 20, None, None),
 ]
 
 
@@ -60,6 +64,26 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all machines share: ``spark.checkpoint.dir``, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_log(events: DataFrame, path: str) -> None:
+    """Events as a log of JSON lines, as requests to evaluate are: without an id, results as JSON values."""
+    value = F.when(F.col("tool_result_is_string"), _json_string(F.col("tool_result"))).otherwise(F.coalesce("tool_result", F.lit("null")))
+    head = F.to_json(F.struct("stage", "session_id", "channel", "timestamp", "message_text", "tool_name"))
+    args = F.coalesce("tool_args", F.lit("{}"))
+    line = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"tool_args":'), args, F.lit(',"tool_result":'), value, F.lit(',"params":{"tool_result":"x"}}'))
+    events.withColumn("head", head).select(line.alias("value")).write.text(path)
+
+
+def _json_string(text):
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _sql(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 

@@ -65,7 +65,7 @@ def _first(e: Evaluator, what: str) -> str:
     """CASE over an evaluator's rules: the first hit's action or reason."""
     cases = []
     for r in e.rules:
-        out = r.action if what == "action" else r.reason if e.type == "cel" else _PREFIX[e.type] + r.title
+        out = r.action if what == "action" else r.id if what == "id" else r.reason if e.type == "cel" else _PREFIX[e.type] + r.title
         cases.append(f"WHEN {predicate(r.id)} THEN {quoted(out)}")
     stages = ", ".join(map(quoted, e.stages))
     return f"CASE WHEN stage NOT IN ({stages}) THEN NULL {' '.join(cases)} ELSE {quoted('allow') if what == 'action' else 'NULL'} END"
@@ -88,3 +88,19 @@ def category_sql(name: str) -> str:
 
 def pack_sql() -> str:
     return decisions_sql(list(rule_pack()))
+
+
+def by_rule_sql(evaluators: list[Evaluator]) -> str:
+    """(stage, evaluator, rule_id, action): a row per event and result by evaluators that need no history, from ``decided``."""
+    each = []
+    es = [e for e in in_order(evaluators) if e.type != "sql"]
+    for i, e in enumerate(es):
+        live = " AND ".join(["true", *(f"COALESCE(a{j} <> 'block', true)" for j in range(i))])
+        each.append(f"SELECT stage, {quoted(e.name)} AS evaluator, {_first(e, 'id').replace(quoted('allow'), 'NULL')} AS rule_id, a{i} AS action FROM decided WHERE a{i} IS NOT NULL AND {live}")
+    return " UNION ALL ".join(each)
+
+
+def catalog_sql(evaluators: list[Evaluator]) -> str:
+    """The rule catalogue as a VALUES list: rule_id, title, eval_type, ord, nth, category."""
+    rows = [f"({quoted(r.id)}, {quoted(r.title)}, {quoted(e.type)}, {i}, {n}, {quoted(r.category)})" for i, e in enumerate(in_order(evaluators)) for n, r in enumerate(e.rules)]
+    return f"(VALUES {', '.join(rows)}) AS c(rule_id, title, eval_type, ord, nth, category)"

@@ -52,8 +52,8 @@ class _TrailingCount(StatefulProcessor):
         else:
             self.times.clear()
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self._keep(np.array([r[0] for r in self.times.get()], "i8"), timers.getCurrentWatermarkInMs() * 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self._keep(np.array([r[0] for r in self.times.get()], "i8"), timerValues.getCurrentWatermarkInMs() * 1000)
         return iter([])
 
     def close(self) -> None:
