@@ -197,16 +197,46 @@ def test_pages_come_back_from_archives(spark):
     assert all(r.payload_digest == hashlib.sha1((t or "").encode()).hexdigest() and r.payload_bytes == len((t or "").encode()) for r in got for i, _, t in rows if i == r.page_id)
 
 
-def test_legacy_records(spark, tmp_path):
-    one = b"http://x/ 1.2.3.4 20010203040506 text/html 5\nhello\n"
-    two = b"http://y/ 1.2.3.4 20010203040506 text/html 200 - - 0 f.arc 2\nhi\n"
-    bad = b"http://z/ 1.2.3.4 20010203040506 text/html 99\nshort\n"
-    df = spark.createDataFrame([(1, 1, one), (2, 2, two), (3, 1, bad), (4, 1, two)], "page_id long, version int, arc binary")
-    parsed = {r.page_id: r for r in warc.parse_arc(df).collect()}
-    assert [parsed[i].valid for i in (1, 2, 3, 4)] == [True, True, False, False] and bytes(parsed[1].payload) == b"hello" and bytes(parsed[2].payload) == b"hi"
-    warc.write_warc(warc.to_warc(warc.parse_arc(df)), str(tmp_path / "w"))
+def test_pages_of_one_id_and_different_payloads(spark):
+    a, b = "a" * 1200, "b" * 1200
+    rows = [(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b), (3, "u", a)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert sorted((r.page_id, r.payload_digest, r.refers_to or 0) for r in got) == sorted([(1, sha(a), 3), (1, sha(b), 3), (2, sha(a), 3), (3, sha(b), 0), (3, sha(a), 0)])
+
+
+def test_legacy_archives(spark, tmp_path):
+    date = "20010203040506"
+    one = warc.version_block(1, date) + b"http://x/ 1.2.3.4 20010203040506 text/html 5\nhel\nl\n\nhttp://z/ 1.2.3.4 text/html 2\nno\nhttp://w/ 1.2.3.4 20010203040506 text/html 0\n\nhttp://v/ 1.2.3.4 20010203040506 text/html 99\nshort\n"
+    two = warc.version_block(2, date) + b"http://y/ 1.2.3.4 20010203040506 text/html 200 - - 0 f.arc 2\nhi\n"
+    df = spark.createDataFrame([([1, 2, 3, 4], one), ([5], two), ([6], b"http://q/ 1.2.3.4 20010203040506 text/html 2\n9 \n"), ([], b"")], "ids array<long>, content binary")
+    parsed = {r.page_id: r for r in warc.read_arc(df).collect()}
+    assert {i: r.why for i, r in parsed.items()} == {1: "", 2: "fields", 3: "", 4: "length", 5: "", 6: "version", None: "version"}
+    assert [bytes(parsed[i].payload) for i in (1, 3, 5)] == [b"hel\nl", b"", b"hi"]
+    warc.write_warc(warc.to_warc(warc.read_arc(df)), str(tmp_path / "w"))
     heads = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse_warc(gzip.decompress(f.read_bytes()))]
-    assert sorted(h["WARC-Target-URI"] for h in heads) == ["http://x/", "http://y/"] and {h["WARC-Date"] for h in heads} == {"2001-02-03T04:05:06Z"}
+    assert sorted(h["WARC-Target-URI"] for h in heads) == ["http://w/", "http://x/", "http://y/"] and {h["WARC-Date"] for h in heads} == {"2001-02-03T04:05:06Z"}
+
+
+def test_archived_pages_equal_sql(spark):
+    import os
+
+    duckdb, sf = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    from vigilake.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = queries.op7_warc(spark, sf).select(cols).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({queries.OP7_SQL})").fetchall(), key=repr)
+
+
+def test_large_pages_are_files_of_their_own(spark):
+    rows = [(i, "u", "x" * n) for i, n in enumerate([10, 300_000, 300_001, 5_000_000])]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(i, len(t), "response") for i, _, t in rows]
 
 
 # --- pages -------------------------------------------------------------------------------------------------
