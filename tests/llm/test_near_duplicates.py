@@ -95,6 +95,14 @@ def test_ids_that_repeat_or_are_null(spark):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_links_go_through_rows_without_id(spark, monkeypatch):
+    """Three fingerprints in a chain, the middle one's row without an id."""
+    fps = {1: 0, None: 0b111, 5: 0b111111, 7: -1}
+    monkeypatch.setattr(simhash_dedup, "with_fingerprint", lambda docs, *_: docs.select(F.col("doc_id").alias("id"), "fp"))
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(list(fps.items()), "doc_id long, fp long")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, None: 1, 5: 1, 7: 7}
+
+
 def test_long_runs_meet_at_midpoints(spark):
     r = random.Random(4)
     center = r.getrandbits(64)

@@ -278,19 +278,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links of at most ``radius`` differing bits, own id
     included.  Null or empty texts have fingerprint 0 and link like any other.  Rows that repeat an id are one
-    document.  A row with a null id keeps its fingerprint and its group's smallest id (null if it has none).
+    document.  Rows with a null id link like any other; they have their group's smallest id (null if it has none).
     An empty table gives an empty result; other columns of ``docs`` are ignored.
     """
     if radius % 2:
         raise ValueError("radius must be even: long runs meet at midpoints")
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(with_fingerprint(docs, id_col, text_col, shingle))
-    reps = scratch.save(rows.groupBy("fp").agg(F.min("id").cast("long").alias("rep")))
-    linkable = reps.filter("rep is not null")
-    n = linkable.count()
-    masks, _ = plan_masks(linkable.select("fp"), n, radius, run_limit)
+    # a fingerprint's name in links is a number of its own; its owner is its smallest id, if any of its rows has one
+    reps = scratch.save(rows.groupBy("fp").agg(F.min("id").cast("long").alias("owner")).select(F.monotonically_increasing_id().alias("rep"), "fp", "owner"))
+    n = reps.count()
+    masks, _ = plan_masks(reps.select("fp"), n, radius, run_limit)
     keys = F.transform(longs(masks), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
-    keyed = linkable.select(F.explode(keys).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
+    keyed = reps.select(F.explode(keys).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
     found = scratch.save(keyed.mapInArrow(run_links(radius, run_limit), "a long, b long, hot boolean"))
     links = found.filter("not hot").select("a", "b")
     if found.filter("hot").limit(1).count():
@@ -298,10 +298,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_midpoint_links(hot, radius))
     # rows of one id with different texts are one document: the id itself joins their fingerprints
     many = rows.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y and id is not null").select("id")
-    links = links.unionByName(rows.join(many, "id", "left_semi").join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    owned = rows.select("id", "fp").join(many, "id", "left_semi").distinct().join(reps.select("fp", "rep"), "fp")
+    links = links.unionByName(owned.join(owned.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b"))
     parts = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
-    by_fp = reps.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    by_fp = scratch.save(reps.join(parts, "rep", "left").select("fp", "owner", F.coalesce("component", "rep").alias("component")))
+    least = by_fp.groupBy("component").agg(F.min("owner").alias("component_id"))
+    out = rows.join(by_fp.join(least, "component").select("fp", "component_id"), "fp")
+    return out.select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, similarity: float | None = None) -> DataFrame:
