@@ -183,9 +183,39 @@ def test_embeddings_of_a_large_group(spark):
         assert sum(got.values()) >= least * want.sum()
         assert np.mean([got.get(i, 0) / want[i] for i in np.flatnonzero(want)]) >= least
     # one vector's lost links count, however few they are
-    lost = int(np.flatnonzero(want)[0])
-    some = spark.createDataFrame([(int(i), None, int(want[i])) for i in np.flatnonzero(want) if i != lost], "a long, b long, n long")
-    assert embedding_dedup.audit(nodes, some, embedding_dedup.Settings(audit_rows=3000)) <= 1 - 1 / (want > 0).sum() + 1e-9
+    cfg = embedding_dedup.Settings()
+    asked = embedding_dedup.audited(nodes, cfg)
+    names, _ = asked[0, 32]
+    real = names[names > embedding_dedup.PLANTED]
+    assert len(names) == 2000 and len(real) == 1000 and {int(i) % 50 for i in real[:60]} == {0}
+    rows_only = {key: (n[n > embedding_dedup.PLANTED], w[n > embedding_dedup.PLANTED]) for key, (n, w) in asked.items()}
+    seen = [i for i in real.tolist() if want[i]]
+    some = spark.createDataFrame([(int(i), None, int(want[i])) for i in np.flatnonzero(want) if i != seen[0]], "a long, b long, n long")
+    assert embedding_dedup.audit(nodes, some, rows_only, cfg) <= 1 - 1 / len(seen) + 1e-9
+
+
+def test_planted_queries_are_evidence(spark):
+    """A table without links: only the planted queries tell whether the search works."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(1200, 24))
+    w = embedding_dedup.plant(x[:50], 0.98, 1)
+    cos = (w * x[:50]).sum(1) / np.linalg.norm(w, axis=1) / np.linalg.norm(x[:50], axis=1)
+    assert np.allclose(cos, np.cos(np.arccos(0.98) / 2))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(df, cfg=embedding_dedup.Settings(shard_rows=100)).collect()
+    assert len(got) == 1200 and {r.n_links for r in got} == {0} and got[0].audited_recall >= 0.98
+    # a search that finds nothing is found out
+    nodes = embedding_dedup.distinct_vectors(df, "vec_id", "embedding", "label")
+    none = spark.createDataFrame([], "a long, b long, n long")
+    assert embedding_dedup.audit(nodes, none, embedding_dedup.audited(nodes, embedding_dedup.Settings()), embedding_dedup.Settings()) == 0
+    assert embedding_dedup.near_duplicates(df.filter("vec_id % 50 <> 0")).first().audited_recall >= 0.98
+    assert embedding_dedup.near_duplicates(df.withColumn("label", F.lit(None).cast("int"))).first().audited_recall is None
+
+
+def test_huge_vectors_link(spark):
+    rows = [(50, [1e200, 1e200], 0), (51, [2e200, 2e200], 0), (52, [1e200, -1e200], 0)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {50: 1, 51: 1, 52: 0}
 
 
 def test_fingerprints_of_edits(spark):

@@ -9,8 +9,9 @@
 4. Search: each vector asks in its shards, greedily from the shard's medoid with a beam; whatever it meets
    within the range is expanded until nothing new is within the range.
 5. Found pairs are verified by cosine in double precision; each pair counts in one shard only.
-6. Audit: a bounded set of vectors is compared with all rows.  If recall, by link or by vector, is below the target,
-   the search is run again with a wider beam, more overlap, more reach and longer lists; after the third time
+6. Audit: vectors whose id is divisible by 50, then others (a bounded number, chosen by a hash), are compared with all
+   rows, and with them as many planted queries, which are audited vectors turned by less than the threshold's angle, so that there is
+   something to find in any table.  If recall, by link or by vector, is below the target, the search is run again with a wider beam, more overlap, more reach and longer lists; after the third time
    without the graph: each vector is put wherever a link of it may lie, and shards are compared pair by pair.
 
 Shards are bounded, so a task's memory is; links leave a task as counts and a spanning forest, not as pairs.
@@ -26,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.components import connected_components
 from vigilake.llm.scratch import Scratch
@@ -49,7 +51,7 @@ class Settings:
     beam: int = 24
     sample_rows: int = 20_000
     centroids: int = 8192
-    audit_rows: int = 256
+    audit_rows: int = 1000
     least_recall: float = 0.98
     seed: int = 7
 
@@ -66,6 +68,19 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: s
     return rows.filter(fine).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "label", "v", "n")
 
 
+PLANTED = -(1 << 62)  # planted queries have smaller numbers than any row's id may be
+
+
+def plant(vectors: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """Vectors turned by half the angle of the threshold, in directions by chance."""
+    u = _unit(vectors)
+    r = np.random.default_rng(seed).normal(size=u.shape)
+    r -= (r * u).sum(1, keepdims=True) * u
+    size = np.linalg.norm(r, axis=1, keepdims=True)
+    angle = np.arccos(np.clip(threshold, -1, 1)) / 2
+    return np.cos(angle) * u + np.sin(angle) * np.divide(r, size, out=np.zeros_like(r), where=size > 1e-6)
+
+
 # --- shards ------------------------------------------------------------------------------------------------
 
 
@@ -162,7 +177,7 @@ def _assign(sent, cfg: Settings):
 
 def place(nodes: DataFrame, cfg: Settings) -> DataFrame:
     """(rep, label, v, n, clusters, cluster, pieces): a row per vector and cluster; ``pieces``: parts the cluster is cut into."""
-    sent = nodes.sparkSession.sparkContext.broadcast(fit_centroids(nodes, cfg))
+    sent = nodes.sparkSession.sparkContext.broadcast(fit_centroids(nodes.filter(F.col("rep") > PLANTED), cfg))
     kind = nodes.schema["label"].dataType.simpleString()
     put = nodes.mapInArrow(_assign(sent, cfg), f"rep long, label {kind}, v array<double>, n long, clusters array<int>")
     rows = put.withColumn("cluster", F.explode("clusters"))
@@ -228,7 +243,7 @@ def _build(cfg: Settings):
 def build_graph(placed: DataFrame, cfg: Settings) -> DataFrame:
     """(rep, near): the united neighbour lists of all shards, whose sizes bound them."""
     piece = F.pmod(F.xxhash64("rep"), F.col("pieces"))
-    lists = placed.select("label", "cluster", piece.alias("piece"), "rep", "v").groupBy("label", "cluster", "piece").applyInPandas(_build(cfg), "rep long, near array<long>")
+    lists = placed.filter(F.col("rep") > PLANTED).select("label", "cluster", piece.alias("piece"), "rep", "v").groupBy("label", "cluster", "piece").applyInPandas(_build(cfg), "rep long, near array<long>")
     return lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -324,11 +339,15 @@ def _search(cfg: Settings, exact: bool):
         for i, (rep, hits) in enumerate(zip(asks["rep"].tolist(), found, strict=True)):
             hits = hits[reps[hits] != rep]
             # verify in double precision, and count a pair in the first cluster that holds both
-            sure = (v[hits] @ w[i]) / (np.linalg.norm(v[hits], axis=1) * np.linalg.norm(w[i])) >= cfg.threshold
+            with np.errstate(over="ignore", invalid="ignore"):
+                cos = (v[hits] @ w[i]) / (np.linalg.norm(v[hits], axis=1) * np.linalg.norm(w[i]))
+            cos = np.where(np.isfinite(cos), cos, x[hits] @ q[i])  # products beyond double precision
+            sure = cos >= cfg.threshold
             hits = [j for j in hits[sure].tolist() if min(homes_x[j] & homes_q[i]) == cluster]
             if hits:
                 counts.append((rep, int(n[hits].sum())))
-                links += [(rep, int(reps[j])) for j in hits]
+                if rep > PLANTED:  # planted queries join nothing
+                    links += [(rep, int(reps[j])) for j in hits]
         forest = _forest(np.array([a for a, _ in links], "i8"), np.array([b for _, b in links], "i8")) if links else []
         return counts, forest
 
@@ -352,7 +371,8 @@ def search_graph(placed: DataFrame, graph: DataFrame | None, cfg: Settings) -> D
     piece = F.pmod(F.xxhash64("rep"), F.col("pieces"))
     each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     cols = ["label", "cluster", "rep", "v", "n", "clusters"]
-    data = placed.withColumn("near", F.lit(None).cast("array<long>")) if graph is None else placed.join(graph, "rep")
+    held = placed.filter(F.col("rep") > PLANTED)
+    data = held.withColumn("near", F.lit(None).cast("array<long>")) if graph is None else held.join(graph, "rep")
     stored = data.select(*cols, "near", F.lit(True).alias("stored"), piece.cast("int").alias("x"), each.alias("q"))
     asks = placed.select(*cols, F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("stored"), each.alias("x"), piece.cast("int").alias("q"))
     return stored.unionByName(asks).groupBy("label", "cluster", "x", "q").applyInPandas(_search(cfg, graph is None), "a long, b long, n long")
@@ -374,29 +394,48 @@ def _exact_counts(sent, threshold: float):
             by: dict = {}
             for i, label in enumerate(labels):
                 by.setdefault((label, at[i + 1] - at[i]), []).append(i)
-            for rep, label, v in asked:
-                mine = by.get((label, len(v)))
+            for (label, d), (names, w) in asked.items():
+                mine = by.get((label, d))
                 if mine:
-                    x = flat[(at[mine][:, None] + np.arange(len(v)))]
-                    cos = (x @ v) / (np.linalg.norm(x, axis=1) * np.linalg.norm(v))
-                    counts[rep] = counts.get(rep, 0) + int(n[mine][(cos >= threshold) & (reps[mine] != rep)].sum())
+                    x = flat[(at[mine][:, None] + np.arange(d))]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        cos = (w @ x.T) / (np.linalg.norm(w, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+                    if not np.isfinite(cos).all():
+                        cos = np.where(np.isfinite(cos), cos, _unit(w) @ _unit(x).T)
+                    hit = ((cos >= threshold) & (reps[mine] != names[:, None])) @ n[mine]
+                    for rep, m in zip(names.tolist(), hit.tolist(), strict=True):
+                        counts[rep] = counts.get(rep, 0) + int(m)
         yield pa.RecordBatch.from_pydict({"a": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
     return go
 
 
-def audit(nodes: DataFrame, found: DataFrame, cfg: Settings) -> float:
-    """Found links of the audited vectors, as a share of those that comparing them with all rows gives.
+def audited(nodes: DataFrame, cfg: Settings) -> dict:
+    """(label, length) -> (numbers, vectors): what the audit asks for, planted queries behind the rows that they are made from."""
+    rows = nodes.orderBy(F.col("rep") % 50 != 0, F.xxhash64("rep", F.lit(cfg.seed + 1)), "rep").limit(cfg.audit_rows).select("rep", "label", "v").collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault((r["label"], len(r["v"])), []).append(r)
+    out, made = {}, 0
+    for key, mine in by.items():
+        w = np.array([r["v"] for r in mine])
+        names = [*(r["rep"] for r in mine), *range(PLANTED - made - len(mine), PLANTED - made)]
+        made += len(mine)
+        out[key] = np.array(names, "i8"), np.concatenate([w, plant(w, cfg.threshold, cfg.seed)])
+    return out
+
+
+def audit(nodes: DataFrame, found: DataFrame, asked: dict, cfg: Settings) -> float | None:
+    """Found links of what the audit asks for, as a share of those that comparing with all rows gives; None without any.
 
     The lesser of the share of all their links and the mean share of those vectors that have links.
     """
-    asked = nodes.orderBy(F.xxhash64("rep", F.lit(cfg.seed + 1)), "rep").limit(cfg.audit_rows).select("rep", "label", "v").collect()
-    sent = nodes.sparkSession.sparkContext.broadcast([(r["rep"], r["label"], np.array(r["v"])) for r in asked])
+    sent = nodes.sparkSession.sparkContext.broadcast(asked)
     true = nodes.mapInArrow(_exact_counts(sent, cfg.threshold), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 0")
-    got = found.filter(F.col("b").isNull() & F.col("a").isin([r["rep"] for r in asked])).groupBy("a").agg(F.sum("n").alias("got"))
+    got = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("got"))
     share = F.coalesce("got", F.lit(0)) / F.col("n")
     r = true.join(got, "a", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("links"), F.avg(share).alias("vectors")).first()
-    return 1.0 if r["links"] is None else min(r["links"], r["vectors"])
+    return None if r["links"] is None else min(r["links"], r["vectors"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cfg: Settings | None = None) -> DataFrame:
@@ -404,25 +443,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Rows link where labels are equal and not null and the cosine is at least the threshold.  Rows that are left
     out of ``distinct_vectors`` link with nothing.  Rows with one id and one vector count as rows of their own.
-    An empty table gives no rows.  ``audited_recall`` is the audit's figure, the same on each row.
+    An empty table gives no rows.  ``audited_recall`` is the audit's figure, the same on each row; null where no vector can
+    link with anything.
     """
     cfg = cfg or Settings()
     scratch = Scratch(vectors.sparkSession, "embeddings")
     nodes = scratch.save(distinct_vectors(vectors, id_col, vec_col, label_col))
+    asked = audited(nodes, cfg)
+    kind = nodes.schema["label"].dataType
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("label", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    planted = vectors.sparkSession.createDataFrame([(int(rep), label, v.tolist(), 0) for (label, _), (names, w) in asked.items() for rep, v in zip(names, w, strict=True) if rep <= PLANTED], schema)
     for attempt in range(4):
-        placed = scratch.save(place(nodes, cfg))
-        found = scratch.save(search_graph(placed, build_graph(placed, cfg) if attempt < 3 else None, cfg))
-        recall = audit(nodes, found, cfg)
+        placed = scratch.save(place(nodes.unionByName(planted), cfg))
+        every = scratch.save(search_graph(placed, build_graph(placed, cfg) if attempt < 3 else None, cfg))
+        recall = audit(nodes, every, asked, cfg)
         scratch.drop(placed)
-        if recall >= cfg.least_recall:
+        if recall is None or recall >= cfg.least_recall:
             break
         cfg = replace(cfg, overlap=cfg.overlap + 1, reach=cfg.reach * 2 if attempt < 2 else float("inf"), beam=cfg.beam * 2, degree=cfg.degree * 3 // 2)
     else:
         raise RuntimeError(f"audited recall {recall} after comparing all pairs")
+    found = every.filter(F.col("a") > PLANTED)
     parts = connected_components(found.filter("b is not null").select("a", "b"), scratch).select(F.col("node").alias("rep"), "component")
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     known = nodes.join(parts, "rep", "left").join(counts, "rep", "left").select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("_label"), F.transform(vec_col, lambda x: x.cast("double")).alias("_vec"))
     out = rows.join(known, (F.col("_label") == F.col("_l")) & (F.col("_vec") == F.col("_v")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", F.col("id").cast("long"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"), F.lit(float(recall)).alias("audited_recall"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))
