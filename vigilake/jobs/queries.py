@@ -14,7 +14,7 @@ from vigilake.operators.chain import evaluate, result, rule_hits
 from vigilake.operators.rates import RateSpec, trailing
 from vigilake.rules.loader import rule_from
 from vigilake.rules.model import Evaluator
-from vigilake.rules.pack import category, rule_pack
+from vigilake.rules.pack import EVALUATORS, category, rule_pack
 from vigilake.sources import events as sources
 from vigilake.sources import traffic
 from vigilake.streaming import scoring
@@ -176,7 +176,8 @@ def p4_stages(spark, sf_dir):
     return evaluate(_events(spark, sf_dir), _evaluator("regex", rule, stages=("tool.before", "tool.after"))).filter("action = 'detect'").groupBy("stage").agg(F.count("*").alias("n"))
 
 
-_VISA = r"\b4\d{3}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
+_PATTERNS = {r["id"]: r["pattern"] for e in EVALUATORS for r in e["rules"] if "pattern" in r}
+_VISA, _PHONE = _PATTERNS["regex-pii-002"], _PATTERNS["regex-pii-005"]
 
 
 @_query(f"SELECT doc_id, left(regexp_extract(text, {oracle.quoted(_VISA)}), 200) AS match FROM documents WHERE regexp_matches(text, {oracle.quoted(_VISA)})")
@@ -280,7 +281,6 @@ def r1_redact(spark, sf_dir):
     return d.filter("redacted is not null").select(F.col("event_id").alias("doc_id"), F.md5("redacted").alias("masked"))
 
 
-_PHONE = r"\b(?:\+1[- ]?)?\(?\d{3}\)?[- ]?\d{3}[- ]?\d{4}\b"
 
 
 @_query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, {oracle.quoted(_VISA)}, '[REDACTED]', 'g'), {oracle.quoted(_PHONE)}, '[REDACTED]', 'g')) AS masked FROM documents WHERE regexp_matches(text, {oracle.quoted(_VISA)}) OR regexp_matches(text, {oracle.quoted(_PHONE)})")

@@ -110,36 +110,54 @@ class AlwaysFails(ValueError):
     """The rule would break the evaluator that it is in, on every event."""
 
 
+def _joined(a: Column, op: str, b: Column) -> Column:
+    return a & b if op == "and" else a | b
+
+
+def _quantified(m: re.Match, named: dict[str, Column]) -> Column:
+    chosen = [c for name, c in named.items() if name.startswith(m["prefix"])]
+    return (_some if m["n"] == "1" else _all)(chosen)
+
+
+def _inner(m: re.Match, named: dict[str, Column]) -> Column:
+    return _parity_condition(m["group"], named) if m["group"].strip() else _all(list(named.values()))
+
+
+def _word_and_group(m: re.Match, named: dict[str, Column]) -> Column:
+    return _joined(_named(re.sub(rf"(?:{m['op']})+$", "", m["a"]), named), m["op"], _inner(m, named))
+
+
+def _group_as_a_word(m: re.Match, named: dict[str, Column]) -> Column:
+    return _parity_condition(f"{m['head']} {_GROUP} {m['tail']}", named | {_GROUP: _inner(m, named)})
+
+
+def _broken(m: re.Match, named: dict[str, Column]) -> Column:
+    raise AlwaysFails(m[0])
+
+
+def _named(name: str, named: dict[str, Column]) -> Column:
+    return named.get(name.strip(), F.lit(False))
+
+
 _GROUP = "<group>"
+# The conditions that decisions must agree in, as shapes; the first that fits the whole text counts.  What follows a
+# group that a word and an operator lead isn't read.
+_PARITY_SHAPES = [
+    (r"(?P<n>1|all) of (?P<prefix>.*?)\**", _quantified),
+    (r"(?P<a>\S+)", lambda m, named: _named(m["a"], named)),
+    (r"(?P<a>\S+)\s+and\s+not\s+(?P<b>\S+)", lambda m, named: _named(m["a"], named) & ~_named(m["b"], named)),
+    (r"(?P<a>\S+)\s+(?P<op>and|or)\s+(?P<b>\S+)", lambda m, named: _joined(_named(m["a"], named), m["op"], _named(m["b"], named))),
+    (r"(?P<a>[^(]*?)\s*(?P<op>and|or)\s*\((?P<group>.*)\)[^)]*", _word_and_group),
+    (r"(?P<head>[^(]*)\((?P<group>.*)\)(?P<tail>[^)]*)", _group_as_a_word),
+    (r"[^(]*\)[^)]*\(.*", _broken),
+]
 
 
 def _parity_condition(text: str, named: dict[str, Column]) -> Column:
-    """The subset of conditions that the engine to match reads; everything else means that all selections match."""
-    get = lambda name: named.get(name, F.lit(False))
-    text = text.strip()
-    quantified = re.fullmatch(r"(1|all) of (.*?)\**", text, re.S)
-    if quantified:
-        chosen = [c for name, c in named.items() if name.startswith(quantified[2])]
-        return _some(chosen) if quantified[1] == "1" else _all(chosen)
-    words = text.split()
-    match words:
-        case [a]:
-            return get(a)
-        case [a, "and", "not", b]:
-            return get(a) & ~get(b)
-        case [a, ("and" | "or") as op, b]:
-            return (get(a) & get(b)) if op == "and" else (get(a) | get(b))
-    if "(" in text and ")" in text:
-        start, stop = text.index("("), text.rindex(")")
-        if stop < start:
-            raise AlwaysFails(text)
-        group, head, tail = text[start + 1 : stop], text[:start].strip(), text[stop + 1 :].strip()
-        inner = _parity_condition(group, named) if group.strip() else _all(list(named.values()))
-        joined = re.fullmatch(r"(.*?)\s*(and|or)", head, re.S)
-        if joined:
-            first = get(re.sub(rf"(?:{joined[2]})+$", "", joined[1]).strip())
-            return (first & inner) if joined[2] == "and" else (first | inner)
-        return _parity_condition(f"{head} {_GROUP} {tail}", named | {_GROUP: inner})
+    """A condition of one of the shapes above; any other means that all selections match."""
+    for shape, build in _PARITY_SHAPES:
+        if m := re.fullmatch(shape, text.strip(), re.S):
+            return build(m, named)
     return _all(list(named.values()))
 
 
