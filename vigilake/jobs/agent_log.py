@@ -40,9 +40,15 @@ COMMANDS = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt out anew: scoring an event costs far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as agent events: command by event_id, session by user, errors as results, messages where there is one."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     rows = [(i, *c) for i, c in enumerate(COMMANDS)]
     commands = spark.createDataFrame(rows, "i int, tool string, command string, path string, message string")
     at = events.join(F.broadcast(commands), F.pmod("event_id", F.lit(len(COMMANDS))) == F.col("i"))
