@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,24 +283,46 @@ def _transfer(path: str):
 _MATRIX = "h array<double>, t array<double>, full array<double>"
 
 
-def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+def _combine(rows: list[dict]) -> list[dict]:
     """Neighbours in order -> their product."""
-    pdf = pdf.sort_values("k")
-    each = [_unpack(*m) for m in zip(pdf["h"], pdf["t"], pdf["full"], strict=True)]
-    m = each[0]
-    for other in each[1:]:
-        m = product(m, other)
+    m = _unpack(rows[0]["h"], rows[0]["t"], rows[0]["full"])
+    for r in rows[1:]:
+        m = product(m, _unpack(r["h"], r["t"], r["full"]))
     h, t, full = _pack(m)
-    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "k": [pdf["up"].iloc[0]], "h": [h], "t": [t], "full": [full]})
+    return [{"row": rows[0]["row"], "k": rows[0]["up"], "h": h, "t": t, "full": full}]
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+def _resolve(rows: list[dict]) -> list[dict]:
     """Neighbours in order, with the states around them all -> the states around each."""
-    pdf = pdf.sort_values("k")
-    each = [_unpack(*m) for m in zip(pdf["h"], pdf["t"], pdf["full"], strict=True)]
-    entry, leave = int(pdf["entry"].iloc[0]), int(pdf["leave"].iloc[0])
-    inner = states_between(each, entry, leave)
-    return pdf[["row", "k"]].assign(entry=[entry, *inner], leave=[*inner, leave])
+    entry, leave = rows[0]["entry"], rows[0]["leave"]
+    inner = states_between([_unpack(r["h"], r["t"], r["full"]) for r in rows], entry, leave)
+    return [{"row": r["row"], "k": r["k"], "entry": a, "leave": b} for r, a, b in zip(rows, [entry, *inner], [*inner, leave], strict=True)]
+
+
+_LEVEL = pa.schema([("row", pa.int64()), ("k", pa.int64()), *[(c, pa.list_(pa.float64())) for c in ("h", "t", "full")]])
+_STATES = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32())])
+
+
+def _by_neighbours(rows: DataFrame, make, schema: pa.Schema, ddl: str) -> DataFrame:
+    """``make`` of each group (row, up) in the order of k.  Groups are small: ``fan`` rows at most.
+
+    The number of partitions is asked for, as the work is more than the rows' bytes would let expect.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if held and (held[0]["row"], held[0]["up"]) != (r["row"], r["up"]):
+                    out += make(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        yield pa.RecordBatch.from_pylist(make(held) if held else [], schema)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "row", "up").sortWithinPartitions("row", "up", "k").mapInArrow(go, ddl)
 
 
 def scan(matrices: DataFrame, scratch: Scratch, fan: int = 32) -> DataFrame:
@@ -312,11 +333,11 @@ def scan(matrices: DataFrame, scratch: Scratch, fan: int = 32) -> DataFrame:
     levels = [matrices.select("row", F.col("k").cast("long").alias("k"), "h", "t", "full")]
     up = F.floor(F.col("k") / fan).cast("long").alias("up")
     while levels[-1].filter("k > 0").limit(1).count():
-        levels.append(scratch.save(levels[-1].select("*", up).groupBy("row", "up").applyInPandas(_combine, f"row long, k long, {_MATRIX}")))
+        levels.append(scratch.save(_by_neighbours(levels[-1].select("*", up), _combine, _LEVEL, f"row long, k long, {_MATRIX}")))
     states = levels.pop().select("row", "k", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
     for level in reversed(levels):
         around = states.withColumnRenamed("k", "up")
-        states = scratch.save(level.select("*", up).join(around, ["row", "up"]).groupBy("row", "up").applyInPandas(_resolve, "row long, k long, entry int, leave int"))
+        states = scratch.save(_by_neighbours(level.select("*", up).join(around, ["row", "up"]), _resolve, _STATES, "row long, k long, entry int, leave int"))
     return states
 
 
