@@ -320,3 +320,91 @@ def test_words_encode_as_texts():
         assert codec.encode(text) == np.array(codec.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
     for text in ["İstanbul Σίσυφος a\x1cb <|endoftext|>x it's WE'LL 1234 5,6 é e\u0301 ﬁ ½ 中文字 'tis ''s", "", "   ", "ǅ ŉ ß ẞ \u200b a\u200bb", "x'sy 'll's _a_b 9a8 ²³ Ⅷ ٣", "don't. stop, can't!"]:
         assert codec.encode(text) == np.array(codec.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# --- plain versions of what Spark sums, and of shortcuts ---------------------------------------------------
+
+
+def plain_importance(counts):
+    """(node -> n, importance, own, prior) from {(node, kind, feature): [df, up, ups, length, share, prior, mark, heading]}."""
+    ln, nodes = np.log, {}
+    for (node, kind, _), (df, up, ups, length, share, prior, mark, heading) in counts.items():
+        x = nodes.setdefault(node, {"n": 0, "up": None, "ups": (), "sums": np.zeros(4), "lists": 0, "h": 0.0, "length": 0.0, "said": 0.0})
+        if kind == "node":
+            x["n"], x["up"], x["ups"], x["sums"] = x["n"] + df, up, ups, x["sums"] + [share, prior, mark, heading]
+        elif kind == "shown":
+            x["lists"], x["h"] = x["lists"] + df, x["h"] + df * ln(df)
+        else:
+            x["length"], x["said"] = x["length"] + length, x["said"] + length * ln(df)
+    for x in nodes.values():
+        x["varied"] = 1 - x["h"] / x["lists"] / ln(x["lists"]) if x["lists"] > 1 else 0.0
+        x["new"] = max(x["length"] - (x["said"] / ln(x["n"]) if x["n"] > 1 else 0.0), 0.0)
+    out = {}
+    for node, x in nodes.items():
+        share, prior, mark, heading = x["sums"] / x["n"]
+        under = [y for y in nodes.values() if y["length"] and node in y["ups"]]
+        content = sum(y["new"] for y in under) / sum(y["length"] for y in under) if under else 1.0
+        flow = nodes[x["up"]]["varied"] if x["up"] in nodes else 1.0
+        size = share * 0.6 if mark > 0.5 else 1.0 if heading > 0.5 else max(share, x["varied"], flow)
+        out[node] = x["n"], size * content, size * (x["new"] / x["length"] if x["length"] else 1.0), prior
+    return out
+
+
+def test_style_tree_equals_a_plain_one(spark):
+    from vigilake.llm.scratch import Scratch
+
+    r, pages = random.Random(12), []
+    for h in range(3):
+        for i in range(9):
+            items = "".join(f"<li><a>item {j}</a></li>" for j in range(3 + h))
+            body = "".join(f"<p>{r.choice(['same line', f'story {i} {j}', f'other {i % 3}'])}</p>" for j in range(r.randrange(1, 5)))
+            pages.append((f"h{h}", f"<body><div class='top'><ul>{items}</ul></div><div class='x{h}'><h1>title {i}</h1>{body}</div><div id=footer>all rights</div></body>"))
+    pages += [pages[0], pages[1], ("h3", pages[0][1])]  # copies
+    once = {}
+    for host, page in pages:
+        for node, kind, feature, copy, up, ups, *numbers in html_extract.page_features(page):
+            once.setdefault((host, node, kind, feature, copy), []).append((up, tuple(ups or ()), numbers))
+    counts = {}
+    for (host, node, kind, feature, _), same in once.items():
+        x = counts.setdefault((host, node, kind, feature), [0, same[0][0], same[0][1], *[0.0] * 5])
+        x[0] += 1
+        x[3:] = list(np.array(x[3:]) + np.mean([s[2] for s in same], axis=0))
+    everywhere = {}
+    for (_, node, kind, feature), x in counts.items():
+        y = everywhere.setdefault((node, kind, feature), [0, x[1], x[2], *[0.0] * 5])
+        y[0] += 1
+        y[3:] = list(np.array(y[3:]) + np.array(x[3:]) / x[0])
+    blend = lambda seen, borrowed, n: ((n - 1) * seen + 8 * borrowed) / (n + 7)
+    general = {node: (blend(a, p, n), blend(b, p, n)) for node, (n, a, b, p) in plain_importance(everywhere).items()}
+    want = {}
+    for host in ("h0", "h1", "h2", "h3"):
+        for node, (n, a, b, _) in plain_importance({k[1:]: x for k, x in counts.items() if k[0] == host}).items():
+            want[host, node] = blend(a, general[node][0], n), blend(b, general[node][1], n)
+    tree = html_extract.style_tree(spark.createDataFrame(pages, "host string, body string"), Scratch(spark, "test"))
+    got = {(t["host"], t["node"]): (t["importance"], t["own"]) for t in tree.collect()}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(got)], atol=1e-9)
+    assert min(v[0] for v in got.values()) < 0.5 < 0.8 < max(v[0] for v in got.values())
+
+
+def test_deep_and_odd_markup():
+    deep = "<div class=a>" * 100_000 + "text" + "</div>" * 50_000
+    assert html_extract.main_text(deep) == "text" and len(html_extract.read_page(deep)[0]) <= html_extract.DEEPEST + 1
+    assert html_extract.main_text("<" * 50_000).count("<") >= 0 and html_extract.main_text("<p a='" + "x" * 100_000) is not None
+
+
+def test_label_words_equal_viterbi():
+    g = np.random.default_rng(2)
+    k = 3
+    model = language_id.Model(["a", "b", "c"], g.normal(size=(language_id._SLOTS, k)).astype("f4"), np.ones((len(language_id.SCRIPTS) + 1, k), bool), np.arange(k))
+    words = ["".join(map(chr, g.integers(97, 123, g.integers(1, 9)))) for _ in range(400)]
+    texts = [" ".join(g.choice(words, g.integers(0, 60))) for _ in range(60)] + [None, "", "12"]
+    for penalty in (2.0, 6.0, 25.0):
+        w = language_id.split_words(texts)
+        got = language_id.label_words(w, len(texts), model, penalty)
+        scores = language_id.word_scores(w, model).astype("f8")
+        for i in range(len(texts)):
+            mine = np.flatnonzero(w.text == i)
+            if len(mine):
+                value = lambda path, s=scores[mine]: s[np.arange(len(s)), path].sum() - penalty * (path[1:] != path[:-1]).sum()
+                assert value(got[mine]) == pytest.approx(value(language_id.viterbi([scores[mine]], penalty)[0]))
