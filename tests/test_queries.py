@@ -54,7 +54,7 @@ def test_hot_sessions_are_detected(spark, tmp_path):
     rows.to_parquet(tmp_path / "events.parquet", index=False)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
-    for name in ["a1_decisions_whole", "s8_audit_whole"]:
+    for name in ["a1_decisions", "s8_audit"]:
         df = jobs.queries()[name](spark, str(tmp_path))
         got = sorted((r.event_id, r.action, r.reasons, r.n_results) for r in df.collect())
         assert got == sorted(con.execute(f"SELECT event_id, action, reasons, n_results FROM ({jobs.oracle_sql()[name]})").fetchall())

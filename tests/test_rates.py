@@ -37,9 +37,8 @@ def test_other_aggregates(spark):
     rows, df = log(spark, 120)
     got = {r.event_id: r for r in trailing(trailing(df, RateSpec(("session_id",), 50, "max", "value", name="m")), RateSpec(("session_id",), 50, "avg", "value", name="a")).collect()}
     for r in rows:
-        same = [x for x in rows if x[2] == r[2] and r[3] - 50 < x[3] <= r[3]]
-        before = [x[5] for x in same if (x[3], x[0]) <= (r[3], r[0])]
-        assert got[r[0]].m == max(x[5] for x in same) and got[r[0]].a == pytest.approx(sum(before) / len(before))
+        before = [x[5] for x in rows if x[2] == r[2] and r[3] - 50 < x[3] and (x[3], x[0]) <= (r[3], r[0])]
+        assert got[r[0]].m == max(before) and got[r[0]].a == pytest.approx(sum(before) / len(before))
 
 
 @pytest.mark.parametrize("window", [50, None])
@@ -52,10 +51,9 @@ def test_all_aggregates_equal_a_replay(spark, window, bucketed):
         got = {r.event_id: r.x for r in trailing(df, RateSpec(("session_id",), window, agg, value, where="value < 7", name="x"), bucketed=bucketed).collect()}
         assert len(got) == len(rows)
         for r in rows:
-            past = [x for x in rows if x[2] == r[2] and x[3] <= r[3] and (window is None or r[3] - window < x[3])]
-            upto = [x[5] for x in past if (x[3], x[0]) <= (r[3], r[0]) and x[5] < 7]
-            peers = [x for x in past if x[5] < 7]
-            want = {"count": len(upto), "sum": sum(upto), "avg": sum(upto) / len(upto) if upto else None, "min": min((x[5] for x in peers), default=None), "max": max((x[5] for x in peers), default=None), "distinct": len({x[4] for x in peers} - {None})}[agg]
+            past = [x for x in rows if x[2] == r[2] and (x[3], x[0]) <= (r[3], r[0]) and (window is None or r[3] - window < x[3]) and x[5] < 7]
+            upto = [x[5] for x in past]
+            want = {"count": len(upto), "sum": sum(upto), "avg": sum(upto) / len(upto) if upto else None, "min": min(upto, default=None), "max": max(upto, default=None), "distinct": len({x[4] for x in past} - {None})}[agg]
             assert got[r[0]] == (want if want is None else pytest.approx(want)), (agg, r, scale)
 
 

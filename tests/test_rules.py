@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vigilake import schema
 from vigilake.functions import fields
+from vigilake.functions.literals import Needs, needs
 from vigilake.functions.regexes import UnsupportedPattern, lint, to_jvm
 from vigilake.operators import matchers, outputs
 from vigilake.operators.chain import evaluate, rule_hits
@@ -174,3 +175,32 @@ def test_outputs(spark):
     assert sorted(r.action for r in outputs.alert_feed(decided).collect()) == ["block", "redact"] and outputs.alert_feed(decided, ("allow",)).count() == 1
     assert outputs.detection_summary(decided).agg(F.sum("n")).first()[0] == 5
     assert outputs.rule_catalog(spark, list(rule_pack())).count() == 55
+
+
+@pytest.mark.parametrize(
+    "pattern, texts",
+    [
+        (r"(?i)(api[_-]?key|secret)\s*=", ["API-KEY =", "secreſ api_Key=", "ſecret=", "apİ_key="]),
+        (r"\b\d{3}-\d{2}\b", ["123-45", "١٢٣-٤٥"]),
+        (r"curl\s+.*\|\s*(bash|sh)", ["curl x | sh"]),
+        (r"a\\z|end$", ["a\\z", "end"]),
+        (r"\(?<x", ["(<x", "<x"]),
+        (r"(?P<n>ab)+c?", ["abab"]),
+        (r"x*", [""]),
+        (r"(foo|b)ar", ["bar"]),
+        (r"(?:foo){2}|barbar", ["foofoo", "barbar"]),
+    ],
+)
+def test_texts_that_match_have_what_matches_need(spark, pattern, texts):
+    """What a prefilter asks for never turns a match away, and tells most other texts apart."""
+    rule = rule_from(regex(pattern=pattern), "regex")
+    df = fields.prepare(events(spark, *[(None, None, t, None) for t in texts]))
+    plain = F.col("_text").rlike(rule.patterns[0].regex)
+    for row in df.select("_text", plain.alias("plain"), matchers.regex_hit(rule).alias("hit")).collect():
+        assert row.hit == row.plain, row
+
+
+def test_needs():
+    assert needs(to_jvm(r"(?i)Aws_Key\s*=\d{4}")) == Needs(frozenset({"aws_key"}), True, 12, True)
+    assert needs(to_jvm("AKIA[0-9A-Z]{16}")) == Needs(frozenset({"AKIA"}), False, 20)
+    assert needs(to_jvm("(a|bcd)x?")).literals == frozenset() and needs(r"\p{Alpha}+") == Needs()

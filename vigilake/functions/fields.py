@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +13,35 @@ ALWAYS = ["stage", "session_id", "channel", "user_id"]
 OPTIONAL = ["message_text", "tool_name", "tool_result", "model"]
 
 
+_hoisted: ContextVar[set[str] | None] = ContextVar("hoisted", default=None)
+
+
+@contextmanager
+def hoisted() -> Iterator[set[str]]:
+    """Within, arguments are read from columns of their own (:func:`with_arguments`); the set has the names of those read."""
+    names: set[str] = set()
+    token = _hoisted.set(names)
+    try:
+        yield names
+    finally:
+        _hoisted.reset(token)
+
+
+def with_arguments(df: DataFrame, names: set[str]) -> DataFrame:
+    """A prepared table with a column for each argument: looked up once, not by every rule."""
+    return df.withColumns({f"_arg_{n}": _argument(n) for n in sorted(names)}) if names else df
+
+
+def _argument(name: str) -> Column:
+    return F.when(F.col("tool_name").isNotNull(), F.try_element_at(F.col("_args"), F.lit(name)))
+
+
 def prepare(events: DataFrame) -> DataFrame:
     """``events`` with what rules read: ``_args`` (arguments as text), ``_text``, ``_lower``, ``_ts``; parsed once.
 
+    ``_fold`` (lower case, with letters that stand for ASCII ones in expressions without case), ``_len`` and ``_digits``
+    (digits side by side) tell texts that an expression can't match.
+
     ``_args`` holds strings as they are and other values as compact JSON with sorted keys, JSON null as "null".
     ``_strings`` holds those that are strings.  Arguments that aren't a JSON object count as none.
     """
@@ -21,7 +51,8 @@ def prepare(events: DataFrame) -> DataFrame:
     strings = F.transform_values(F.map_filter("_var", lambda k, v: is_string(v)), lambda k, v: v.cast("string"))
     out = parsed.withColumns({"_args": F.transform_values("_var", lambda k, v: as_text(v)), "_strings": strings}).drop("_var")
     out = out.withColumn("_text", searchable_text())
-    return out.withColumns({"_lower": F.lower("_text"), "_ts": timestamp_text()})
+    out = out.withColumns({"_lower": F.lower("_text"), "_ts": timestamp_text(), "_len": F.length("_text"), "_digits": F.col("_text").rlike(r"(?U)\d\d")})
+    return out.withColumn("_fold", F.translate("_lower", "\u017f\u212a\u0307", "sk"))
 
 
 def searchable_text() -> Column:
@@ -44,7 +75,11 @@ def field(name: str) -> Column:
     if name in ALWAYS or name in OPTIONAL:
         return F.col(name)
     if name.startswith("tool_args."):
-        return F.when(F.col("tool_name").isNotNull(), F.try_element_at(F.col("_args"), F.lit(name.removeprefix("tool_args."))))
+        arg, names = name.removeprefix("tool_args."), _hoisted.get()
+        if names is None:
+            return _argument(arg)
+        names.add(arg)
+        return F.col(f"`_arg_{arg.replace('`', '``')}`")
     return F.lit(None).cast("string")
 
 

@@ -130,25 +130,6 @@ def s6_assemble(spark, sf_dir):
     return traffic.assemble_tool_calls(_chunks(spark, sf_dir)).select("stream_id", "block", "tool_name", F.get_json_object("tool_args", "$.command").alias("command"))
 
 
-@_query(f"{_CALLS} SELECT request_id, step, count(*) AS n FROM (SELECT rid AS request_id, 1 AS step FROM calls UNION ALL SELECT rid, 2 FROM calls) GROUP BY 1, 2")
-def s7_traffic(spark, sf_dir):
-    return traffic.traffic_events(_tool_requests(spark, sf_dir), _responses(spark, sf_dir)).groupBy("request_id", "step").agg(F.count("*").alias("n"))
-
-
-@_query(f"WITH {oracle.pack_sql()} SELECT event_id, action, n_results, reasons FROM decided")
-def s8_audit(spark, sf_dir):
-    decided = evaluate(_events(spark, sf_dir), [e for e in rule_pack() if e.type != "sql"])
-    record = F.from_json("value", "action string, reasons array<string>, evaluator_results array<struct<evaluator:string>>, timestamp double, session_id string")
-    lines = outputs.audit_records(decided.withColumn("session_id", F.col("event_id").cast("string"))).select(record.alias("r"))
-    return lines.select(F.col("r.session_id").cast("long").alias("event_id"), "r.action", F.size("r.evaluator_results").alias("n_results"), F.array_join("r.reasons", "; ").alias("reasons"))
-
-
-@_query(f"WITH {oracle.pack_sql()} SELECT session_id, stage, tool_name, action, n_results AS evaluator_count, reasons FROM decided WHERE action IN ('block', 'redact')")
-def s9_alerts(spark, sf_dir):
-    decided = evaluate(_events(spark, sf_dir), [e for e in rule_pack() if e.type != "sql"])
-    return outputs.alert_feed(decided).select("session_id", "stage", "tool_name", "action", "evaluator_count", F.array_join("reasons", "; ").alias("reasons"))
-
-
 # --- fields and matching -----------------------------------------------------------------------------------
 
 
@@ -339,18 +320,6 @@ def j4_gate(spark, sf_dir):
 # --- decisions ---------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {oracle.pack_sql()} SELECT event_id, action, reasons, n_results FROM decided")
-def a1_decisions(spark, sf_dir):
-    d = evaluate(_events(spark, sf_dir), [e for e in rule_pack() if e.type != "sql"])
-    return d.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), F.size("results").alias("n_results"))
-
-
-@_query(f"WITH {oracle.pack_sql()} SELECT stage, action, count(*) AS n FROM decided GROUP BY 1, 2")
-def a7_summary(spark, sf_dir):
-    d = evaluate(_events(spark, sf_dir), [e for e in rule_pack() if e.type != "sql"])
-    return d.groupBy("stage", "action").agg(F.count("*").alias("n"))
-
-
 @_query(f"WITH {oracle.decisions_sql(category('pii'))} SELECT stage, evaluator, action, count(*) AS n FROM (SELECT stage, 'pii-scanner' AS evaluator, action FROM decided WHERE stage = 'tool.after') GROUP BY ROLLUP (stage, evaluator, action)")
 def a7_summary_levels(spark, sf_dir):
     s = outputs.detection_summary(evaluate(_events(spark, sf_dir), category("pii")), levels=True)
@@ -408,25 +377,19 @@ def w5_admission(spark, sf_dir):
     return evaluate(_events(spark, sf_dir), category("recon") + category("shadow_it") + _day_rates()).select("event_id", "action")
 
 
-@_query(f"WITH {EV}, n AS (SELECT * FROM ev ORDER BY us DESC, event_id DESC LIMIT 500) SELECT event_id FROM n WHERE us >= (SELECT max(us) FROM n) - 3600000000")
-def w6_retain(spark, sf_dir):
-    return rates.retain_history(_events(spark, sf_dir), 3600, 500).select("event_id")
-
-
-@_query(f"WITH {EV} SELECT event_id, tool_name, tool_name IS NULL AS no_args, left('\"' || replace(tool_result, '\"', '\\\"') || '\"', 8) AS tool_result FROM ev")
-def w7_history(spark, sf_dir):
-    return rates.history_rows(_events(spark, sf_dir), 8).select("event_id", "tool_name", F.col("tool_args").isNull().alias("no_args"), "tool_result")
-
-
 @_query(f"WITH {EV} SELECT event_id, {_trailing_sql('session_id', 2 * DAY, 'sum')} AS total FROM ev")
 def a6_rate_sum(spark, sf_dir):
     return trailing(_events(spark, sf_dir), RateSpec(("session_id",), 2 * DAY, "sum", "value", name="total")).select("event_id", (F.round(F.col("total"), 2) + 0.0).alias("total"))
 
 
-@_query(f"WITH {EV} SELECT event_id, count(DISTINCT tool_name) OVER w AS tools, round(min(value) OVER w, 6) AS low, round(max(value) OVER w, 6) AS high FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY us RANGE BETWEEN {2 * DAY * 1_000_000 - 1} PRECEDING AND CURRENT ROW)")
+_UPTO = f"FROM ev JOIN ev past ON past.session_id = ev.session_id AND past.us > ev.us - {2 * DAY * 1_000_000} AND (past.us, past.event_id) <= (ev.us, ev.event_id) GROUP BY ev.event_id"
+
+
+@_query(f"WITH {EV} SELECT ev.event_id, count(DISTINCT past.tool_name) AS tools, round(min(past.value), 6) AS low, round(max(past.value), 6) AS high {_UPTO}")
 def a6_rate_distinct(spark, sf_dir):
-    e = trailing(_events(spark, sf_dir), RateSpec(("session_id",), 2 * DAY, "distinct", "tool_name", name="tools"))
-    e = trailing(trailing(e, RateSpec(("session_id",), 2 * DAY, "min", "value", name="low")), RateSpec(("session_id",), 2 * DAY, "max", "value", name="high"))
+    """Three rates of one key and window: one exchange."""
+    specs = {"tools": ("distinct", "tool_name"), "low": ("min", "value"), "high": ("max", "value")}
+    e = rates.trailing_many(_events(spark, sf_dir), {n: RateSpec(("session_id",), 2 * DAY, agg, value, name=n) for n, (agg, value) in specs.items()})
     return e.select("event_id", "tools", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -435,13 +398,6 @@ def t3_last_user(spark, sf_dir):
     return outputs.last_user_messages(_table(spark, sf_dir, "conversations"))
 
 
-@_query("SELECT count(*) AS n, count(DISTINCT stage) AS stages FROM (SELECT 'tool.after' AS stage FROM documents UNION ALL SELECT CASE WHEN role = 'user' THEN 'message.before' ELSE 'tool.after' END FROM conversations UNION ALL SELECT 'tool.after' FROM pages)")
-def u1_union(spark, sf_dir):
-    t = lambda n: _table(spark, sf_dir, n)
-    every = sources.documents_as_results(t("documents")).unionByName(sources.conversations_as_messages(t("conversations"))).unionByName(sources.pages_as_fetches(t("pages")))
-    return every.agg(F.count("*").alias("n"), F.count_distinct("stage").alias("stages"))
-
-
 @_query(f"WITH {EV} SELECT CAST(to_timestamp(us // 1000000 // 86400 * 86400) AT TIME ZONE 'UTC' AS VARCHAR) AS start, session_id, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(*) > 2")
 def x3_rate_alerts(spark, sf_dir):
     e = sources.with_event_time(_events(spark, sf_dir))
@@ -478,18 +434,18 @@ whole AS (SELECT * REPLACE (CASE WHEN hit IS NOT NULL AND action = 'allow' THEN
 
 
 @_query(f"{_WHOLE} SELECT event_id, action, reasons, n_results FROM whole")
-def a1_decisions_whole(spark, sf_dir):
+def a1_decisions(spark, sf_dir):
     d = scans.decide(_events(spark, sf_dir))
-    return d.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), F.size("results").alias("n_results"))
+    return d.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), "n_results")
 
 
 @_query(f"{_WHOLE} SELECT stage, action, count(*) AS n FROM whole GROUP BY 1, 2")
-def a7_summary_whole(spark, sf_dir):
+def a7_summary(spark, sf_dir):
     return scans.decide(_events(spark, sf_dir)).groupBy("stage", "action").agg(F.count("*").alias("n"))
 
 
 @_query(f"{_WHOLE} SELECT event_id, action, n_results, reasons FROM whole")
-def s8_audit_whole(spark, sf_dir):
+def s8_audit(spark, sf_dir):
     decided = scans.decide(_events(spark, sf_dir))
     record = F.from_json("value", "action string, reasons array<string>, evaluator_results array<struct<evaluator:string>>, timestamp double, session_id string")
     lines = outputs.audit_records(decided.withColumn("session_id", F.col("event_id").cast("string"))).select(record.alias("r"))
@@ -497,17 +453,17 @@ def s8_audit_whole(spark, sf_dir):
 
 
 @_query(f"{_WHOLE} SELECT session_id, stage, tool_name, action, n_results AS evaluator_count, reasons FROM whole WHERE action IN ('block', 'redact')")
-def s9_alerts_whole(spark, sf_dir):
+def s9_alerts(spark, sf_dir):
     return outputs.alert_feed(scans.decide(_events(spark, sf_dir))).select("session_id", "stage", "tool_name", "action", "evaluator_count", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @_query(f"WITH {EV}, n AS (SELECT * FROM ev ORDER BY us DESC, event_id DESC LIMIT 10000) SELECT event_id FROM n WHERE us >= (SELECT max(us) FROM n) - 3600000000")
-def w6_retain_whole(spark, sf_dir):
+def w6_retain(spark, sf_dir):
     return rates.retain_history(_events(spark, sf_dir)).select("event_id")
 
 
 @_query(f"WITH {EV} SELECT event_id, tool_name, tool_name IS NULL AS no_args, left('\"' || replace(tool_result, '\"', '\\\"') || '\"', 4096) AS tool_result FROM ev")
-def w7_history_whole(spark, sf_dir):
+def w7_history(spark, sf_dir):
     return rates.history_rows(_events(spark, sf_dir)).select("event_id", "tool_name", F.col("tool_args").isNull().alias("no_args"), "tool_result")
 
 
@@ -537,7 +493,7 @@ UNION ALL SELECT rid, 2, nth + 1, 'tool.before', tool_name, command FROM calls)"
 
 
 @_query(f"{_TRAFFIC} SELECT request_id, CAST(step AS INTEGER) AS step, CAST(pos AS INTEGER) AS pos, stage, tool_name, txt FROM traffic")
-def s7_events(spark, sf_dir):
+def s7_traffic(spark, sf_dir):
     e = traffic.traffic_events(_spoken_requests(spark, sf_dir), _responses(spark, sf_dir))
     return e.select("request_id", "step", "pos", "stage", "tool_name", F.coalesce("message_text", "tool_result", F.get_json_object("tool_args", "$.command")).alias("txt"))
 
@@ -576,7 +532,7 @@ def a7_by_rule(spark, sf_dir):
 @_query("""SELECT doc_id AS event_id, 'tool.after' AS stage, source AS session_id, 'read_file' AS tool_name, md5(text) AS digest FROM documents
 UNION ALL SELECT conv_id * 1000000 + turn, CASE WHEN role = 'user' THEN 'message.before' ELSE 'tool.after' END, CAST(conv_id AS VARCHAR), NULL, md5(text) FROM conversations
 UNION ALL SELECT page_id, 'tool.after', '', 'fetch', md5(html) FROM pages""")
-def u1_events(spark, sf_dir):
+def u1_union(spark, sf_dir):
     t = lambda n: _table(spark, sf_dir, n)
     every = sources.documents_as_results(t("documents")).unionByName(sources.conversations_as_messages(t("conversations"))).unionByName(sources.pages_as_fetches(t("pages")))
     return every.select("event_id", "stage", "session_id", "tool_name", F.md5(F.coalesce("message_text", "tool_result").cast("binary")).alias("digest"))
@@ -643,9 +599,13 @@ def x5_assemble_stream(spark, sf_dir):
     return _drained(spark, calls.select("stream_id", "block", "tool_name", F.get_json_object("tool_args", "$.command").alias("command")))
 
 
+# Earlier names of the same queries.
+_ALSO = {"a1_decisions_whole": "a1_decisions", "a7_summary_whole": "a7_summary", "s8_audit_whole": "s8_audit", "s9_alerts_whole": "s9_alerts", "w6_retain_whole": "w6_retain", "w7_history_whole": "w7_history", "s7_events": "s7_traffic", "u1_events": "u1_union"}
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {name: _QUERIES[now] for name, now in _ALSO.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {name: _SQL[now] for name, now in _ALSO.items()}

@@ -1,23 +1,30 @@
-"""Evaluators over events: one decision per event, all hits, and what enters the history of rate rules."""
+"""Evaluators over events: one decision per event, all hits, and what enters the history of rate rules.
+
+A rule that hits is a number, its place in the chain's list of verdicts; what a verdict says is looked up there, once per
+event and only where it is asked for.  Evidence (matches, masked texts) is worked out for the rule that hit alone.
+"""
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.fields import prepare
-from vigilake.operators.matchers import AlwaysFails, cel_predicate, keyword_match, redact_text, regex_match, sigma_condition
-from vigilake.operators.rates import threshold, trailing
+from vigilake.functions.fields import hoisted, prepare, with_arguments
+from vigilake.operators.matchers import AlwaysFails, cel_predicate, keyword_evidence, keyword_hit, redact_text, regex_evidence, regex_hit, sigma_condition
+from vigilake.operators.rates import threshold, trailing_many
 from vigilake.rules.model import Evaluator, Rule, in_order
 from vigilake.schema import ACTIONS, PRIORITY, RESULT
 
-_HELD = ["_args", "_strings", "_text", "_lower", "_ts"]
+_HELD = ["_args", "_strings", "_text", "_lower", "_ts", "_len", "_digits", "_fold"]
+_REASON = {"regex": "Regex match: ", "pattern": "Pattern match: ", "sigma": "Sigma rule matched: ", "cel": "CEL policy triggered: ", "sql": "SQL rule triggered: "}
 
 
 def result(evaluator: Evaluator, order: int, action: str = "allow", reason: Column | str = "", confidence: float = 1.0, rule: Rule | None = None, redacted: Column | None = None, match: Column | None = None, keyword: Column | None = None) -> Column:
-    """A result struct; what isn't given is null."""
+    """A result struct, for evaluators of one's own; what isn't given is null."""
     null = F.lit(None).cast("string")
     text = lambda x: null if x is None else F.lit(x) if isinstance(x, str) else x
     return F.struct(
@@ -36,98 +43,165 @@ def result(evaluator: Evaluator, order: int, action: str = "allow", reason: Colu
     )
 
 
-def _rule_result(e: Evaluator, order: int, rule: Rule, mode: str) -> tuple[Column, Column]:
-    """(hit, result if it hits) of a rule that needs no history."""
-    if e.type == "regex":
-        hit, match, redacted = regex_match(rule)
-        return hit, result(e, order, rule.action, f"Regex match: {rule.title}", rule=rule, redacted=redacted, match=match)
-    if e.type == "pattern":
-        hit, keyword = keyword_match(rule)
-        return hit, result(e, order, rule.action, f"Pattern match: {rule.title}", rule=rule, keyword=keyword)
-    if e.type == "sigma":
-        return sigma_condition(rule.condition, rule.selections, mode), result(e, order, rule.action, f"Sigma rule matched: {rule.title}", rule=rule)
-    if e.type == "cel":
-        return F.coalesce(cel_predicate(rule.expr, mode), F.lit(False)), result(e, order, rule.action, rule.reason or f"CEL policy triggered: {rule.title}", rule=rule)
-    hit = threshold(rule.rate.condition, {rule.rate.name: F.col(_rate_column(order, rule))})
-    return hit, result(e, order, rule.action, rule.reason or f"SQL rule triggered: {rule.title}", rule=rule)
+@dataclass(frozen=True)
+class _Verdict:
+    """What an evaluator says if a rule of its hits, or none."""
+
+    evaluator: Evaluator
+    order: int
+    action: str
+    reason: str
+    confidence: float = 1.0
+    rule: Rule | None = None
+
+    def record(self) -> dict:
+        r = self.rule
+        return {"evaluator": self.evaluator.name, "eval_type": self.evaluator.type, "ord": self.order, "action": self.action, "confidence": self.confidence, "reason": self.reason, "rule_id": r and r.id, "title": r and r.title, "description": r and r.description}
+
+
+class Chain:
+    """The verdicts of evaluators in order, by number; columns that number them, and that read them."""
+
+    def __init__(self, evaluators: list[Evaluator], mode: str):
+        self.mode, self.verdicts, self.first = mode, [], {}
+        self.ordered = list(enumerate(in_order(evaluators)))
+        for i, e in self.ordered:
+            self.first[i] = len(self.verdicts)
+            self.verdicts.append(_Verdict(e, i, "allow", ""))
+            for r in e.rules:
+                own = r.reason if e.type in ("cel", "sql") else ""
+                self.verdicts.append(_Verdict(e, i, r.action, own or _REASON.get(e.type, "") + r.title, rule=r))
+            self.verdicts.append(_Verdict(e, i, "detect", f"Evaluator {e.name} failed with an internal error", 0.0))
+
+    def _list(self, values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")  # folded into a literal
+
+    def said(self, number: Column) -> Column:
+        return F.get(self._list([v.record() for v in self.verdicts], RESULT), number)
+
+    def reason(self, number: Column) -> Column:
+        return F.get(self._list([v.reason if v.action != "allow" else "" for v in self.verdicts], "string"), number)
+
+    def rank(self, number: Column) -> Column:
+        return F.get(self._list([PRIORITY[v.action] for v in self.verdicts], "int"), number)
+
+    def hit(self, e: Evaluator, order: int, rule: Rule) -> Column:
+        if e.type == "regex":
+            return regex_hit(rule)
+        if e.type == "pattern":
+            return keyword_hit(rule)
+        if e.type == "sigma":
+            return sigma_condition(rule.condition, rule.selections, self.mode)
+        if e.type == "cel":
+            return F.coalesce(cel_predicate(rule.expr, self.mode), F.lit(False))
+        return threshold(rule.rate.condition, {rule.rate.name: F.col(_rate_column(order, rule))})
+
+    def number(self, e: Evaluator, order: int) -> Column:
+        """The verdict of the first rule that hits, else of none; null out of the evaluator's stages."""
+        first = self.first[order]
+        cases, failed = None, False
+        try:
+            for n, rule in enumerate(e.rules, 1):
+                hit = self.hit(e, order, rule)
+                cases = F.when(hit, first + n) if cases is None else cases.when(hit, first + n)
+        except AlwaysFails:
+            failed = True
+        last = F.lit(first + len(e.rules) + 1 if failed else first)
+        return F.when(F.col("stage").isin(*e.stages), last if cases is None else cases.otherwise(last))
+
+    def evidence(self, number: Column, only: int | None = None) -> dict[str, Column]:
+        """Columns match, redacted and keyword of a verdict; those that no rule gives are left out."""
+        out: dict[str, Column] = {}
+        for n, v in enumerate(self.verdicts):
+            if v.rule is None or (only is not None and v.order != only):
+                continue
+            found = {}
+            if v.evaluator.type == "regex":
+                found["match"] = regex_evidence(v.rule)
+                if v.rule.action == "redact":
+                    found["redacted"] = regex_evidence(v.rule, redact_text)
+            elif v.evaluator.type == "pattern":
+                found["keyword"] = keyword_evidence(v.rule)
+            for k, col in found.items():
+                out[k] = out[k].when(number == n, col) if k in out else F.when(number == n, col)
+        return out
+
+    def full(self, number: Column, order: int | None = None) -> Column:
+        """The verdict with its evidence."""
+        out = self.said(number)
+        for name, col in self.evidence(number, order).items():
+            out = out.withField(name, col)
+        return out
 
 
 def _rate_column(order: int, rule: Rule) -> str:
     return f"_rate_{order}_{rule.id}"
 
 
-def evaluate_one(e: Evaluator, order: int, mode: str = "parity") -> Column:
-    """The evaluator's result for a prepared event: of the first rule that hits, else allow; null out of its stages."""
-    if e.custom:
-        found = e.custom()
-    else:
-        hits = []
-        try:
-            for rule in e.rules:
-                hit, out = _rule_result(e, order, rule, mode)
-                hits.append(F.when(hit, out))
-        except AlwaysFails:
-            hits.append(result(e, order, "detect", f"Evaluator {e.name} failed with an internal error", 0.0))
-        found = F.coalesce(*hits, result(e, order))
-    return F.when(F.col("stage").isin(*e.stages), found).cast(RESULT)
-
-
-def aggregate_results(results: Column) -> dict[str, Column]:
-    """Columns action, blocked, reasons, redacted, results of results in order; those after a block don't count."""
-    first = F.array_position(F.transform(results, lambda r: r["action"]), F.lit("block")).cast("int")
-    kept = F.when(first > 0, F.slice(results, F.lit(1), first)).otherwise(results)
-    return {"results": kept}
+def _upto_block(results: Column, actions) -> Column:
+    """Results in order; those after a block don't count."""
+    first = F.array_position(F.transform(results, actions), F.lit("block")).cast("int")
+    return F.when(first > 0, F.slice(results, F.lit(1), first)).otherwise(results)
 
 
-def _decided(df: DataFrame) -> DataFrame:
-    """Action, blocked, reasons and redacted text from the column ``results``."""
+def _from_results(df: DataFrame) -> DataFrame:
+    """Action and reasons from the column ``results``, for chains with evaluators of one's own."""
     rank = F.create_map(*[x for a, p in PRIORITY.items() for x in (F.lit(a), F.lit(p))])
     top = F.coalesce(F.array_max(F.transform("results", lambda r: rank[r["action"]])), F.lit(0))
     reasons = F.transform(F.filter("results", lambda r: (r["action"] != "allow") & (r["reason"] != "")), lambda r: r["reason"])
-    masked = F.filter("results", lambda r: r["redacted"].isNotNull())
-    return df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "redacted": F.try_element_at(masked, F.lit(-1))["redacted"]}).withColumn("blocked", F.col("action") == "block")
+    return df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "n_results": F.size("results")})
 
 
 def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True) -> DataFrame:
-    """``events`` with columns action, blocked, reasons, redacted, results.
+    """``events`` with columns action, blocked, reasons, redacted, results, n_results.
 
     Rules without history are one narrow stage.  Each rate evaluator then sees the events in its stages that
-    nothing has blocked, which are its history, and is one more window; its results go behind the others.
-    ``compose``: ``redacted`` is the text with all redacting rules applied, one after the other.  ``bucketed``: busy
-    keys of bounded windows are dealt out by time slices as well.
+    nothing has blocked, which are its history; its rules share one exchange, which carries what is read of the events
+    and the numbers of their verdicts, and its results go behind the others.  Who doesn't ask for ``results`` or texts
+    doesn't have them shuffled.  ``compose``: ``redacted`` is the text with all redacting rules applied, one after the
+    other.  ``bucketed``: busy keys of bounded windows are dealt out by time slices as well.
     """
-    ordered = list(enumerate(in_order(evaluators)))
-    plain = [(i, e) for i, e in ordered if e.type != "sql"]
-    rated = [(i, e) for i, e in ordered if e.type == "sql"]
-    df = prepare(events)
-    if plain:
-        # exploding an array of one keeps later filters from being pushed into, and so copying, the rules' expressions
-        df = df.withColumn("results", F.explode(F.array(F.array_compact(F.array(*[evaluate_one(e, i, mode) for i, e in plain])))))
+    chain = Chain(evaluators, mode)
+    plain = [(i, e) for i, e in chain.ordered if e.type != "sql" and not e.custom]
+    own = [(i, e) for i, e in chain.ordered if e.custom]
+    rated = [(i, e) for i, e in chain.ordered if e.type == "sql" and not e.custom]
+    with hoisted() as args:
+        numbers = [chain.number(e, i).alias(f"n{i}") for i, e in plain] + [F.when(F.col("stage").isin(*e.stages), e.custom().cast(RESULT)).alias(f"r{i}") for i, e in own]
+        each = sorted([(i, F.when(F.col(f"_v.n{i}").isNotNull(), chain.full(F.col(f"_v.n{i}"), i))) for i, _ in plain] + [(i, F.col(f"_v.r{i}")) for i, _ in own], key=lambda x: x[0])
+        masks = _composed([(e, r) for _, e in plain if e.type == "regex" for r in e.rules if r.action == "redact" and not r.fields]) if compose else None
+    df = with_arguments(prepare(events), args)
+    # exploding an array of one keeps later filters from being pushed into, and so copying, the rules' expressions
+    df = df.withColumn("_v", F.explode(F.array(F.struct(*numbers, F.lit(0).alias("none")))))
+    results = F.array_compact(F.array(*[c for _, c in each])) if each else F.array()
+    df = df.withColumn("results", _upto_block(results.cast(f"array<{RESULT}>"), lambda r: r["action"]))
+    masked = F.filter("results", lambda r: r["redacted"].isNotNull())
+    df = df.withColumn("redacted", F.try_element_at(masked, F.lit(-1))["redacted"])
+    if compose:
+        df = df.withColumn("redacted", masks)
+    blocks = F.array(*[F.lit(n) for n, v in enumerate(chain.verdicts) if v.action == "block"]).cast("array<int>")
+    if own:
+        df = df.withColumn("_stopped", F.exists("results", lambda r: r["action"] == "block"))
     else:
-        df = df.withColumn("results", F.array().cast(f"array<{RESULT}>"))
-    df = df.withColumns(aggregate_results(F.col("results")))
+        heard = F.array_compact(F.array(*[F.col(f"_v.n{i}") for i, _ in plain])) if plain else F.array().cast("array<int>")
+        # a verdict's number tells whether it blocks
+        df = df.withColumn("_said", _upto_block(heard, lambda n: F.when(F.array_contains(blocks, n), "block").otherwise("")))
+        df = df.withColumn("_stopped", F.arrays_overlap("_said", blocks))
+    df = df.drop("_v", *_HELD, *[f"_arg_{n}" for n in args])
     for i, e in rated:
-        enters = F.col("stage").isin(*e.stages) & ~F.exists("results", lambda r: r["action"] == "block")
-        admitted = df.withColumn("_enters", F.coalesce(enters, F.lit(False)))
-        for rule in e.rules:
-            name = _rate_column(i, rule)
-            # rows that don't enter are nobody's history: their keys are null to the window
-            keys = {f"_k{n}": F.when(F.col("_enters"), F.col(k)) for n, k in enumerate(rule.rate.keys)}
-            spec = _renamed(rule.rate, tuple(keys))
-            admitted = trailing(admitted.withColumns(keys), spec, name, bucketed).drop(*keys)
-        found = F.when(F.col("_enters"), evaluate_one(e, i, mode))
-        admitted = admitted.withColumn("results", F.array_compact(F.concat("results", F.array(found))))
-        df = admitted.drop("_enters", *[_rate_column(i, r) for r in e.rules])
-    df = _decided(df)
-    if compose:
-        df = df.withColumn("redacted", _composed([(e, r) for _, e in plain if e.type == "regex" for r in e.rules if r.action == "redact" and not r.fields]))
-    return df.drop(*_HELD)
-
-
-def _renamed(spec, keys: tuple[str, ...]):
-    from dataclasses import replace
-
-    return replace(spec, keys=keys)
+        enters = F.col("stage").isin(*e.stages) & ~F.col("_stopped")
+        df = trailing_many(df.withColumn("_admitted", F.coalesce(enters, F.lit(False))), {_rate_column(i, r): r.rate for r in e.rules}, F.col("_admitted"), bucketed)
+        df = df.withColumn("_n", F.when(F.col("_admitted"), chain.number(e, i)))
+        df = df.withColumn("results", F.array_compact(F.concat("results", F.array(chain.said(F.col("_n"))))))
+        stopped = F.col("_stopped") | F.coalesce(F.array_contains(blocks, F.col("_n")), F.lit(False))
+        said = {} if own else {"_said": F.array_compact(F.concat("_said", F.array("_n")))}
+        df = df.withColumns(said | {"_stopped": stopped}).drop("_admitted", "_n", *[_rate_column(i, r) for r in e.rules])
+    if own:
+        df = _from_results(df)
+    else:
+        top = F.coalesce(F.array_max(F.transform("_said", chain.rank)), F.lit(0))
+        reasons = F.filter(F.transform("_said", chain.reason), lambda r: r != "")
+        df = df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "n_results": F.size("_said")}).drop("_said")
+    return df.withColumn("blocked", F.col("action") == "block").drop("_stopped")
 
 
 def _composed(rules: list[tuple[Evaluator, Rule]]) -> Column:
@@ -137,10 +211,17 @@ def _composed(rules: list[tuple[Evaluator, Rule]]) -> Column:
 
 def rule_hits(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity") -> DataFrame:
     """(event columns, hit struct): a row per event and rule that matches it, whatever came first; no rate rules."""
-    df = prepare(events)
+    chain = Chain(evaluators, mode)
     each = []
-    for i, e in enumerate(in_order(evaluators)):
-        for rule in e.rules if e.type != "sql" and not e.custom else ():
-            hit, out = _rule_result(e, i, rule, mode)
-            each.append(F.when(F.col("stage").isin(*e.stages) & hit, out).cast(RESULT))
-    return df.withColumn("hit", F.explode(F.array_compact(F.array(*each)))).drop(*_HELD)
+    with hoisted() as args:
+        for i, e in chain.ordered:
+            hits = [F.when(chain.hit(e, i, rule), chain.first[i] + n) for n, rule in enumerate(e.rules, 1)] if e.type != "sql" and not e.custom else []
+            if hits:
+                each.append(F.when(F.col("stage").isin(*e.stages), F.array_compact(F.array(*hits))))
+        full = chain.full(F.col("_n"))
+    df = with_arguments(prepare(events), args)
+    none = [*_HELD, *[f"_arg_{n}" for n in args]]
+    if not each:
+        return df.withColumn("hit", F.explode(F.array().cast(f"array<{RESULT}>"))).drop(*none)
+    rows = df.withColumn("_n", F.explode(F.flatten(F.array_compact(F.array(*each)))))
+    return rows.withColumn("hit", full).drop("_n", *none)

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigilake.functions.fields import activation, field
+from vigilake.functions.literals import may_match
 from vigilake.functions.regexes import UnsupportedPattern, to_jvm
 from vigilake.rules.model import Rule
 
@@ -28,11 +29,17 @@ def _some(cols: list[Column]) -> Column:
 # --- regular expressions -----------------------------------------------------------------------------------
 
 
+def _found(on: Column, regex: str, of_event: bool = False) -> Column:
+    """A match of a rule's expression, tried only where the text has what a match needs."""
+    may = may_match(regex, on, of_event)
+    return on.rlike(regex) if may is None else may & on.rlike(regex)
+
+
 def _hit_on(rule: Rule, target: Column) -> Column:
     tests = []
     for p in rule.patterns:
         on = F.coalesce(field(p.field), F.lit("")) if p.field else target
-        found = on.rlike(p.regex)
+        found = _found(on, p.regex, not p.field and not rule.fields)
         tests.append(~found if p.negate else found)
     return (_all if rule.match_all else _some)(tests)
 
@@ -51,22 +58,43 @@ def redact_text(text: Column, rule: Rule) -> Column:
     return text
 
 
-def regex_match(rule: Rule) -> tuple[Column, Column, Column]:
-    """(hit, match, redacted) of a regex rule: over its fields in order, the first that hits, or the whole text."""
-    targets = [field(f) for f in rule.fields] or [F.col("_text")]
-    hits = [F.coalesce(t.isNotNull() & _hit_on(rule, t), F.lit(False)) for t in targets]
-    first = lambda make: F.coalesce(*[F.when(h, make(t)) for h, t in zip(hits, targets, strict=True)])
-    redacted = first(lambda t: redact_text(t, rule)) if rule.action == "redact" else F.lit(None).cast("string")
-    return _some(hits), first(lambda t: _evidence(rule, t)), redacted
+def _on_targets(rule: Rule) -> list[tuple[Column, Column]]:
+    """(target, hit) of each field of a regex rule, or of the whole text."""
+    if not rule.fields:
+        return [(F.col("_text"), _hit_on(rule, F.col("_text")))]
+    return [(t, F.coalesce(t.isNotNull() & _hit_on(rule, t), F.lit(False))) for t in map(field, rule.fields)]
+
+
+def regex_hit(rule: Rule) -> Column:
+    return _some([hit for _, hit in _on_targets(rule)])
+
+
+def regex_evidence(rule: Rule, make=None) -> Column:
+    """The match, or what ``make`` (text, rule) gives, of the first field that hits; of the whole text if there are none."""
+    make = make or (lambda t, r: _evidence(r, t))
+    if not rule.fields:
+        return make(F.col("_text"), rule)
+    return F.coalesce(*[F.when(hit, make(t, rule)) for t, hit in _on_targets(rule)])
 
 
 # --- keywords ----------------------------------------------------------------------------------------------
 
 
+def _holds(rule: Rule, keyword: str) -> Column:
+    return F.col("_text").contains(keyword) if rule.case_sensitive else F.col("_lower").contains(keyword.lower())
+
+
+def keyword_hit(rule: Rule) -> Column:
+    return _some([_holds(rule, k) for k in rule.keywords])
+
+
+def keyword_evidence(rule: Rule) -> Column:
+    """The first of the list that the text holds."""
+    return F.coalesce(*[F.when(_holds(rule, k), F.lit(k)) for k in rule.keywords])
+
+
 def keyword_match(rule: Rule) -> tuple[Column, Column]:
-    """(hit, keyword): the first of the list that the text holds."""
-    holds = lambda k: F.col("_text").contains(k) if rule.case_sensitive else F.col("_lower").contains(k.lower())
-    return _some([holds(k) for k in rule.keywords]), F.coalesce(*[F.when(holds(k), F.lit(k)) for k in rule.keywords])
+    return keyword_hit(rule), keyword_evidence(rule)
 
 
 # --- Sigma -------------------------------------------------------------------------------------------------
@@ -92,7 +120,7 @@ def sigma_compare(key: str, value) -> Column:
 
 def _matches(col: Column, pattern: str) -> Column:
     try:
-        return col.rlike(to_jvm(pattern))
+        return _found(col, to_jvm(pattern))
     except UnsupportedPattern:
         return F.lit(False)
 

@@ -1,7 +1,7 @@
 """Rates over history: trailing windows per key that end at each event, exact with ties.
 
 An event counts itself and earlier arrivals (smaller time, or equal time and smaller id) that are less than the
-window older.  Counts and sums are differences of running ones: one shuffle by key and slice, one sort, no self-join.
+window older.  One shuffle by key and time slice serves all rates that have a key in common; no self-join.
 """
 
 from __future__ import annotations
@@ -63,88 +63,168 @@ def recognise(query: str, condition: str) -> RateSpec:
     return RateSpec(tuple(keys), window, "distinct" if distinct else agg.lower(), None if value == "*" else value, None, name, condition)
 
 
+_ALONE = -(1 << 62)  # no time's slice: rows that no history knows
+
+
 def trailing(df: DataFrame, spec: RateSpec, out: str | None = None, bucketed: bool = True, slice_s: float = 3600) -> DataFrame:
-    """``df`` with the rate of each event as column ``out`` (``spec.name``).
+    """``df`` with the rate of each event as column ``out`` (``spec.name``); see :func:`trailing_many`."""
+    return trailing_many(df, {out or spec.name: spec}, bucketed=bucketed, slice_s=slice_s)
+
 
-    Events with a null key count 0.  min, max and distinct count events of the same microsecond as the event's
-    own, later arrivals included.  ``bucketed`` deals each key out by time slices as well, so that one busy key
-    isn't one task.  Bounded windows: slices are as long as the window, and each event also goes, without what the
-    rate doesn't read, to the next slice, where it is history only.  Unbounded ones (count, sum, avg, min, max): slices
-    of ``slice_s`` seconds, whose totals are run up over a key's slices, one row a slice.
+def trailing_many(df: DataFrame, specs: dict[str, RateSpec], admitted: Column | None = None, bucketed: bool = True, slice_s: float = 3600) -> DataFrame:
+    """``df`` with a column for each of ``specs``: the rate of each event over what came up to it.
+
+    Only ``admitted`` events count and are counted.  Events without a time or with a null key are nobody's history and
+    count 0 (sums, averages and extremes: null).  An event's own history ends with itself, by time and id.
+
+    Rates over bounded windows that have keys in common share one exchange by those keys and a time slice, so that a
+    busy key isn't one task: each event goes to its own slice and, stripped of what no rate reads, to the next, where it is
+    history only.  Counts of all windows share the longest window's slices; other aggregates those of their own.
+    ``bucketed`` false keeps all slices of a key together.  Unbounded ones (count, sum, avg, min, max): slices of
+    ``slice_s`` seconds, whose totals are run up over a key's slices, one row a slice; unbounded distinct counts aren't sliced.
     """
-    out = out or spec.name
-    known = F.lit(True)
-    for k in spec.keys:
+    ready = {f"_x{i}": _counted(s) for i, s in enumerate(specs.values())}
+    enters = F.lit(True) if admitted is None else F.coalesce(admitted, F.lit(False))
+    rows = df.withColumns({"_us": ts_us(), "_enters": enters & F.col("timestamp").isNotNull(), **ready})
+    named = [(out, s, f"_x{i}") for i, (out, s) in enumerate(specs.items())]
+    for group in _groups(named):
+        rows = _in_one_exchange(rows, group, list(ready), bucketed)
+    for out, spec, x in named:
+        if spec.window is None:
+            rows = _unbounded(rows, spec, x, out, bucketed, slice_s)
+    return rows.drop("_us", "_enters", *ready)
+
+
+def _counted(spec: RateSpec) -> Column:
+    """What an event adds to the rate: its value, or 1; null if it doesn't count."""
+    value = F.lit(1) if not spec.value else F.col(spec.value) if spec.agg == "distinct" else F.col(spec.value).cast("double")
+    return F.when(F.expr(spec.where), value) if spec.where else value
+
+
+def _groups(named: list[tuple]) -> list[list[tuple]]:
+    """Bounded rates that share an exchange: all have some key in common; other aggregates than counts one window too."""
+    out: list[list[tuple]] = []
+    for one in named:
+        spec = one[1]
+        if spec.window is None:
+            continue
+        for group in out:
+            common = set(spec.keys).intersection(*(s.keys for _, s, _ in group))
+            if common and (spec.window == group[0][1].window or all(s.agg == "count" for _, s, _ in [*group, one])):
+                group.append(one)
+                break
+        else:
+            out.append([one])
+    return out
+
+
+def _micros(spec: RateSpec) -> int:
+    return int(round(spec.window * 1_000_000))
+
+
+def _known(keys) -> Column:
+    known = F.col("_enters")
+    for k in keys:
         known = known & F.col(k).isNotNull()
-    counted = F.expr(spec.where) if spec.where else F.lit(True)
-    value = F.col(spec.value).cast("double") if spec.value and spec.agg != "distinct" else F.col(spec.value) if spec.value else F.lit(1.0)
-    rows = df.withColumns({"_us": ts_us(), "_own": F.lit(True), "_slice": F.lit(0).cast("long"), "_known": F.coalesce(known, F.lit(False)), "_x": F.when(counted, value)})
-    # rows of unknown keys are nobody's history: they are dealt out by what they hold, not to one task
-    rows = rows.withColumn("_alone", F.when(~F.col("_known"), F.xxhash64("event_id", "_us", "_x")))
-    width = None if spec.window is None else int(round(spec.window * 1_000_000))
-    keys = [F.col(k) for k in spec.keys]
-    if bucketed and width:
-        own = F.floor(F.col("_us") / width).cast("long")
-        twice = F.when(F.col("_known"), F.array(F.struct(own.alias("s"), F.lit(True).alias("o")), F.struct((own + 1).alias("s"), F.lit(False).alias("o")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(True).alias("o"))))
-        rows = rows.withColumn("_at", F.explode(twice))
-        read = {*spec.keys, "event_id", "_us", "_known", "_x", "_alone"}
-        rows = rows.select(*[F.col(c) if c in read else F.when(F.col("_at.o"), F.col(c)).alias(c) for c in rows.columns if c not in ("_at", "_own", "_slice")], F.col("_at.s").alias("_slice"), F.col("_at.o").alias("_own"))
-    elif bucketed and spec.agg != "distinct":
-        rows = rows.withColumn("_slice", F.coalesce(F.floor(F.col("_us") / int(slice_s * 1_000_000)).cast("long"), F.lit(0).cast("long")))
-    part = Window.partitionBy(*keys, "_slice", "_alone")
-    x = F.col("_x")
-    if spec.agg == "distinct":
-        rows = _distinct(rows, spec, width, out)
-    elif width is None:
-        rows = _upto(rows, spec, part, out)
-    elif spec.agg in ("count", "sum", "avg"):
-        upto = part.orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        gone = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
-        run = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0)) - F.coalesce(F.sum(c).over(gone), F.lit(0.0))
-        n = run(x.isNotNull().cast("double"))
-        rows = rows.withColumn(out, n.cast("long") if spec.agg == "count" else run(x) if spec.agg == "sum" else run(x) / F.nullif(n, F.lit(0.0)))
+    return known
+
+
+def _in_one_exchange(rows: DataFrame, group: list[tuple], carried: list[str], bucketed: bool) -> DataFrame:
+    common = [k for k in group[0][1].keys if all(k in s.keys for _, s, _ in group)]
+    width = max(_micros(s) for _, s, _ in group)
+    own = F.floor(F.col("_us") / width).cast("long")
+    at = lambda n, mine: F.struct(n.alias("s"), F.lit(mine).alias("o"))
+    alone = F.lit(_ALONE) + F.pmod(F.xxhash64("event_id", "_us"), F.lit(1 << 40))
+    rows = rows.withColumn("_at", F.explode(F.when(_known(common), F.array(at(own, True), at(own + 1, False))).otherwise(F.array(at(alone, True)))))
+    read = {"event_id", "_us", "_enters", *carried, *(k for _, s, _ in group for k in s.keys)}
+    rows = rows.select(*[F.col(c) if c in read else F.when(F.col("_at.o"), F.col(c)).alias(c) for c in rows.columns if c != "_at"], F.col("_at.s").alias("_slice"), F.col("_at.o").alias("_own"))
+    rows = rows.repartition(*common, "_slice") if bucketed else rows.repartition(*common)
+    for out, spec, x in group:
+        rows = _BOUNDED.get(spec.agg, _by_halves)(rows, spec, x, out)
+        zero = F.lit(0).cast("long") if spec.agg in ("count", "distinct") else F.lit(None).cast("double")
+        rows = rows.withColumn(out, F.when(_known(spec.keys), F.col(out)).otherwise(zero))
+    return rows.filter("_own").drop("_slice", "_own")
+
+
+def _count(rows: DataFrame, spec: RateSpec, x: str, out: str) -> DataFrame:
+    """Running counts less those of what has left the window."""
+    part = Window.partitionBy(*spec.keys, "_slice")
+    upto = part.orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -_micros(spec))
+    return rows.withColumn(out, F.count(x).over(upto) - F.count(x).over(gone))
+
+
+def _by_halves(rows: DataFrame, spec: RateSpec, x: str, out: str) -> DataFrame:
+    """Sums and extremes of a window that is as long as a slice: the end of the slice before and the beginning of its own.
+
+    Nothing is subtracted, so sums leave no residue, and every frame grows row by row.  A row of the slice before is met
+    when it leaves the window: the last one met, from the end, holds the rest of its slice.
+    """
+    width = _micros(spec)
+    side = Window.partitionBy(*spec.keys, "_slice", "_own")
+    grow = lambda *order: side.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun, rest = grow("_us", "event_id"), grow(F.desc("_us"), F.desc("event_id"))
+    made = {"sum": ("sum",), "avg": ("sum", "count")}.get(spec.agg, (spec.agg,))
+    apply = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    leaves = F.when(F.col("_own"), F.col("_us")).otherwise(F.col("_us") + width)
+    met = Window.partitionBy(*spec.keys, "_slice").orderBy(F.desc("_leaves"), F.desc("_own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"_b_{m}": apply[m](x).over(begun) for m in made}).withColumns({f"_r_{m}": F.when(~F.col("_own"), apply[m](x).over(rest)) for m in made} | {"_leaves": leaves})
+    rows = rows.withColumns({f"_r_{m}": F.last(f"_r_{m}", ignorenulls=True).over(met) for m in made})
+    both = {m: F.least(f"_b_{m}", f"_r_{m}") if m == "min" else F.greatest(f"_b_{m}", f"_r_{m}") if m == "max" else F.coalesce(f"_b_{m}", F.lit(0)) + F.coalesce(f"_r_{m}", F.lit(0)) for m in made}
+    value = both["sum"] / F.nullif(both["count"].cast("double"), F.lit(0.0)) if spec.agg == "avg" else both[spec.agg]
+    return rows.withColumn(out, value).drop("_leaves", *[f"_{h}_{m}" for h in "br" for m in made])
+
+
+def _distinct(rows: DataFrame, spec: RateSpec, x: str, out: str) -> DataFrame:
+    """Distinct values in the window: those that began less those that ended, in memory that doesn't grow with it.
+
+    An occurrence of a value begins with its event and ends when the value occurs again or the window has passed, which is
+    before all events of that time.
+    """
+    part = [*spec.keys, "_slice"]
+    row = Window.partitionBy(*part, x).orderBy("_us", "event_id")
+    rows = rows.withColumn("_again", F.lead(F.struct("_us", "event_id")).over(row))
+    held = F.col(x).isNotNull()
+    place = lambda t, phase, event, last, d: F.struct(t.alias("t"), F.lit(phase).alias("phase"), event.cast("long").alias("event"), F.lit(last).alias("row"), d.alias("d"))
+    replaced = place(F.col("_again._us"), 1, F.col("_again.event_id"), False, F.lit(-1))
+    if spec.window is None:
+        ends = F.when(held & F.col("_again").isNotNull(), replaced)
     else:
-        near = part.orderBy("_us").rangeBetween(-(width - 1), Window.currentRow)
-        rows = rows.withColumn(out, (F.min if spec.agg == "min" else F.max)(x).over(near))
-    zero = F.lit(0).cast("long") if spec.agg in ("count", "distinct") else F.lit(None).cast("double")
-    return rows.withColumn(out, F.when(F.col("_known"), F.col(out)).otherwise(zero)).filter("_own").drop("_us", "_own", "_slice", "_known", "_x", "_alone")
+        passed = place(F.col("_us") + _micros(spec), 0, F.lit(None), False, F.lit(-1))
+        ends = F.when(held, F.when(F.coalesce(F.col("_again._us") < F.col("_us") + _micros(spec), F.lit(False)), replaced).otherwise(passed))
+    at = rows.withColumn("_when", F.explode(F.array(place(F.col("_us"), 1, F.col("event_id"), True, held.cast("int")), ends))).filter("_when is not null").drop("_again")
+    upto = Window.partitionBy(*part).orderBy("_when.t", "_when.phase", "_when.event", "_when.row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return at.withColumn(out, F.sum("_when.d").over(upto).cast("long")).filter("_when.row").drop("_when")
 
 
-def _upto(rows: DataFrame, spec: RateSpec, part: Window, out: str) -> DataFrame:
+_BOUNDED = {"count": _count, "distinct": _distinct}
+
+
+def _unbounded(rows: DataFrame, spec: RateSpec, x: str, out: str, bucketed: bool, slice_s: float) -> DataFrame:
     """Over all history: what the slices before come to, and the slice up to the event.
 
     Slices' rows stay where they are; only a row a slice is run up over a key.
     """
-    order = part.orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = _known(spec.keys)
+    alone = F.lit(_ALONE) + F.pmod(F.xxhash64("event_id", "_us"), F.lit(1 << 40))
+    width = int(slice_s * 1_000_000) if bucketed and spec.agg != "distinct" else None
+    rows = rows.withColumn("_slice", F.when(known, F.floor(F.col("_us") / width).cast("long") if width else F.lit(0).cast("long")).otherwise(alone))
+    if spec.agg == "distinct":
+        made = _distinct(rows.repartition(*spec.keys, "_slice"), spec, x, out)
+        return made.withColumn(out, F.when(known, F.col(out)).otherwise(F.lit(0).cast("long"))).drop("_slice")
+    order = Window.partitionBy(*spec.keys, "_slice").orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = [f"_upto{n}" for n in range(len(spec.keys))]
-    totals = rows.filter("_known").groupBy(*[F.col(k).alias(n) for k, n in zip(spec.keys, names, strict=True)], F.col("_slice").alias("_s")).agg(F.count("_x").alias("_n"), F.sum(F.col("_x").cast("double")).alias("_t"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    totals = rows.filter(known).groupBy(*[F.col(k).alias(n) for k, n in zip(spec.keys, names, strict=True)], F.col("_slice").alias("_s")).agg(F.count(x).alias("_n"), F.sum(F.col(x).cast("double")).alias("_t"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     earlier = Window.partitionBy(*names).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*names, "_s", F.sum("_n").over(earlier).alias("_n"), F.sum("_t").over(earlier).alias("_t"), F.min("_lo").over(earlier).alias("_lo"), F.max("_hi").over(earlier).alias("_hi"))
     same = F.col("_slice") == F.col("_s")
     for k, n in zip(spec.keys, names, strict=True):
         same = same & (F.col(k) == F.col(n))
-    n = F.count("_x").over(order)
-    rows = rows.withColumns({"_in": n, "_it": F.sum(F.col("_x").cast("double")).over(order), "_il": F.min("_x").over(peers), "_ih": F.max("_x").over(peers)}).join(before, same & F.col("_known"), "left")
+    rows = rows.withColumns({"_in": F.count(x).over(order), "_it": F.sum(F.col(x).cast("double")).over(order), "_il": F.min(x).over(order), "_ih": F.max(x).over(order)}).join(before, same & known, "left")
     count, total = F.coalesce("_n", F.lit(0)) + F.col("_in"), F.coalesce("_t", F.lit(0.0)) + F.coalesce("_it", F.lit(0.0))
     made = {"count": count, "sum": total, "avg": total / F.nullif(count.cast("double"), F.lit(0.0)), "min": F.least("_lo", "_il"), "max": F.greatest("_hi", "_ih")}[spec.agg]
-    return rows.withColumn(out, made).drop(*names, "_s", "_n", "_t", "_lo", "_hi", "_in", "_it", "_il", "_ih")
-
-
-def _distinct(rows: DataFrame, spec: RateSpec, width: int | None, out: str) -> DataFrame:
-    """Distinct values in the window: those that began less those that ended, in memory that doesn't grow with it.
-
-    An occurrence of a value begins at its time and ends when the value occurs again or the window has passed.
-    """
-    keys = [F.col(k) for k in spec.keys]
-    rows = rows.repartition(*keys, "_slice", "_alone")
-    again = F.lead("_us").over(Window.partitionBy(*keys, "_slice", "_alone", "_x").orderBy("_us", "event_id"))
-    end = again if width is None else F.least(again, F.col("_us") + F.lit(width))
-    held = F.col("_x").isNotNull()
-    both = F.array(F.struct(F.col("_us").alias("t"), held.cast("int").alias("d"), F.lit(True).alias("row")), F.struct(F.col("_end").alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("row")))
-    at = rows.withColumn("_end", F.when(held, end)).withColumn("_at", F.explode(both)).filter("_at.row or _at.t is not null")
-    upto = Window.partitionBy(*keys, "_slice", "_alone").orderBy("_at.t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return at.withColumn(out, F.sum("_at.d").over(upto).cast("long")).filter("_at.row").drop("_at", "_end")
+    zero = F.lit(0).cast("long") if spec.agg == "count" else F.lit(None).cast("double")
+    return rows.withColumn(out, F.when(known, made).otherwise(zero)).drop("_slice", *names, "_s", "_n", "_t", "_lo", "_hi", "_in", "_it", "_il", "_ih")
 
 
 def retain_history(df: DataFrame, max_age: float = 3600, max_rows: int = 10_000) -> DataFrame:
