@@ -108,7 +108,7 @@ def test_stream_of_decisions_and_audit(spark, tmp_path):
     assert events.count() == 2 and rejects.count() == 2
     assert {r.event_id: r.tool_result_is_string for r in events.collect()} == {1: False, 3: False}
     odd = ['{"stage":"tool.after","tool_args":{"tool_result":"y"},"tool_result":{"a":1},"params":{"p":2},"raw":{}}', '{"stage":"tool.after","tool_result":"s"}', '{"stage":"tool.after","tool_result":null}']
-    got = [sources.parse_events(spark.createDataFrame([(x,) for x in odd], "value string"))[0].collect() for _ in range(2)]
+    got = [sources.parse_events(spark.createDataFrame([(x,) for x in odd], "value string"), 0.0)[0].collect() for _ in range(2)]
     assert got[0] == got[1] and len({r.event_id for r in got[0]}) == 3 and None not in {r.event_id for r in got[0]}
     assert [(r.tool_result, r.tool_result_is_string) for r in got[0]] == [('{"a":1}', False), ("s", True), (None, False)] and got[0][0].params == '{"p":2}'
     from vigilake.rules.pack import category
@@ -165,3 +165,63 @@ def test_gate(spark):
     d = spark.createDataFrame([(1, 0, 0, False), (1, 1, 0, True), (1, 1, 1, False), (1, 2, 0, False), (2, 0, 0, False), (2, 2, 0, True), (2, 2, 1, False)], "request_id long, step int, pos int, blocked boolean")
     assert sorted((r.request_id, r.step, r.pos) for r in traffic.gate_traffic(d).collect()) == [(1, 0, 0), (1, 1, 0), (2, 0, 0), (2, 2, 0), (2, 2, 1)]
     assert [r.request_id for r in traffic.forwarded(d.select("request_id").distinct(), d).collect()] == [2]
+
+
+def test_events_without_times_and_equal_lines(spark, tmp_path):
+    """Lines without a time have their file's, or the one given; equal lines are events of their own; every event counts itself."""
+    line = json.dumps({"stage": "tool.before", "session_id": "s", "tool_name": "exec", "tool_args": {"command": "ls"}})
+    (tmp_path / "a.jsonl").write_text("\n".join([line] * 3 + [json.dumps({"stage": "odd"})]))
+    (tmp_path / "b.jsonl").write_text("\n".join([line] * 2 + [json.dumps({"stage": "tool.before", "session_id": "s", "timestamp": 7.5, "event_id": 9})]))
+    for arrived in (None, 1000.0):
+        e, rejects = sources.read_events(spark, str(tmp_path), arrived)
+        rows = trailing(e, RateSpec(("session_id",), 60)).collect()
+        assert len({r.event_id for r in rows}) == 6 and rejects.count() == 1
+        assert min(r.cnt for r in rows) == 1 and all(r.timestamp is not None for r in rows)
+        assert sorted(r.cnt for r in rows) == ([1, 1, 2, 3, 4, 5] if arrived else sorted(r.cnt for r in rows))
+    e, _ = sources.parse_events(spark.createDataFrame([(line,)] * 4, "value string"), 5.0)
+    assert sorted(r.cnt for r in trailing(e, RateSpec(("session_id",), 60)).collect()) == [1, 2, 3, 4]
+
+
+def test_null_times_are_nobody_s_history(spark):
+    rows = [(i, "tool.before", "s", None if i % 2 else float(i), None, 1.0) for i in range(10)]
+    df = schema.as_events(spark.createDataFrame(rows, "event_id long, stage string, session_id string, timestamp double, tool_name string, value double"))
+    for window in (60, None):
+        got = {r.event_id: r.cnt for r in trailing(df, RateSpec(("session_id",), window)).collect()}
+        assert got == {i: 0 if i % 2 else i // 2 + 1 for i in range(10)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rates_of_many_equal_times(spark, seed):
+    """Few distinct times, half of the events in one session: every aggregate equals a replay in the order of (time, id)."""
+    r = random.Random(seed)
+    rows = [(i, "tool.before", r.choice(["hot", "hot", "a", ""]), float(r.randrange(-8, 30)), r.choice([None, "exec", "read", "write"]), r.choice([0.1, 0.2, 0.3, -7.0])) for i in range(250)]
+    df = schema.as_events(spark.createDataFrame(rows, "event_id long, stage string, session_id string, timestamp double, tool_name string, value double"))
+    aggs = {"count": None, "sum": "value", "avg": "value", "min": "value", "max": "value", "distinct": "tool_name"}
+    from vigilake.operators.rates import trailing_many
+
+    specs = {f"{a}{w}": RateSpec(keys, w, a, v, name=a) for a, v in aggs.items() for w, keys in ((7, ("session_id",)), (3, ("session_id", "tool_name")))}
+    got = {row.event_id: row for row in trailing_many(df, specs).collect()}
+    assert len(got) == len(rows)
+    for e in rows:
+        for name, s in specs.items():
+            past = [x for x in rows if x[2] == e[2] and (len(s.keys) == 1 or x[4] == e[4]) and e[3] - s.window < x[3] and (x[3], x[0]) <= (e[3], e[0])]
+            values = [x[5] for x in past]
+            want = {"count": len(past), "sum": sum(values), "avg": sum(values) / len(values), "min": min(values), "max": max(values), "distinct": len({x[4] for x in past} - {None})}[s.agg]
+            if len(s.keys) == 2 and e[4] is None:
+                want = 0 if s.agg in ("count", "distinct") else None
+            assert got[e[0]][name] == (want if want is None else pytest.approx(want, abs=1e-12)), (name, e)
+
+
+def test_rules_of_one_evaluator_share_an_exchange(spark):
+    """Half the events in one session: one exchange serves both rules of the pack and carries no text."""
+    from vigilake.rules.pack import rule_pack
+
+    n = 400
+    at = spark.range(n).select(F.col("id").alias("event_id"), F.lit("tool.before").alias("stage"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("session_id"), (F.col("id") / 4.0).alias("timestamp"), F.lit("exec").alias("tool_name"), F.lit('{"command":"ls"}').alias("tool_args"))
+    decided = evaluate(schema.as_events(at), list(rule_pack())).select("event_id", "action", "reasons", "n_results")
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "_slice" in exchanges[0]
+    below = plan[plan.index("Exchange hashpartitioning") :].splitlines()[1]
+    assert "Project" in below and not any(c in below for c in ("_text", "tool_args", "message_text", "tool_result", "results"))
+    assert decided.filter("action = 'detect'").count() == n // 2 - 20

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.schema import as_events
@@ -71,13 +72,19 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that all machines share: ``spark.checkpoint.dir``, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new place in the folder that all machines share, ``spark.checkpoint.dir``; one of its own for a local session without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors have no folder in common")
+    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_log(events: DataFrame, path: str) -> None:
-    """Events as a log of JSON lines, as requests to evaluate are: without an id, results as JSON values."""
+def write_log(events: DataFrame, path: str, times: Column | None = None) -> None:
+    """Events as a log of JSON lines, as requests to evaluate are: without an id, results as JSON values.
+
+    ``times``: which events have theirs written (all).
+    """
+    events = events.withColumn("timestamp", F.when(F.lit(True) if times is None else times, F.col("timestamp")))
     value = F.when(F.col("tool_result_is_string"), _json_string(F.col("tool_result"))).otherwise(F.coalesce("tool_result", F.lit("null")))
     head = F.to_json(F.struct("stage", "session_id", "channel", "timestamp", "message_text", "tool_name"))
     args = F.coalesce("tool_args", F.lit("{}"))

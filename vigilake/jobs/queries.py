@@ -470,14 +470,29 @@ def w7_history(spark, sf_dir):
 # --- whole rows, logs as written, and streams --------------------------------------------------------------
 
 
-@_query(f"WITH {EV} SELECT stage, session_id, channel, CAST(us AS BIGINT) AS us, message_text, tool_name, command, path, tool_result, tool_result IS NOT NULL AS is_string FROM ev")
-def s1_event_log(spark, sf_dir):
-    """Events written as a log and read back; ids come from the lines, so the query leaves them out."""
+_LINES = f"WITH {EV}, lines AS (SELECT ev.*, CASE WHEN event_id % 5 = 0 THEN 1700000000000000 ELSE us END AS time FROM ev UNION ALL SELECT ev.*, 1700000000000000 FROM ev WHERE event_id % 10 = 0)"
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Events written as a log and read back: every fifth line has no time, and half of those stand there twice."""
     path = agent_log.shared_path(spark, "log")
-    agent_log.write_log(_events(spark, sf_dir), path)
-    e, _ = sources.read_events(spark, path)
+    e = _events(spark, sf_dir)
+    agent_log.write_log(e.unionByName(e.filter("event_id % 10 = 0")), path, F.col("event_id") % 5 != 0)
+    return sources.read_events(spark, path, arrived=1_700_000_000.0)[0]
+
+
+@_query(f"{_LINES} SELECT stage, session_id, channel, CAST(time AS BIGINT) AS us, message_text, tool_name, command, path, tool_result, tool_result IS NOT NULL AS is_string FROM lines")
+def s1_event_log(spark, sf_dir):
+    """Ids come from the lines, so the query leaves them out."""
     arg = lambda k: F.get_json_object("tool_args", f"$.{k}").alias(k)
-    return e.filter("event_id is not null").select("stage", "session_id", "channel", F.round(F.col("timestamp") * 1_000_000).cast("long").alias("us"), "message_text", "tool_name", arg("command"), arg("path"), "tool_result", F.col("tool_result_is_string").alias("is_string"))
+    return _log(spark, sf_dir).select("stage", "session_id", "channel", F.round(F.col("timestamp") * 1_000_000).cast("long").alias("us"), "message_text", "tool_name", arg("command"), arg("path"), "tool_result", F.col("tool_result_is_string").alias("is_string"))
+
+
+@_query(f"{_LINES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id, time ORDER BY event_id) AS nth FROM lines) SELECT session_id, CAST(a.time AS BIGINT) AS us, a.nth + (SELECT count(*) FROM lines b WHERE b.session_id = a.session_id AND b.time < a.time AND b.time > a.time - {DAY * 1_000_000}) AS cnt FROM numbered a")
+def s1_log_rate(spark, sf_dir):
+    """Rates over such a log: every line is an event of its own, those without a time too."""
+    rate = trailing(_log(spark, sf_dir), RateSpec(("session_id",), DAY))
+    return rate.select("session_id", F.round(F.col("timestamp") * 1_000_000).cast("long").alias("us"), "cnt")
 
 
 def _spoken_requests(spark, sf_dir) -> DataFrame:

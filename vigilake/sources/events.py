@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,36 +15,53 @@ _LOG = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("tool_ar
 
 def _parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines of JSON -> (events, rejects): rejects don't parse or name no known stage."""
-    read = lines.select("value", F.from_json("value", _LOG, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("e"))
+    # streams have no row numbers: a number drawn for the row stands in
+    place = F.xxhash64("value", "_file", F.uuid() if lines.isStreaming else F.monotonically_increasing_id())
+    read = lines.select("value", "_arrived", place.alias("_place"), F.from_json("value", _LOG, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("e"))
     whole = F.try_parse_json("value")
     result = F.try_variant_get(whole, "$.tool_result", "variant")
     kind = F.schema_of_variant(result)
     text = F.when(kind == "STRING", F.try_variant_get(whole, "$.tool_result", "string")).when(kind != "VOID", F.to_json(result))
-    rows = read.select("value", "e.*", text.alias("_result"), F.coalesce(kind == "STRING", F.lit(False)).alias("tool_result_is_string"))
-    rows = rows.withColumn("tool_result", F.col("_result")).drop("_result")
-    # requests name no event: equal lines are equal events, told apart by nothing
-    rows = rows.withColumn("event_id", F.coalesce("event_id", F.xxhash64("value")))
+    rows = read.select("value", "_arrived", "_place", "e.*", text.alias("_result"), F.coalesce(kind == "STRING", F.lit(False)).alias("tool_result_is_string"))
+    rows = rows.withColumns({"tool_result": F.col("_result"), "event_id": F.coalesce("event_id", "_place"), "timestamp": F.coalesce("timestamp", "_arrived")}).drop("_result", "_place", "_arrived")
     fine = F.col(_CORRUPT).isNull() & F.coalesce(F.col("stage").isin(STAGES), F.lit(False))
     return as_events(rows.filter(fine).drop(_CORRUPT, "value")), rows.filter(~fine).select("value")
 
 
-def parse_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _seconds(when: Column) -> Column:
+    return F.unix_micros(when) / 1_000_000.0
+
+
+def parse_events(lines: DataFrame, arrived: Column | float | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of JSON lines in a column ``value``.
 
-    Lines without an ``event_id`` get one from their content, the same in every run; columns ``params`` and ``raw`` of the
-    events are JSON text.
+    A line without a ``timestamp`` has the time at which it ``arrived``, in seconds: a column of ``lines``, a number, or now.
+    A line without an ``event_id`` gets one from what it says and where it stands, so that equal lines are events of their
+    own; the same in every run over the same partitions.  Columns ``params`` and ``raw`` of the events are JSON text.
     """
-    return _parsed(lines)
+    when = _seconds(F.current_timestamp()) if arrived is None else arrived if isinstance(arrived, Column) else F.lit(float(arrived))
+    return _parsed(lines.select("value", when.cast("double").alias("_arrived"), F.lit("").alias("_file")))
+
+
+def _of_files(lines: DataFrame, arrived: float | None) -> DataFrame:
+    when = _seconds(F.col("_metadata.file_modification_time")) if arrived is None else F.lit(float(arrived))
+    return lines.select("value", when.alias("_arrived"), F.concat("_metadata.file_path", F.lit(":"), F.col("_metadata.file_block_start")).alias("_file"))
 
 
-def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of a log of JSON lines.  Nothing is dropped: what is no event is a reject."""
-    return _parsed(spark.read.text(path))
+def read_events(spark: SparkSession, path: str, arrived: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of a log of JSON lines.  Nothing is dropped: what is no event is a reject.
+
+    Lines without a ``timestamp`` have ``arrived`` (seconds) or else the time of their file; ids as in :func:`parse_events`.
+    """
+    return _parsed(_of_files(spark.read.text(path), arrived))
 
 
-def read_events_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the events of JSON lines in new files of ``path``, with ``event_time`` to watermark on."""
-    return with_event_time(_parsed(spark.readStream.text(path))[0])
+def read_events_stream(spark: SparkSession, path: str, arrived: float | None = None) -> DataFrame:
+    """A stream of the events of JSON lines in new files of ``path``, with ``event_time`` to watermark on.
+
+    Lines without an ``event_id`` get one that is drawn for them: a batch that is run again after a failure draws anew.
+    """
+    return with_event_time(_parsed(_of_files(spark.readStream.text(path), arrived))[0])
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
