@@ -614,6 +614,30 @@ def x5_assemble_stream(spark, sf_dir):
     return _drained(spark, calls.select("stream_id", "block", "tool_name", F.get_json_object("tool_args", "$.command").alias("command")))
 
 
+_LATE = f"mid AS (SELECT (min(us) + max(us)) // 2 AS mid FROM ev), moved AS (SELECT event_id FROM ev, mid WHERE event_id % 50 = 0 AND us < mid - {2 * DAY * 1_000_000})"
+_PACK_STREAM = _WHOLE.replace("adm AS (SELECT", f"{_LATE}, adm AS (SELECT").replace("FROM decided WHERE action <> 'block'", "FROM decided WHERE event_id NOT IN (SELECT event_id FROM moved) AND action <> 'block'")
+
+
+@_query(f"{_PACK_STREAM} SELECT event_id, action, reasons, n_results, event_id IN (SELECT event_id FROM moved) AS late FROM whole")
+def x2_pack_stream(spark, sf_dir):
+    """The whole pack over a stream of three runs: the first half by time, the second, and events of the first that come late."""
+    e = _events(spark, sf_dir).withColumn("_us", F.round(F.col("timestamp") * 1_000_000).cast("long"))
+    ends = e.agg(F.min("_us"), F.max("_us")).first()
+    mid = (ends[0] + ends[1]) // 2
+    late = (F.col("event_id") % 50 == 0) & (F.col("_us") < mid - 2 * DAY * 1_000_000)
+    place = agent_log.shared_path(spark, "pack-stream")
+
+    def deliver(decided: DataFrame, number: int) -> None:
+        rows = decided.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), "n_results", "late")
+        rows.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    for part in (~late & (F.col("_us") <= mid), F.col("_us") > mid, late):
+        e.filter(part).drop("_us").write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(e.drop("_us").schema).parquet(f"{place}/in")
+        scoring.decide_stream(stream, list(rule_pack()), deliver, f"{place}/history", f"{place}/state", lateness_s=DAY).awaitTermination()
+    return spark.read.parquet(f"{place}/out").drop("batch")
+
+
 # Earlier names of the same queries.
 _ALSO = {"a1_decisions_whole": "a1_decisions", "a7_summary_whole": "a7_summary", "s8_audit_whole": "s8_audit", "s9_alerts_whole": "s9_alerts", "w6_retain_whole": "w6_retain", "w7_history_whole": "w7_history", "s7_events": "s7_traffic", "u1_events": "u1_union"}
 

@@ -134,6 +134,15 @@ class Chain:
         return out
 
 
+def read_by_rates(evaluators: list[Evaluator]) -> list[str]:
+    """The columns that a history of these evaluators' rate rules needs."""
+    out = {"event_id", "timestamp"}
+    for e in evaluators:
+        for r in e.rules if e.type == "sql" else ():
+            out |= {*r.rate.keys, *([r.rate.value] if r.rate.value else []), *r.rate.reads}
+    return sorted(out)
+
+
 def _rate_column(order: int, rule: Rule) -> str:
     return f"_rate_{order}_{rule.id}"
 
@@ -152,14 +161,16 @@ def _from_results(df: DataFrame) -> DataFrame:
     return df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "n_results": F.size("results")})
 
 
-def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True) -> DataFrame:
+def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True, history: DataFrame | None = None) -> DataFrame:
     """``events`` with columns action, blocked, reasons, redacted, results, n_results.
 
     Rules without history are one narrow stage.  Each rate evaluator then sees the events in its stages that
     nothing has blocked, which are its history; its rules share one exchange, which carries what is read of the events
     and the numbers of their verdicts, and its results go behind the others.  Who doesn't ask for ``results`` or texts
     doesn't have them shuffled.  ``compose``: ``redacted`` is the text with all redacting rules applied, one after the
-    other.  ``bucketed``: busy keys of bounded windows are dealt out by time slices as well.
+    other.  ``bucketed``: busy keys of bounded windows are dealt out by time slices as well.  ``history``: earlier events,
+    with what rates read of them and ``entered``, the names of the rate evaluators that they entered; then the events have
+    such a column too.
     """
     chain = Chain(evaluators, mode)
     plain = [(i, e) for i, e in chain.ordered if e.type != "sql" and not e.custom]
@@ -189,7 +200,16 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
     df = df.drop("_v", *_HELD, *[f"_arg_{n}" for n in args])
     for i, e in rated:
         enters = F.col("stage").isin(*e.stages) & ~F.col("_stopped")
-        df = trailing_many(df.withColumn("_admitted", F.coalesce(enters, F.lit(False))), {_rate_column(i, r): r.rate for r in e.rules}, F.col("_admitted"), bucketed)
+        df = df.withColumn("_admitted", F.coalesce(enters, F.lit(False)))
+        rates = {_rate_column(i, r): r.rate for r in e.rules}
+        if history is None:
+            df = trailing_many(df, rates, F.col("_admitted"), bucketed)
+        else:
+            past = history.filter(F.array_contains("entered", e.name)).drop("entered").withColumns({"_admitted": F.lit(True), "_past": F.lit(True)})
+            both = df.withColumn("_past", F.lit(False)).unionByName(past, allowMissingColumns=True)
+            df = trailing_many(both, rates, F.col("_admitted"), bucketed).filter("not _past").drop("_past")
+            entered = F.when(F.col("_admitted"), F.array(F.lit(e.name))).otherwise(F.array().cast("array<string>"))
+            df = df.withColumn("_entered", F.concat("_entered", entered) if "_entered" in df.columns else entered)
         df = df.withColumn("_n", F.when(F.col("_admitted"), chain.number(e, i)))
         df = df.withColumn("results", F.array_compact(F.concat("results", F.array(chain.said(F.col("_n"))))))
         stopped = F.col("_stopped") | F.coalesce(F.array_contains(blocks, F.col("_n")), F.lit(False))
@@ -201,6 +221,8 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
         top = F.coalesce(F.array_max(F.transform("_said", chain.rank)), F.lit(0))
         reasons = F.filter(F.transform("_said", chain.reason), lambda r: r != "")
         df = df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "n_results": F.size("_said")}).drop("_said")
+    if history is not None:
+        df = df.withColumnRenamed("_entered", "entered") if rated else df.withColumn("entered", F.array().cast("array<string>"))
     return df.withColumn("blocked", F.col("action") == "block").drop("_stopped")
 
 

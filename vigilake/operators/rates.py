@@ -28,6 +28,7 @@ class RateSpec:
     where: str | None = None
     name: str = "cnt"
     condition: str = "cnt > 0"
+    reads: tuple[str, ...] = ()  # columns that ``where`` reads
 
 
 def threshold(condition: str, columns: dict[str, Column]) -> Column:

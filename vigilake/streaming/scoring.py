@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vigilake.operators.chain import evaluate
-from vigilake.operators.outputs import alert_feed, audit_records
+from vigilake.operators.chain import evaluate, read_by_rates
+from vigilake.operators.outputs import DEFAULT_ALERTS, alert_feed, audit_records
 from vigilake.operators.rates import threshold
 from vigilake.rules.model import Evaluator, Rule
 
@@ -92,17 +93,140 @@ def rate_alerts_stream(events: DataFrame, keys: tuple[str, ...] = ("session_id",
     return n.select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def write_audit_stream(decided: DataFrame, path: str, checkpoint: str, alerts: str | None = None):
-    """Audit lines (and alerts) of a stream of decisions; a batch that is run again overwrites its own folder."""
+Deliver = Callable[[DataFrame, int], None]
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        audit_records(batch).write.mode("overwrite").text(f"{path}/batch={number}")
-        if alerts:
-            alert_feed(batch).write.mode("overwrite").json(f"{alerts}/batch={number}")
-        batch.unpersist()
 
-    return decided.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _start(stream: DataFrame, write: Deliver, checkpoint: str, trigger: dict | None):
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def write_audit_stream(decided: DataFrame, path: str, checkpoint: str, alerts: str | None = None, trigger: dict | None = None):
+    """Audit lines (and alerts) of a stream of decisions; a batch that is run again overwrites its own folder.
+
+    ``trigger``: as of :meth:`DataStreamWriter.trigger`, ``{"processingTime": "10 seconds"}`` to go on for ever; what is there now.
+    """
+    return _start(decided, lambda batch, number: _audit_batch(batch, number, path, alerts), checkpoint, trigger)
+
+
+def _audit_batch(batch: DataFrame, number: int, path: str, alerts: str | None) -> None:
+    batch.persist()
+    audit_records(batch).write.mode("overwrite").text(f"{path}/batch={number}")
+    if alerts:
+        alert_feed(batch).write.mode("overwrite").json(f"{alerts}/batch={number}")
+    batch.unpersist()
+
+
+class Ledger:
+    """Which batches have been delivered: a batch that is run again isn't delivered again.
+
+    A delivery ends with a mark in the ledger's folder.  One that broke off before its mark is made again, so what receives
+    it must take the batch's number as the key of what it gets, as a folder of that number does.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        self.hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _mark(self, number: int):
+        return self.hadoop(f"{self.path}/{number}")
+
+    def once(self, deliver: Deliver) -> Deliver:
+        def write(batch: DataFrame, number: int) -> None:
+            if not self.files.exists(self._mark(number)):
+                deliver(batch, number)
+                self.files.create(self._mark(number), True).close()
+
+        return write
+
+
+def deliver_alerts_stream(decided: DataFrame, deliver: Deliver, ledger: str, checkpoint: str, actions: tuple[str, ...] = DEFAULT_ALERTS, trigger: dict | None = None):
+    """Alerts of a stream of decisions to ``deliver`` (alerts, batch number), each batch once."""
+    once = Ledger(decided.sparkSession, ledger).once(deliver)
+    return _start(decided, lambda batch, number: once(alert_feed(batch, actions), number), checkpoint, trigger)
+
+
+class _History:
+    """Admitted events of earlier batches, in folders of a batch each, as far back as some rate looks."""
+
+    def __init__(self, path: str, evaluators: list[Evaluator], lateness_s: float):
+        windows = [r.rate.window for e in evaluators if e.type == "sql" for r in e.rules]
+        if None in windows:
+            raise ValueError("rates over all history would need all of it: only bounded windows run on a stream")
+        self.path, self.columns, self.lateness_s = path.rstrip("/"), read_by_rates(evaluators), lateness_s
+        self.window_s = max(windows, default=0)
+
+    def _folders(self, spark: SparkSession, kind: str) -> dict[int, str]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [str(f.getPath().toString()) for f in files.listStatus(place)] if files.exists(place) else []
+        return {int(f.rpartition("=")[2]): f for f in found}
+
+    def marks(self, spark: SparkSession, number: int) -> dict[int, float]:
+        """Batch -> its newest time; a row a batch that is still remembered."""
+        earlier = [f for n, f in self._folders(spark, "marks").items() if n < number]
+        return {r.batch: r.newest for r in spark.read.parquet(*earlier).collect()} if earlier else {}
+
+    def before(self, spark: SparkSession, number: int, schema: T.StructType, marks: dict[int, float]) -> tuple[DataFrame, float | None]:
+        """(history, watermark) that batch ``number`` meets: what only it or later ones wrote doesn't count.
+
+        Folders too old for any rate are removed, by what batches that are done have seen.
+        """
+        newest = max((t for t in marks.values() if t is not None), default=None)
+        watermark = None if newest is None else newest - self.lateness_s
+        kept = []
+        for n, folder in self._folders(spark, "events").items():
+            if n < number and n in marks:
+                if marks[n] is None or (watermark is not None and marks[n] < watermark - self.window_s):
+                    self._remove(spark, folder)
+                else:
+                    kept.append(folder)
+        if not kept:
+            return spark.createDataFrame([], schema), watermark
+        rows = spark.read.schema(schema).parquet(*kept)
+        return rows.filter(F.col("timestamp") >= watermark - self.window_s), watermark
+
+    @staticmethod
+    def _remove(spark: SparkSession, folder: str) -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def decide_batch(batch: DataFrame, number: int, evaluators: list[Evaluator], history: _History, deliver: Deliver, mode: str = "parity") -> int:
+    """Decisions of one batch of a stream by all evaluators; gives the number of late events."""
+    spark = batch.sparkSession
+    kinds = [batch.schema[c] for c in history.columns]
+    schema = T.StructType([*kinds, T.StructField("entered", T.ArrayType(T.StringType()))])
+    marks = history.marks(spark, number)
+    past, watermark = history.before(spark, number, schema, marks)
+    late = F.coalesce(F.col("timestamp") < (float("-inf") if watermark is None else watermark), F.lit(False))
+    seen = Observation(f"batch {number}")
+    rows = batch.withColumn("late", late).observe(seen, F.count_if("late").alias("late"), F.max("timestamp").alias("newest"))
+    rows = rows.persist()
+    timely = evaluate(rows.filter("not late"), evaluators, mode, history=past)
+    alone = evaluate(rows.filter("late"), [e for e in evaluators if e.type != "sql"], mode).withColumn("entered", F.array().cast("array<string>"))
+    decided = timely.unionByName(alone).persist()
+    deliver(decided.drop("entered"), number)
+    decided.filter(F.size("entered") > 0).select(*history.columns, "entered").write.mode("overwrite").parquet(f"{history.path}/events/batch={number}")
+    counted = seen.get
+    newest = max([t for t in (*marks.values(), counted["newest"]) if t is not None], default=None)
+    spark.createDataFrame([(number, newest, counted["late"])], "batch long, newest double, late long").write.mode("overwrite").parquet(f"{history.path}/marks/batch={number}")
+    decided.unpersist()
+    rows.unpersist()
+    return counted["late"]
+
+
+def decide_stream(events: DataFrame, evaluators: list[Evaluator], deliver: Deliver, history: str, checkpoint: str, lateness_s: float = 600, mode: str = "parity", trigger: dict | None = None):
+    """Decisions of a stream by all evaluators, rate rules of any aggregate over bounded windows included.
+
+    ``deliver`` (decisions, batch number) gets each batch; a batch that is run again meets the same history and has the same
+    number.  An event older than the newest one of earlier batches by more than ``lateness_s`` is ``late``: it gets the verdict
+    of the rules without history and enters none.  Late events are counted by ``observe``; the counts stand, a row a
+    batch, under ``history``/marks.  History is a narrow table of admitted events, a folder a batch, and reaches back as far
+    as lateness and the longest window; decisions once given aren't revised.
+    """
+    kept = _History(history, evaluators, lateness_s)
+    return _start(events, lambda batch, number: decide_batch(batch, number, evaluators, kept, deliver, mode) and None, checkpoint, trigger)
 
 
 class _Assemble(StatefulProcessor):
