@@ -398,7 +398,10 @@ def t3_last_user(spark, sf_dir):
     return outputs.last_user_messages(_table(spark, sf_dir, "conversations"))
 
 
-@_query(f"WITH {EV} SELECT CAST(to_timestamp(us // 1000000 // 86400 * 86400) AT TIME ZONE 'UTC' AS VARCHAR) AS start, session_id, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(*) > 2")
+_ALERTS = f"WITH {EV} SELECT CAST(to_timestamp(us // 1000000 // 86400 * 86400) AT TIME ZONE 'UTC' AS VARCHAR) AS start, session_id, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(*) > 2"
+
+
+@_query(_ALERTS)
 def x3_rate_alerts(spark, sf_dir):
     e = sources.with_event_time(_events(spark, sf_dir))
     return scoring.rate_alerts_stream(e, length="1 day", slide=None, more_than=2).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "session_id", "n")
@@ -638,6 +641,36 @@ def x2_pack_stream(spark, sf_dir):
     return spark.read.parquet(f"{place}/out").drop("batch")
 
 
+@_query(_ALERTS)
+def x3_alerts_stream(spark, sf_dir):
+    """The alerts on a stream, whose windows are given out whole when all has been read."""
+    out = agent_log.shared_path(spark, "alerts")
+    stream = sources.with_event_time(_streamed(spark, _events(spark, sf_dir)))
+    alerts = scoring.rate_alerts_stream(stream, length="1 day", slide=None, more_than=2)
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(out)
+    alerts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "session_id", "n")
+
+
+_START, _PART, _STOP = (f"content_block_{w}" for w in ("start", "delta", "stop"))
+
+
+@_query(f"""{_calls_decided_sql()}, r AS (SELECT * REPLACE (bad AND event_id % 5 <> 0 AS bad) FROM d WHERE event_id % 7 <> 0)
+SELECT event_id AS stream_id, CAST(n AS INTEGER) AS seq, 0 AS nth, {[_START, _PART, _PART, _STOP]}[n + 1] AS type, CAST(NULL AS VARCHAR) AS text FROM r CROSS JOIN range(4) t(n) WHERE NOT bad
+UNION ALL SELECT event_id, 0, CAST(n AS INTEGER), {[_START, _PART, _STOP]}[n + 1], CASE n WHEN 0 THEN '' WHEN 1 THEN '[SECURITY] Tool ' || chr(39) || tool_name || chr(39) || ' blocked' END FROM r CROSS JOIN range(3) t(n) WHERE bad""")
+def x5_rewrite_stream(spark, sf_dir):
+    """Records of calls, in two runs of which the second ends the calls of the first; blocked calls are replaced."""
+    chunks = _chunks(spark, sf_dir).withColumn("seq", F.col("seq").cast("int"))
+    place = agent_log.shared_path(spark, "records")
+    for part in ("seq < 2", "seq >= 2"):
+        chunks.filter(part).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(chunks.schema).parquet(f"{place}/in")
+        scoring.rewrite_stream(stream, category("recon") + category("shadow_it"), lambda rows, n: rows.write.mode("overwrite").parquet(f"{place}/out/batch={n}"), f"{place}/held", f"{place}/state").awaitTermination()
+    d = F.from_json("data", "type string, content_block struct<text:string>, delta struct<text:string>")
+    rows = spark.read.parquet(f"{place}/out").withColumn("d", d)
+    return rows.select("stream_id", "seq", "nth", "d.type", F.regexp_replace(F.coalesce("d.content_block.text", "d.delta.text"), "(' blocked): .*", "$1").alias("text"))
+
+
 # Earlier names of the same queries.
 _ALSO = {"a1_decisions_whole": "a1_decisions", "a7_summary_whole": "a7_summary", "s8_audit_whole": "s8_audit", "s9_alerts_whole": "s9_alerts", "w6_retain_whole": "w6_retain", "w7_history_whole": "w7_history", "s7_events": "s7_traffic", "u1_events": "u1_union"}
 

@@ -70,31 +70,59 @@ def tool_use_events(resp: DataFrame) -> DataFrame:
 _CHUNK = "struct<type:string,index:int,content_block:struct<type:string,name:string>,delta:struct<type:string,partial_json:string>>"
 
 
+def _calls_of_records(chunks: DataFrame) -> DataFrame:
+    """Records (stream_id, seq, data) parsed as ``d``, with ``_after``, which tells calls of a stream apart, and ``_in``: part of a call."""
+    d = chunks.withColumn("d", F.from_json("data", _CHUNK))
+    start = (F.col("d.type") == "content_block_start") & (F.col("d.content_block.type") == "tool_use")
+    marked = d.withColumns({"_start": F.coalesce(start, F.lit(False)), "_stop": F.coalesce(F.col("d.type") == "content_block_stop", F.lit(False))})
+    before = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    # a start inside an open call is part of it: only the first start after a stop opens one
+    marked = marked.withColumn("_after", F.coalesce(F.sum(F.col("_stop").cast("int")).over(before), F.lit(0)))
+    span = Window.partitionBy("stream_id", "_after").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_in", F.max(F.col("_start")).over(span))
+
+
 def assemble_tool_calls(chunks: DataFrame) -> DataFrame:
     """(stream_id, block, ...event): tool calls put together from the records (stream_id, seq, data) of streamed responses.
 
     A call starts with its block's start, takes the parts of its input in order, and ends with its stop; calls
     without an end are dropped, input that isn't an object is empty.
     """
-    d = chunks.select("stream_id", "seq", F.from_json("data", _CHUNK).alias("d"))
-    start = (F.col("d.type") == "content_block_start") & (F.col("d.content_block.type") == "tool_use")
-    marked = d.withColumns({"_start": F.coalesce(start, F.lit(False)), "_stop": F.coalesce(F.col("d.type") == "content_block_stop", F.lit(False))})
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # a start inside an open call is part of it: only the first start after a stop opens one
-    marked = marked.withColumn("_after", F.coalesce(F.sum(F.col("_stop").cast("int")).over(before), F.lit(0)))
-    span = Window.partitionBy("stream_id", "_after").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    open_ = marked.withColumn("_in", F.max(F.col("_start")).over(span)).filter("_in")
-    calls = open_.groupBy("stream_id", "_after").agg(
+    done = _assembled(_calls_of_records(chunks)).withColumn("block", (F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) - 1).cast("int"))
+    return as_events(done.select("stream_id", "block", F.lit("tool.before").alias("stage"), "tool_name", "tool_args"))
+
+
+def _assembled(marked: DataFrame) -> DataFrame:
+    """(stream_id, _after, seq, index, tool_name, tool_args) of the calls that end."""
+    calls = marked.filter("_in").groupBy("stream_id", "_after").agg(
         F.min_by("d.content_block.name", F.when(F.col("_start"), F.col("seq"))).alias("name"),
+        F.min_by("d.index", F.when(F.col("_start"), F.col("seq"))).alias("index"),
         F.max("_stop").alias("ended"),
         F.array_sort(F.collect_list(F.when(F.col("d.delta.type") == "input_json_delta", F.struct("seq", F.col("d.delta.partial_json").alias("part"))))).alias("parts"),
         F.min("seq").alias("seq"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
     args = F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text).otherwise(F.lit("{}"))
-    done = calls.filter("ended").withColumn("block", (F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) - 1).cast("int"))
-    return as_events(done.select("stream_id", "block", F.lit("tool.before").alias("stage"), F.coalesce("name", F.lit("")).alias("tool_name"), args.alias("tool_args")))
+    return calls.filter("ended").select("stream_id", "_after", "seq", "index", F.coalesce("name", F.lit("")).alias("tool_name"), args.alias("tool_args"))
+
+
+def rewrite_records(records: DataFrame, evaluators: list) -> tuple[DataFrame, DataFrame]:
+    """((stream_id, seq, nth, data), (stream_id, seq, data)): records to pass on, and those of calls that haven't ended.
+
+    A blocked call's records give way to three that say so, in the place of its first; everything else stays as it is.
+    """
+    from vigilake.operators.chain import evaluate
+
+    marked = _calls_of_records(records)
+    found = _assembled(marked)
+    decided = evaluate(as_events(found.withColumn("stage", F.lit("tool.before")).withColumn("event_id", F.xxhash64("stream_id", "_after"))), evaluators)
+    verdicts = decided.select(F.col("stream_id").alias("_stream"), F.col("_after").alias("_call"), F.col("seq").alias("_first"), "index", "tool_name", "blocked", "reasons")
+    rows = marked.select("stream_id", "seq", "data", "_after", "_in").join(verdicts, F.col("_in") & (F.col("stream_id") == F.col("_stream")) & (F.col("_after") == F.col("_call")), "left")
+    waiting = rows.filter(F.col("_in") & F.col("blocked").isNull()).select("stream_id", "seq", "data")
+    kept = rows.filter(~F.col("_in") | ~F.col("blocked")).select("stream_id", "seq", F.lit(0).alias("nth"), "data")
+    bad = verdicts.filter("blocked").select(F.col("_stream").alias("stream_id"), F.col("_first").alias("block"), "index", "tool_name", "blocked", "reasons")
+    made = replaced_records(bad).select("stream_id", F.col("block").alias("seq"), "nth", "data")
+    return kept.unionByName(made), waiting
 
 
 def traffic_events(req: DataFrame, resp: DataFrame) -> DataFrame:

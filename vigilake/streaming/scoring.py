@@ -13,8 +13,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilake.operators.chain import evaluate, read_by_rates
 from vigilake.operators.outputs import DEFAULT_ALERTS, alert_feed, audit_records
-from vigilake.operators.rates import threshold
+from vigilake.operators.rates import RateSpec, threshold
 from vigilake.rules.model import Evaluator, Rule
+from vigilake.schema import ts_us
+from vigilake.sources.traffic import rewrite_records
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,65 +26,131 @@ def evaluate_stream(events: DataFrame, evaluators: list[Evaluator], mode: str =
     return evaluate(events, [e for e in evaluators if e.type != "sql"], mode)
 
 
-class _TrailingCount(StatefulProcessor):
-    """Times of a key's recent events; each new event counts those less than the window older, itself included."""
+class _Trailing(StatefulProcessor):
+    """A key's recent events by slices of time; each new event takes its rate over those less than the window older, itself last.
 
-    def __init__(self, window_us: int, ttl_ms: int):
-        self.window_us, self.ttl_ms = window_us, ttl_ms
+    Only slices that get events are written again; slices that no event to come can reach are removed when the watermark
+    passes, by a timer where the key is idle.
+    """
+
+    def __init__(self, window_us: int, agg: str, slices: int = 16):
+        self.window_us, self.agg, self.width = window_us, agg, max(1, window_us // slices)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "us long")
+        self.slices = handle.getMapState("slices", "slice bigint", "us array<bigint>, ids array<bigint>, xs array<double>, vs array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        us = new["us"].to_numpy("i8")
-        held = np.sort(np.array([r[0] for r in self.times.get()], "i8"))
-        # events may come late: count what is not newer than each, of those held and those that came with it
-        gone = us - self.window_us
-        cnt = np.searchsorted(held, us, "right") - np.searchsorted(held, gone, "right") + np.arange(1, len(us) + 1) - np.searchsorted(us, gone, "right")
-        newest = int(us[-1])
-        self._keep(np.concatenate([held, us]), min(timers.getCurrentWatermarkInMs() * 1000, newest))
-        self.handle.registerTimer(newest // 1000 + self.ttl_ms)  # idle keys are looked at again and forgotten
-        yield pd.DataFrame({"key": "\x1f".join(map(str, key)), "event_id": new["event_id"].to_numpy(), "cnt": cnt})
-
-    def _keep(self, held: np.ndarray, mark: int) -> None:
-        kept = [(int(t),) for t in held[held > mark - self.window_us]]
-        if kept:
-            self.times.put(kept)
+        new = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
+        held = {k[0] for k in self.slices.keys()}  # noqa: SIM118
+        first = (int(new["us"].iloc[0]) - self.window_us) // self.width
+        fresh = {int(n): g for n, g in new.groupby(new["us"] // self.width)}
+        parts = []
+        for n in sorted({*(k for k in held if k >= first), *fresh}):
+            old = self._frame(self.slices.getValue((n,))) if n in held else None
+            if n in fresh:
+                both = fresh[n].assign(new=True) if old is None else pd.concat([old, fresh[n].assign(new=True)]).sort_values(["us", "event_id"], kind="stable")
+                self.slices.updateValue((n,), (both["us"].tolist(), both["event_id"].tolist(), [None if pd.isna(x) else float(x) for x in both["x"]], [None if v is None or v != v else v for v in both["v"]]))
+                old = both
+            parts.append(old.assign(slice=n))
+        known = pd.concat(parts).reset_index(drop=True)
+        at = np.flatnonzero(known["new"].to_numpy(bool))
+        us = known["us"].to_numpy("i8")
+        gone = np.searchsorted(us, us[at] - self.window_us, "right")
+        yield pd.DataFrame({"key": "\x1f".join(map(str, key)), "event_id": known["event_id"].to_numpy("i8")[at], "rate": self._rates(known, gone, at + 1)})
+        self._forget(timers.getCurrentWatermarkInMs() * 1000)
+
+    @staticmethod
+    def _frame(value: tuple) -> pd.DataFrame:
+        us, ids, xs, vs = value
+        return pd.DataFrame({"us": np.array(us, "i8"), "event_id": np.array(ids, "i8"), "x": np.array([np.nan if x is None else x for x in xs], "f8"), "v": pd.Series(vs, dtype=object), "new": False})
+
+    def _rates(self, known: pd.DataFrame, lows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The aggregate of rows ``low`` to ``end`` (exclusive): ends of slices by row, whole slices by what they come to."""
+        x = known["x"].to_numpy("f8")
+        counts = ~np.isnan(x)
+        if self.agg == "distinct":
+            codes = pd.factorize(known["v"])[0]
+            return np.array([len(np.unique(c[c >= 0])) for c in (codes[a:b] for a, b in zip(lows, ends, strict=True))], "f8")
+        if self.agg == "count":
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            return (upto[ends] - upto[lows]).astype("f8")
+        starts = np.flatnonzero(np.diff(known["slice"].to_numpy("i8"), prepend=-(1 << 62)))
+        if self.agg in ("sum", "avg"):
+            filled, reduce = np.where(counts, x, 0.0), np.add
         else:
-            self.times.clear()
+            filled, reduce = np.where(counts, x, np.inf if self.agg == "min" else -np.inf), np.minimum if self.agg == "min" else np.maximum
+        totals = reduce.reduceat(filled, starts)
+        out = np.empty(len(lows))
+        for i, (a, b) in enumerate(zip(lows, ends, strict=True)):
+            s, e = np.searchsorted(starts, a), np.searchsorted(starts, b, "right") - 1  # whole slices: s up to e
+            pieces = [filled[a:b]] if s >= e else [filled[a : starts[s]], totals[s:e], filled[starts[e] : b]]
+            out[i] = reduce.reduce([reduce.reduce(p) for p in pieces if len(p)])
+        if self.agg == "sum":
+            return out
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        n = upto[ends] - upto[lows]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(n > 0, out / n if self.agg == "avg" else out, np.nan)
+
+    def _forget(self, mark_us: int) -> None:
+        left = [k[0] for k in self.slices.keys()]  # noqa: SIM118
+        for n in [n for n in left if (n + 1) * self.width <= mark_us - self.window_us]:
+            self.slices.removeKey((n,))
+            left.remove(n)
+        if left and next(iter(self.handle.listTimers()), None) is None:
+            self.handle.registerTimer(((max(left) + 1) * self.width + self.window_us) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self._keep(np.array([r[0] for r in self.times.get()], "i8"), timerValues.getCurrentWatermarkInMs() * 1000)
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        self._forget(timerValues.getCurrentWatermarkInMs() * 1000)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def rate_rule_stream(events: DataFrame, keys: tuple[str, ...] = ("session_id",), window: float = 60, watermark: str = "10 minutes", ttl_s: int = 3600) -> DataFrame:
-    """(key, event_id, cnt) per event of a stream with ``event_time``: its key's events in the trailing window.
+def rate_stream(events: DataFrame, spec: RateSpec, watermark: str = "10 minutes") -> DataFrame:
+    """(key, event_id, ``spec.name``) per event of a stream with ``event_time``: its rate, of any aggregate, over a bounded window.
 
-    Equals the batch rate when events arrive in order; counts once given aren't revised.  Needs the RocksDB
-    state store.
+    Equals the batch rate when events arrive in order; rates once given aren't revised.  Events with a null key are nobody's
+    history and have 0 (sums, averages and extremes: null), as in the batch.  Spark drops events older than the watermark, which
+    begins with 1970, and counts them in its progress.  Needs the RocksDB state store.
     """
-    rows = events.withWatermark("event_time", watermark).select(*keys, "event_id", F.round(F.col("timestamp") * 1_000_000).cast("long").alias("us"), "event_time").na.drop(subset=list(keys))
-    return rows.groupBy(*keys).transformWithStateInPandas(_TrailingCount(int(window * 1_000_000), ttl_s * 1000), "key string, event_id long, cnt long", "Append", "EventTime")
+    if spec.window is None:
+        raise ValueError("only bounded windows run on a stream")
+    counts = F.expr(spec.where) if spec.where else F.lit(True)
+    value = F.col(spec.value) if spec.value else F.lit(1.0)
+    x = F.when(counts, F.lit(1.0).cast("double") if spec.agg == "distinct" else value.cast("double"))
+    v = F.when(counts, value.cast("string")) if spec.agg == "distinct" else F.lit(None).cast("string")
+    unknown = F.lit(False)
+    for k in spec.keys:
+        unknown = unknown | F.col(k).isNull()
+    timed = events.withWatermark("event_time", watermark)
+    rows = timed.filter(~unknown).select(*spec.keys, "event_id", ts_us().alias("us"), x.alias("x"), v.alias("v"), "event_time")
+    found = rows.groupBy(*spec.keys).transformWithStateInPandas(_Trailing(int(round(spec.window * 1_000_000)), spec.agg), "key string, event_id long, rate double", "Append", "EventTime")
+    whole = spec.agg in ("count", "distinct")
+    nobody = timed.filter(unknown).select(F.lit(None).cast("string").alias("key"), "event_id", (F.lit(0.0) if whole else F.lit(None).cast("double")).alias("rate"))
+    both = found.unionByName(nobody)
+    rate = F.when(F.isnan("rate"), None).otherwise(F.col("rate"))
+    return both.select("key", "event_id", (rate.cast("long") if whole else rate).alias(spec.name))
+
+
+def rate_rule_stream(events: DataFrame, keys: tuple[str, ...] = ("session_id",), window: float = 60, watermark: str = "10 minutes") -> DataFrame:
+    """(key, event_id, cnt): :func:`rate_stream` of counts."""
+    return rate_stream(events, RateSpec(keys, window), watermark)
 
 
 def rate_decisions_stream(events: DataFrame, evaluators: list[Evaluator], rule: Rule, watermark: str = "10 minutes") -> DataFrame:
-    """(key, event_id, cnt, action, reason) per event of a stream that a counting rate rule admits.
+    """(key, event_id, the rate, action, reason) per event of a stream that a rate rule over a bounded window admits.
 
     Only events in the stages of the rule's evaluator that none of the other evaluators blocks enter its history.
     Events older than the watermark are dropped by Spark, which counts them in ``numRowsDroppedByWatermark``.
     """
     own = next(e for e in evaluators if rule in e.rules)
-    if rule.rate.agg != "count" or rule.rate.window is None or rule.rate.where:
-        raise ValueError("only counts over a bounded window run on a stream")
     admitted = evaluate_stream(events, evaluators).filter(~F.col("blocked") & F.col("stage").isin(*own.stages))
-    rate = rate_rule_stream(admitted.select(*events.columns), rule.rate.keys, rule.rate.window, watermark)
-    hit = threshold(rule.rate.condition, {rule.rate.name: F.col("cnt")})
+    rate = rate_stream(admitted.select(*events.columns), rule.rate, watermark)
+    hit = threshold(rule.rate.condition, {rule.rate.name: F.col(rule.rate.name)})
     return rate.withColumns({"action": F.when(hit, rule.action).otherwise("allow"), "reason": F.when(hit, rule.reason or f"SQL rule triggered: {rule.title}").otherwise("")})
 
 
@@ -230,36 +298,98 @@ def decide_stream(events: DataFrame, evaluators: list[Evaluator], deliver: Deliv
 
 
 class _Assemble(StatefulProcessor):
-    """The open call of a stream: name, and input so far."""
+    """The open call of a stream: its name, and the parts of its input so far, which are only added to.
+
+    A stream's state goes when its message stops, and, of records with times, when the watermark is ``idle_ms`` past the last.
+    """
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "name string, input string, block int, active boolean")
+        self.handle = handle
+        self.open = handle.getValueState("open", "name string, block int, active boolean, timer bigint")
+        self.parts = handle.getListState("parts", "part string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        name, text, block, active = self.open.get() if self.open.exists() else ("", "", 0, False)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if not active and r.type == "content_block_start" and r.block_type == "tool_use":
-                name, text, active = r.name or "", "", True
-            elif active and r.type == "content_block_stop":
-                out.append((key[0], block, name, text))
-                block, active = block + 1, False
-            elif active and r.delta_type == "input_json_delta":
-                text += r.part or ""
-        self.open.update((name, text, block, active))
+        new = pd.concat(list(rows)).sort_values("seq")
+        name, block, active, timer = self.open.get() if self.open.exists() else ("", 0, False, None)
+        out, fresh, over = [], [], False
+        for kind, block_type, called, delta, part in zip(new["type"], new["block_type"], new["name"], new["delta_type"], new["part"], strict=True):
+            if not active and kind == "content_block_start" and block_type == "tool_use":
+                name, active = called or "", True
+            elif active and kind == "content_block_stop":
+                held = [r[0] for r in self.parts.get()] if self.parts.exists() else []
+                out.append((key[0], block, name, "".join(held + fresh)))
+                self.parts.clear()
+                fresh, block, active = [], block + 1, False
+            elif active and delta == "input_json_delta":
+                fresh.append(part or "")
+            over = kind == "message_stop"
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+            timer = None
+        if over:
+            self._forget()
+        else:
+            if fresh:
+                self.parts.appendList([(p,) for p in fresh])
+            if self.idle_ms is not None:
+                timer = int(new["at"].max()) + self.idle_ms
+                self.handle.registerTimer(timer)
+            self.open.update((name, block, active, timer))
         yield pd.DataFrame(out, columns=["stream_id", "block", "tool_name", "tool_args"])
 
+    def _forget(self) -> None:
+        self.open.clear()
+        self.parts.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self._forget()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def assemble_tool_calls_stream(chunks: DataFrame) -> DataFrame:
+def assemble_tool_calls_stream(chunks: DataFrame, idle_s: float = 3600, watermark: str = "10 minutes") -> DataFrame:
     """(stream_id, block, tool_name, tool_args) of a stream of records (stream_id, seq, data), as calls end; records in order.
 
-    Input that isn't an object is empty, as in the batch.
+    Input that isn't an object is empty, as in the batch.  What is kept of a stream goes with its ``message_stop``; if records
+    have an ``event_time``, also when the watermark is ``idle_s`` past its last one.
     """
-    d = chunks.withColumn("d", F.from_json("data", "struct<type:string,content_block:struct<type:string,name:string>,delta:struct<type:string,partial_json:string>>"))
-    rows = d.select("stream_id", "seq", "d.type", F.col("d.content_block.type").alias("block_type"), F.col("d.content_block.name").alias("name"), F.col("d.delta.type").alias("delta_type"), F.col("d.delta.partial_json").alias("part"))
+    timed = "event_time" in chunks.columns
+    d = (chunks.withWatermark("event_time", watermark) if timed else chunks).withColumn("d", F.from_json("data", "struct<type:string,content_block:struct<type:string,name:string>,delta:struct<type:string,partial_json:string>>"))
+    at = [F.unix_millis("event_time").alias("at"), F.col("event_time")] if timed else []
+    rows = d.select("stream_id", "seq", "d.type", F.col("d.content_block.type").alias("block_type"), F.col("d.content_block.name").alias("name"), F.col("d.delta.type").alias("delta_type"), F.col("d.delta.partial_json").alias("part"), *at)
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    calls = rows.groupBy("stream_id").transformWithStateInPandas(_Assemble(), f"stream_id {kind}, block int, tool_name string, tool_args string", "Append", "None")
+    calls = rows.groupBy("stream_id").transformWithStateInPandas(_Assemble(int(idle_s * 1000) if timed else None), f"stream_id {kind}, block int, tool_name string, tool_args string", "Append", "EventTime" if timed else "None")
     return calls.withColumn("tool_args", F.when(F.schema_of_variant(F.try_parse_json("tool_args")).startswith("OBJECT"), F.col("tool_args")).otherwise(F.lit("{}")))
+
+
+def rewrite_stream(records: DataFrame, evaluators: list[Evaluator], deliver: Deliver, held: str, checkpoint: str, trigger: dict | None = None):
+    """A stream of records (stream_id, seq, data) with blocked calls replaced, to ``deliver`` (records, batch number).
+
+    The records of a call are held back, in tables under ``held`` of a folder a batch, until it ends and its verdict is in;
+    others go through at once.  See :func:`rewrite_records`.
+    """
+    held = held.rstrip("/")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(held)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = {int(f.getPath().getName().partition("=")[2]): f.getPath() for f in (files.listStatus(place) if files.exists(place) else [])}
+        before = max((n for n in found if n < number), default=None)
+        rows = batch.select("stream_id", "seq", "data")
+        if before is not None:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{held}/batch={before}"))
+        rows = rows.persist()
+        through, waiting = rewrite_records(rows, evaluators)
+        deliver(through, number)
+        waiting.write.mode("overwrite").parquet(f"{held}/batch={number}")
+        rows.unpersist()
+        for n in [n for n in found if before is not None and n < before]:
+            files.delete(found[n], True)
+
+    return _start(records, write, checkpoint, trigger)
