@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vigilake import schema
 from vigilake.operators.chain import evaluate
-from vigilake.operators.rates import RateSpec, recognise, threshold, trailing
+from vigilake.operators.rate_queries import recognise
+from vigilake.operators.rates import RateSpec, threshold, trailing
 from vigilake.rules.loader import rule_from
 from vigilake.rules.model import Evaluator
 from vigilake.sources import events as sources
@@ -76,7 +77,7 @@ def test_thresholds(spark):
 def test_queries_of_the_known_shape():
     spec = recognise("SELECT COUNT(*) as cnt FROM events WHERE session_id = :session_id AND tool_name = :tool_name AND timestamp > :now - 300", "cnt > 20")
     assert spec == RateSpec(("session_id", "tool_name"), 300.0, "count", None, None, "cnt", "cnt > 20")
-    for bad in ("SELECT 1", "SELECT COUNT(*) AS n FROM events WHERE session_id = 'x'", "SELECT COUNT(*) AS n FROM other WHERE session_id = :session_id"):
+    for bad in ("SELECT 1", "SELECT COUNT(*) AS n FROM events WHERE session_id = :user_id", "SELECT COUNT(*) AS n FROM events WHERE tool_name <> :tool_name", "SELECT SUM(value) + 1 AS n FROM events WHERE value > 1", "SELECT MAX(CASE WHEN value > 1 THEN 1 END) AS n FROM events WHERE value > 1", "SELECT COUNT(*) AS n FROM events WHERE value > (SELECT 1)", "SELECT COUNT(*) AS n FROM events WHERE upper(tool_name) = 'X'", "SELECT COUNT(*) AS n FROM events WHERE value > 1 AND", "SELECT COUNT(*) AS n FROM other WHERE session_id = :session_id"):
         with pytest.raises(ValueError):
             recognise(bad, "n > 1")
 
@@ -225,3 +226,23 @@ def test_rules_of_one_evaluator_share_an_exchange(spark):
     below = plan[plan.index("Exchange hashpartitioning") :].splitlines()[1]
     assert "Project" in below and not any(c in below for c in ("_text", "tool_args", "message_text", "tool_result", "results"))
     assert decided.filter("action = 'detect'").count() == n // 2 - 20
+
+
+@pytest.mark.parametrize(
+    "query, agg, test",
+    [
+        ("SELECT COUNT(*) AS n FROM events WHERE session_id = :session_id AND tool_name = 'exec' AND timestamp > :now - 60", "count", lambda tool, v: tool == "exec"),
+        ("SELECT SUM(CASE WHEN value >= 4 THEN 1 ELSE 0 END) AS n FROM events WHERE session_id = :session_id AND timestamp > :now - 60", "count", lambda tool, v: v >= 4),
+        ("SELECT COUNT(*) FILTER (WHERE value < 4 OR tool_name IS NULL) AS n FROM events WHERE session_id = :session_id AND timestamp > :now - 60;", "count", lambda tool, v: v < 4 or tool is None),
+        ("SELECT MAX(value) AS n FROM events WHERE session_id = :session_id AND (tool_name IN ('read', 'it''s') OR NOT value <> 8) AND timestamp > :now - 60", "max", lambda tool, v: tool == "read" or v == 8),
+        ("SELECT COUNT(DISTINCT value) AS n FROM events WHERE session_id = :session_id AND tool_name LIKE 'EX%' AND value > -1 AND timestamp > :now - 60", "distinct", lambda tool, v: (tool or "").startswith("ex")),
+    ],
+)
+def test_tests_in_queries(spark, query, agg, test):
+    rows, df = log(spark, 120)
+    spec = recognise(query, "n > 1")
+    assert spec.agg == agg and spec.keys == ("session_id",) and spec.window == 60
+    got = {r.event_id: r.n for r in trailing(df, spec).collect()}
+    for r in rows:
+        past = [x[5] for x in rows if x[2] == r[2] and r[3] - 60 < x[3] and (x[3], x[0]) <= (r[3], r[0]) and test(x[4], x[5])]
+        assert got[r[0]] == {"count": len(past), "max": max(past, default=None), "distinct": len(set(past))}[agg]

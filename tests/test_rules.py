@@ -10,7 +10,7 @@ from vigilake.functions.regexes import UnsupportedPattern, lint, to_jvm
 from vigilake.operators import matchers, outputs
 from vigilake.operators.chain import evaluate, rule_hits
 from vigilake.rules.loader import load, rule_from
-from vigilake.rules.model import Evaluator
+from vigilake.rules.model import Evaluator, Scorer
 from vigilake.rules.pack import rule_pack
 
 EVENT = "event_id long, stage string, session_id string, timestamp double, message_text string, tool_name string, tool_args string, tool_result string"
@@ -204,3 +204,18 @@ def test_needs():
     assert needs(to_jvm(r"(?i)Aws_Key\s*=\d{4}")) == Needs(frozenset({"aws_key"}), True, 12, True)
     assert needs(to_jvm("AKIA[0-9A-Z]{16}")) == Needs(frozenset({"AKIA"}), False, 20)
     assert needs(to_jvm("(a|bcd)x?")).literals == frozenset() and needs(r"\p{Alpha}+") == Needs()
+
+
+def test_a_model_sees_what_nothing_has_blocked(spark):
+    """The filter is below the Python node, and the model's results come behind the others."""
+    import pandas as pd
+
+    model = Evaluator("m", "llm", ("tool.before",), scorer=Scorer(lambda: 3, lambda n, t: pd.DataFrame({"action": ["block" if len(x) > n else "allow" for x in t], "reason": "long", "confidence": 0.5})))
+    stop = evaluator("regex", regex(pattern="rm", action="block"), name="stop")
+    decided = evaluate(events(spark, "rm -rf", "longer", "ls"), [model, stop])
+    rows = decided.orderBy("event_id").collect()
+    assert [(r.action, [x.evaluator for x in r.results]) for r in rows] == [("block", ["stop"]), ("block", ["stop", "m"]), ("allow", ["stop", "m"])]
+    assert rows[1].reasons == ["long"] and rows[1].results[1].confidence == 0.5 and "_scored" not in decided.columns
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert "_stopped" in below[: below.index("Generate")] or "Filter" in below[: below.index("Generate")]

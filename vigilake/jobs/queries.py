@@ -11,9 +11,10 @@ from vigilake.functions import fields
 from vigilake.jobs import agent_log, oracle, scans
 from vigilake.operators import matchers, outputs, rates
 from vigilake.operators.chain import evaluate, result, rule_hits
+from vigilake.operators.rate_queries import recognise
 from vigilake.operators.rates import RateSpec, trailing
 from vigilake.rules.loader import rule_from
-from vigilake.rules.model import Evaluator
+from vigilake.rules.model import Evaluator, Scorer
 from vigilake.rules.pack import EVALUATORS, category, rule_pack
 from vigilake.sources import events as sources
 from vigilake.sources import traffic
@@ -671,6 +672,35 @@ def x5_rewrite_stream(spark, sf_dir):
     return rows.select("stream_id", "seq", "nth", "d.type", F.regexp_replace(F.coalesce("d.content_block.text", "d.delta.text"), "(' blocked): .*", "$1").alias("text"))
 
 
+_CUES = ["password", "http", "/etc/", "curl", "api_key"]
+
+
+def _weigh(weights: dict[str, float], texts):
+    import pandas as pd
+
+    score = sum(texts.str.contains(word, regex=False) * w for word, w in weights.items())
+    action = pd.Series("allow", index=texts.index).mask(score >= 2, "detect").mask(score >= 4, "block")
+    return pd.DataFrame({"action": action, "reason": ("cues weigh " + score.astype(int).astype(str)).where(score >= 2, ""), "confidence": 1.0})
+
+
+_SCORE = " + ".join(f"CASE WHEN contains(txt, '{w}') THEN {n} ELSE 0 END" for n, w in enumerate(_CUES, 1))
+
+
+@_query(f"WITH {oracle.decisions_sql(category('shadow_it'))}, s AS (SELECT *, {_SCORE} AS score FROM decided), m AS (SELECT *, action <> 'block' AND stage <> 'message.before' AND score >= 2 AS told FROM s) SELECT event_id, CASE WHEN told AND score >= 4 THEN 'block' WHEN told THEN 'detect' ELSE action END AS action, concat_ws('; ', NULLIF(reasons, ''), CASE WHEN told THEN 'cues weigh ' || score END) AS reasons FROM m")
+def f1_scored(spark, sf_dir):
+    """A model over batches of texts behind rules; events that they block don't reach it."""
+    model = Evaluator("cues", "ml", ("tool.before", "tool.after"), scorer=Scorer(lambda: {w: float(n) for n, w in enumerate(_CUES, 1)}, _weigh))
+    d = evaluate(_events(spark, sf_dir), [*category("shadow_it"), model])
+    return d.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_query(f"WITH {EV} SELECT ev.event_id, count(past.event_id) AS n FROM ev LEFT JOIN ev past ON past.session_id = ev.session_id AND past.us > ev.us - {2 * DAY * 1_000_000} AND (past.us, past.event_id) <= (ev.us, ev.event_id) AND (past.tool_name = 'exec' OR past.value < 20) AND past.stage <> 'tool.after' GROUP BY ev.event_id")
+def f2_tests(spark, sf_dir):
+    """A rate query with tests of its own, as a rule file has it."""
+    spec = recognise(f"SELECT COUNT(*) FILTER (WHERE stage <> 'tool.after') AS n FROM events WHERE session_id = :session_id AND (tool_name = 'exec' OR value < 20) AND timestamp > :now - {2 * DAY}", "n > 3")
+    return trailing(_events(spark, sf_dir), spec).select("event_id", "n")
+
+
 # Earlier names of the same queries.
 _ALSO = {"a1_decisions_whole": "a1_decisions", "a7_summary_whole": "a7_summary", "s8_audit_whole": "s8_audit", "s9_alerts_whole": "s9_alerts", "w6_retain_whole": "w6_retain", "w7_history_whole": "w7_history", "s7_events": "s7_traffic", "u1_events": "u1_union"}
 

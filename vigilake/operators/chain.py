@@ -7,16 +7,18 @@ event and only where it is asked for.  Evidence (matches, masked texts) is worke
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.fields import hoisted, prepare, with_arguments
 from vigilake.operators.matchers import AlwaysFails, cel_predicate, keyword_evidence, keyword_hit, redact_text, regex_evidence, regex_hit, sigma_condition
 from vigilake.operators.rates import threshold, trailing_many
-from vigilake.rules.model import Evaluator, Rule, in_order
+from vigilake.rules.model import Evaluator, Rule, Scorer, in_order
 from vigilake.schema import ACTIONS, PRIORITY, RESULT
 
 _HELD = ["_args", "_strings", "_text", "_lower", "_ts", "_len", "_digits", "_fold"]
@@ -161,21 +163,50 @@ def _from_results(df: DataFrame) -> DataFrame:
     return df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "n_results": F.size("results")})
 
 
+_MODELS: dict[str, object] = {}  # of this Python worker
+
+
+def _scored(scorer: Scorer):
+    """A vectorised function of texts; the model stays with the worker."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from vigilake.operators.chain import _MODELS
+
+        if scorer.key not in _MODELS:
+            _MODELS[scorer.key] = scorer.load()
+        for texts in batches:
+            yield scorer.score(_MODELS[scorer.key], texts)[["action", "reason", "confidence"]]
+
+    return F.pandas_udf(score, "action string, reason string, confidence double")
+
+
+def _with_scores(df: DataFrame, e: Evaluator, order: int) -> DataFrame:
+    """Results of a model behind the others: only events in its stages that nothing has blocked go to Python."""
+    live = F.coalesce(F.col("stage").isin(*e.stages) & ~F.col("_stopped"), F.lit(False))
+    asked = df.filter(live).withColumn("_s", _scored(e.scorer)("_scored"))
+    s, null = F.col("_s"), F.lit(None).cast("string")
+    said = F.struct(F.lit(e.name).alias("evaluator"), F.lit(e.type).alias("eval_type"), F.lit(order).alias("ord"), s["action"].alias("action"), s["confidence"].alias("confidence"), s["reason"].alias("reason"), *[null.alias(c) for c in ("redacted", "rule_id", "title", "description", "match", "keyword")])
+    asked = asked.withColumns({"results": F.concat("results", F.array(said.cast(RESULT))), "_stopped": s["action"] == "block"}).drop("_s")
+    return asked.unionByName(df.filter(~live))
+
+
 def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True, history: DataFrame | None = None) -> DataFrame:
     """``events`` with columns action, blocked, reasons, redacted, results, n_results.
 
     Rules without history are one narrow stage.  Each rate evaluator then sees the events in its stages that
     nothing has blocked, which are its history; its rules share one exchange, which carries what is read of the events
     and the numbers of their verdicts, and its results go behind the others.  Who doesn't ask for ``results`` or texts
-    doesn't have them shuffled.  ``compose``: ``redacted`` is the text with all redacting rules applied, one after the
+    doesn't have them shuffled.  Models that score batches come last, with what nothing has blocked.  ``compose``: ``redacted`` is the text with all redacting rules applied, one after the
     other.  ``bucketed``: busy keys of bounded windows are dealt out by time slices as well.  ``history``: earlier events,
     with what rates read of them and ``entered``, the names of the rate evaluators that they entered; then the events have
     such a column too.
     """
     chain = Chain(evaluators, mode)
-    plain = [(i, e) for i, e in chain.ordered if e.type != "sql" and not e.custom]
+    scored = [(i, e) for i, e in chain.ordered if e.scorer]
+    plain = [(i, e) for i, e in chain.ordered if e.type != "sql" and not e.custom and not e.scorer]
     own = [(i, e) for i, e in chain.ordered if e.custom]
     rated = [(i, e) for i, e in chain.ordered if e.type == "sql" and not e.custom]
+    by_result = bool(own or scored)  # verdicts that have no number
     with hoisted() as args:
         numbers = [chain.number(e, i).alias(f"n{i}") for i, e in plain] + [F.when(F.col("stage").isin(*e.stages), e.custom().cast(RESULT)).alias(f"r{i}") for i, e in own]
         each = sorted([(i, F.when(F.col(f"_v.n{i}").isNotNull(), chain.full(F.col(f"_v.n{i}"), i))) for i, _ in plain] + [(i, F.col(f"_v.r{i}")) for i, _ in own], key=lambda x: x[0])
@@ -190,7 +221,9 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
     if compose:
         df = df.withColumn("redacted", masks)
     blocks = F.array(*[F.lit(n) for n, v in enumerate(chain.verdicts) if v.action == "block"]).cast("array<int>")
-    if own:
+    if scored:
+        df = df.withColumn("_scored", F.col("_text"))
+    if by_result:
         df = df.withColumn("_stopped", F.exists("results", lambda r: r["action"] == "block"))
     else:
         heard = F.array_compact(F.array(*[F.col(f"_v.n{i}") for i, _ in plain])) if plain else F.array().cast("array<int>")
@@ -213,10 +246,12 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
         df = df.withColumn("_n", F.when(F.col("_admitted"), chain.number(e, i)))
         df = df.withColumn("results", F.array_compact(F.concat("results", F.array(chain.said(F.col("_n"))))))
         stopped = F.col("_stopped") | F.coalesce(F.array_contains(blocks, F.col("_n")), F.lit(False))
-        said = {} if own else {"_said": F.array_compact(F.concat("_said", F.array("_n")))}
+        said = {} if by_result else {"_said": F.array_compact(F.concat("_said", F.array("_n")))}
         df = df.withColumns(said | {"_stopped": stopped}).drop("_admitted", "_n", *[_rate_column(i, r) for r in e.rules])
-    if own:
-        df = _from_results(df)
+    for i, e in scored:
+        df = _with_scores(df, e, i)
+    if by_result:
+        df = _from_results(df).drop("_scored")
     else:
         top = F.coalesce(F.array_max(F.transform("_said", chain.rank)), F.lit(0))
         reasons = F.filter(F.transform("_said", chain.reason), lambda r: r != "")
@@ -237,7 +272,7 @@ def rule_hits(events: DataFrame, evaluators: list[Evaluator], mode: str = "parit
     each = []
     with hoisted() as args:
         for i, e in chain.ordered:
-            hits = [F.when(chain.hit(e, i, rule), chain.first[i] + n) for n, rule in enumerate(e.rules, 1)] if e.type != "sql" and not e.custom else []
+            hits = [F.when(chain.hit(e, i, rule), chain.first[i] + n) for n, rule in enumerate(e.rules, 1)] if e.type != "sql" and not e.custom and not e.scorer else []
             if hits:
                 each.append(F.when(F.col("stage").isin(*e.stages), F.array_compact(F.array(*hits))))
         full = chain.full(F.col("_n"))

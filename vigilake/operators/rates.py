@@ -40,30 +40,6 @@ def threshold(condition: str, columns: dict[str, Column]) -> Column:
     return {">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit, "==": value == limit, "=": value == limit, "!=": value != limit}[m[2]]
 
 
-_QUERY = re.compile(r"SELECT\s+(COUNT|SUM|AVG|MIN|MAX)\s*\(\s*(DISTINCT\s+)?(\*|\w+)\s*\)\s+AS\s+(\w+)\s+FROM\s+events\s+WHERE\s+(.+?)\s*;?\s*", re.I | re.S)
-
-
-def recognise(query: str, condition: str) -> RateSpec:
-    """The rate of a query of the documented shape; ValueError for any other."""
-    m = _QUERY.fullmatch(query.strip())
-    if not m:
-        raise ValueError(f"not a trailing aggregate over events: {query!r}")
-    agg, distinct, value, name, where = m.groups()
-    keys, window = [], None
-    for part in re.split(r"\s+AND\s+", where.strip(), flags=re.I):
-        if k := re.fullmatch(r"(session_id|user_id|channel|tool_name)\s*=\s*:(\w+)", part) :
-            if k[1] != k[2]:
-                raise ValueError(f"{part!r} compares different columns")
-            keys.append(k[1])
-        elif w := re.fullmatch(r"timestamp\s*>\s*:now\s*-\s*(\d+(?:\.\d+)?)", part):
-            window = float(w[1])
-        else:
-            raise ValueError(f"{part!r} isn't a key or the window")
-    if distinct and agg.upper() != "COUNT":
-        raise ValueError("DISTINCT is for COUNT only")
-    return RateSpec(tuple(keys), window, "distinct" if distinct else agg.lower(), None if value == "*" else value, None, name, condition)
-
-
 _ALONE = -(1 << 62)  # no time's slice: rows that no history knows
 
 

@@ -12,7 +12,8 @@ from pathlib import Path
 import yaml
 
 from vigilake.functions.regexes import UnsupportedPattern, lint, to_jvm
-from vigilake.operators.rates import RateSpec, recognise
+from vigilake.operators.rate_queries import recognise
+from vigilake.operators.rates import RateSpec
 from vigilake.rules.model import DEFAULT_ACTION, DEFAULT_STAGES, Evaluator, Pattern, Rule
 from vigilake.schema import ACTIONS
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 DEFAULT_STAGES = ("tool.before", "tool.after")
@@ -45,6 +47,19 @@ class Rule:
     rate: object = None
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A model over batches of texts.
+
+    ``load`` makes it, once per Python worker; ``score`` (model, texts as a Series) gives a frame of action, reason and
+    confidence, a row a text.  Both are sent to the workers.
+    """
+
+    load: Callable[[], object]
+    score: Callable[[object, object], object]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
 @dataclass(frozen=True)
 class Evaluator:
     name: str
@@ -52,6 +67,7 @@ class Evaluator:
     stages: tuple[str, ...] = DEFAULT_STAGES
     rules: tuple[Rule, ...] = ()
     custom: object = None  # a function of no arguments that gives a result Column
+    scorer: Scorer | None = None  # or a model that scores batches of texts
 
     @property
     def cost(self) -> int:
