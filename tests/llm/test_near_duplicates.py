@@ -191,7 +191,16 @@ def test_embeddings_of_a_large_group(spark):
     rows_only = {key: (n[n > embedding_dedup.PLANTED], w[n > embedding_dedup.PLANTED]) for key, (n, w) in asked.items()}
     seen = [i for i in real.tolist() if want[i]]
     some = spark.createDataFrame([(int(i), None, int(want[i])) for i in np.flatnonzero(want) if i != seen[0]], "a long, b long, n long")
-    assert embedding_dedup.audit(nodes, some, rows_only, cfg) <= 1 - 1 / len(seen) + 1e-9
+    true = embedding_dedup.exact_counts(nodes, rows_only, cfg, 1, Scratch(spark, "t"))
+    assert embedding_dedup.audit(true, some) <= 1 - 1 / len(seen) + 1e-9
+    # more ids divisible by 50 than a block holds: every one is asked for, in some block, and counted exactly
+    small = embedding_dedup.Settings(audit_rows=9)
+    blocks = embedding_dedup.audit_blocks(nodes, small)
+    each = [embedding_dedup.audited(nodes, small, b, blocks) for b in range(blocks)]
+    fifty = {int(i) for block in each for n, _ in block.values() for i in n if i > embedding_dedup.PLANTED}
+    assert blocks > 1 and fifty == {r.rep for r in nodes.filter("rep % 50 = 0").collect()}
+    counted = {r.a: r.n for r in embedding_dedup.exact_counts(nodes, each[0], small, blocks, Scratch(spark, "t")).filter(F.col("a") > embedding_dedup.PLANTED).collect()}
+    assert counted == {i: int(want[i]) for i in fifty if want[i]}
 
 
 def test_planted_queries_are_evidence(spark):
@@ -207,7 +216,8 @@ def test_planted_queries_are_evidence(spark):
     # a search that finds nothing is found out
     nodes = embedding_dedup.distinct_vectors(df, "vec_id", "embedding", "label")
     none = spark.createDataFrame([], "a long, b long, n long")
-    assert embedding_dedup.audit(nodes, none, embedding_dedup.audited(nodes, embedding_dedup.Settings()), embedding_dedup.Settings()) == 0
+    cfg = embedding_dedup.Settings()
+    assert embedding_dedup.audit(embedding_dedup.exact_counts(nodes, embedding_dedup.audited(nodes, cfg), cfg, 1, Scratch(spark, "t")), none) == 0
     assert embedding_dedup.near_duplicates(df.filter("vec_id % 50 <> 0")).first().audited_recall >= 0.98
     assert embedding_dedup.near_duplicates(df.withColumn("label", F.lit(None).cast("int"))).first().audited_recall is None
 

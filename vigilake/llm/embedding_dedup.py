@@ -9,7 +9,7 @@
 4. Search: each vector asks in its shards, greedily from the shard's medoid with a beam; whatever it meets
    within the range is expanded until nothing new is within the range.
 5. Found pairs are verified by cosine in double precision; each pair counts in one shard only.
-6. Audit: vectors whose id is divisible by 50, then others (a bounded number, chosen by a hash), are compared with all
+6. Audit: all vectors whose id is divisible by 50 (and others where those are few), in blocks, are compared with all
    rows, and with them as many planted queries, which are audited vectors turned by less than the threshold's angle, so that there is
    something to find in any table.  If recall, by link or by vector, is below the target, the search is run again with a wider beam, more overlap, more reach and longer lists; after the third time
    without the graph: each vector is put wherever a link of it may lie, and shards are compared pair by pair.
@@ -36,7 +36,7 @@ from vigilake.llm.simhash_dedup import _forest
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds what centroids are fitted on, ``centroids`` their number, ``audit_rows`` the audit.
+    """``sample_rows`` bounds what centroids are fitted on, ``centroids`` their number, ``audit_rows`` a block of the audit.
 
     ``reach``: how far across a border links are looked for, in standard deviations of the step that the longest
     link takes towards the border if its direction is by chance; infinite: as far as any link goes.
@@ -410,28 +410,53 @@ def _exact_counts(sent, threshold: float):
     return go
 
 
-def audited(nodes: DataFrame, cfg: Settings) -> dict:
-    """(label, length) -> (numbers, vectors): what the audit asks for, planted queries behind the rows that they are made from."""
-    rows = nodes.orderBy(F.col("rep") % 50 != 0, F.xxhash64("rep", F.lit(cfg.seed + 1)), "rep").limit(cfg.audit_rows).select("rep", "label", "v").collect()
+def audit_blocks(nodes: DataFrame, cfg: Settings) -> int:
+    """Blocks of about ``audit_rows`` vectors in which all those with ids divisible by 50 are audited."""
+    return max(1, -(-nodes.filter(F.col("rep") % 50 == 0).count() // cfg.audit_rows))
+
+
+def audited(nodes: DataFrame, cfg: Settings, block: int = 0, blocks: int = 1) -> dict:
+    """(label, length) -> (numbers, vectors): what a block of the audit asks for.
+
+    The first has planted queries behind the rows that they are made from; where one block is all, it is filled up with other
+    vectors.
+    """
+    if blocks == 1:
+        chosen = nodes.orderBy(F.col("rep") % 50 != 0, F.xxhash64("rep", F.lit(cfg.seed + 1)), "rep").limit(cfg.audit_rows)
+    else:
+        chosen = nodes.filter((F.col("rep") % 50 == 0) & (F.pmod(F.xxhash64("rep", F.lit(cfg.seed + 2)), F.lit(blocks)) == block))
     by: dict = {}
-    for r in rows:
+    for r in chosen.select("rep", "label", "v").collect():
         by.setdefault((r["label"], len(r["v"])), []).append(r)
     out, made = {}, 0
     for key, mine in by.items():
         w = np.array([r["v"] for r in mine])
-        names = [*(r["rep"] for r in mine), *range(PLANTED - made - len(mine), PLANTED - made)]
-        made += len(mine)
-        out[key] = np.array(names, "i8"), np.concatenate([w, plant(w, cfg.threshold, cfg.seed)])
+        names = [r["rep"] for r in mine]
+        if block == 0:
+            names += range(PLANTED - made - len(mine), PLANTED - made)
+            made += len(mine)
+            w = np.concatenate([w, plant(w, cfg.threshold, cfg.seed)])
+        out[key] = np.array(names, "i8"), w
     return out
 
 
-def audit(nodes: DataFrame, found: DataFrame, asked: dict, cfg: Settings) -> float | None:
+def exact_counts(nodes: DataFrame, asked: dict, cfg: Settings, blocks: int, scratch: Scratch) -> DataFrame:
+    """(a, n): links of every audited vector that has some, by comparing with all rows, a block of vectors at a time."""
+    every = None
+    for block in range(blocks):
+        sent = nodes.sparkSession.sparkContext.broadcast(asked if block == 0 else audited(nodes, cfg, block, blocks))
+        counts = nodes.mapInArrow(_exact_counts(sent, cfg.threshold), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 0")
+        saved = scratch.save(counts)
+        sent.destroy()
+        every = saved if every is None else every.unionByName(saved)
+    return every
+
+
+def audit(true: DataFrame, found: DataFrame) -> float | None:
     """Found links of what the audit asks for, as a share of those that comparing with all rows gives; None without any.
 
     The lesser of the share of all their links and the mean share of those vectors that have links.
     """
-    sent = nodes.sparkSession.sparkContext.broadcast(asked)
-    true = nodes.mapInArrow(_exact_counts(sent, cfg.threshold), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 0")
     got = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("got"))
     share = F.coalesce("got", F.lit(0)) / F.col("n")
     r = true.join(got, "a", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("links"), F.avg(share).alias("vectors")).first()
@@ -449,14 +474,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cfg = cfg or Settings()
     scratch = Scratch(vectors.sparkSession, "embeddings")
     nodes = scratch.save(distinct_vectors(vectors, id_col, vec_col, label_col))
-    asked = audited(nodes, cfg)
+    blocks = audit_blocks(nodes, cfg)
+    asked = audited(nodes, cfg, 0, blocks)
+    true = exact_counts(nodes, asked, cfg, blocks, scratch)
     kind = nodes.schema["label"].dataType
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("label", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
     planted = vectors.sparkSession.createDataFrame([(int(rep), label, v.tolist(), 0) for (label, _), (names, w) in asked.items() for rep, v in zip(names, w, strict=True) if rep <= PLANTED], schema)
     for attempt in range(4):
         placed = scratch.save(place(nodes.unionByName(planted), cfg))
         every = scratch.save(search_graph(placed, build_graph(placed, cfg) if attempt < 3 else None, cfg))
-        recall = audit(nodes, every, asked, cfg)
+        recall = audit(true, every)
         scratch.drop(placed)
         if recall is None or recall >= cfg.least_recall:
             break
