@@ -116,8 +116,15 @@ def _in_one_exchange(rows: DataFrame, group: list[tuple], carried: list[str], bu
     read = {"event_id", "_us", "_enters", *carried, *(k for _, s, _ in group for k in s.keys)}
     rows = rows.select(*[F.col(c) if c in read else F.when(F.col("_at.o"), F.col(c)).alias(c) for c in rows.columns if c != "_at"], F.col("_at.s").alias("_slice"), F.col("_at.o").alias("_own"))
     rows = rows.repartition(*common, "_slice") if bucketed else rows.repartition(*common)
+    halves: dict[tuple, list[tuple]] = {}
     for out, spec, x in group:
-        rows = _BOUNDED.get(spec.agg, _by_halves)(rows, spec, x, out)
+        if spec.agg in _BOUNDED:
+            rows = _BOUNDED[spec.agg](rows, spec, x, out)
+        else:
+            halves.setdefault(spec.keys, []).append((out, spec, x))
+    for keys, same in halves.items():
+        rows = _by_halves(rows, keys, width, same)
+    for out, spec, _ in group:
         zero = F.lit(0).cast("long") if spec.agg in ("count", "distinct") else F.lit(None).cast("double")
         rows = rows.withColumn(out, F.when(_known(spec.keys), F.col(out)).otherwise(zero))
     return rows.filter("_own").drop("_slice", "_own")
@@ -131,25 +138,26 @@ def _count(rows: DataFrame, spec: RateSpec, x: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.count(x).over(upto) - F.count(x).over(gone))
 
 
-def _by_halves(rows: DataFrame, spec: RateSpec, x: str, out: str) -> DataFrame:
+def _by_halves(rows: DataFrame, keys: tuple[str, ...], width: int, rates: list[tuple]) -> DataFrame:
     """Sums and extremes of a window that is as long as a slice: the end of the slice before and the beginning of its own.
 
-    Nothing is subtracted, so sums leave no residue, and every frame grows row by row.  A row of the slice before is met
-    when it leaves the window: the last one met, from the end, holds the rest of its slice.
+    Nothing is subtracted, so sums leave no residue, and every frame grows row by row; rates of the same keys share
+    three sorts.  A row of the slice before is met when it leaves the window: the last one met, from the end, holds the rest
+    of its slice.
     """
-    width = _micros(spec)
-    side = Window.partitionBy(*spec.keys, "_slice", "_own")
+    side = Window.partitionBy(*keys, "_slice", "_own")
     grow = lambda *order: side.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begun, rest = grow("_us", "event_id"), grow(F.desc("_us"), F.desc("event_id"))
-    made = {"sum": ("sum",), "avg": ("sum", "count")}.get(spec.agg, (spec.agg,))
-    apply = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     leaves = F.when(F.col("_own"), F.col("_us")).otherwise(F.col("_us") + width)
-    met = Window.partitionBy(*spec.keys, "_slice").orderBy(F.desc("_leaves"), F.desc("_own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({f"_b_{m}": apply[m](x).over(begun) for m in made}).withColumns({f"_r_{m}": F.when(~F.col("_own"), apply[m](x).over(rest)) for m in made} | {"_leaves": leaves})
-    rows = rows.withColumns({f"_r_{m}": F.last(f"_r_{m}", ignorenulls=True).over(met) for m in made})
-    both = {m: F.least(f"_b_{m}", f"_r_{m}") if m == "min" else F.greatest(f"_b_{m}", f"_r_{m}") if m == "max" else F.coalesce(f"_b_{m}", F.lit(0)) + F.coalesce(f"_r_{m}", F.lit(0)) for m in made}
-    value = both["sum"] / F.nullif(both["count"].cast("double"), F.lit(0.0)) if spec.agg == "avg" else both[spec.agg]
-    return rows.withColumn(out, value).drop("_leaves", *[f"_{h}_{m}" for h in "br" for m in made])
+    met = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_leaves"), F.desc("_own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    apply = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    parts = [(i, m, x) for i, (_, spec, x) in enumerate(rates) for m in {"avg": ("sum", "count")}.get(spec.agg, (spec.agg,))]
+    rows = rows.withColumns({f"_b{i}{m}": apply[m](x).over(begun) for i, m, x in parts})
+    rows = rows.withColumns({f"_r{i}{m}": F.when(~F.col("_own"), apply[m](x).over(rest)) for i, m, x in parts} | {"_leaves": leaves})
+    rows = rows.withColumns({f"_r{i}{m}": F.last(f"_r{i}{m}", ignorenulls=True).over(met) for i, m, _ in parts})
+    both = {(i, m): F.least(f"_b{i}{m}", f"_r{i}{m}") if m == "min" else F.greatest(f"_b{i}{m}", f"_r{i}{m}") if m == "max" else F.coalesce(f"_b{i}{m}", F.lit(0)) + F.coalesce(f"_r{i}{m}", F.lit(0)) for i, m, _ in parts}
+    made = {out: both[i, "sum"] / F.nullif(both[i, "count"].cast("double"), F.lit(0.0)) if spec.agg == "avg" else both[i, spec.agg] for i, (out, spec, _) in enumerate(rates)}
+    return rows.withColumns(made).drop("_leaves", *[f"_{h}{i}{m}" for h in "br" for i, m, _ in parts])
 
 
 def _distinct(rows: DataFrame, spec: RateSpec, x: str, out: str) -> DataFrame:
