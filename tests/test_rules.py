@@ -219,3 +219,10 @@ def test_a_model_sees_what_nothing_has_blocked(spark):
     plan = decided._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("ArrowEvalPython") :]
     assert "_stopped" in below[: below.index("Generate")] or "Filter" in below[: below.index("Generate")]
+
+
+def test_what_rules_tell_of_themselves(spark):
+    rule = {"id": "s", "title": "S", "priority": 3, "status": "stable", "logsource": {"product": "agent", "category": "tool"}, "detection": {"a": {"tool_name": "exec"}, "condition": "a"}}
+    row = outputs.rule_catalog(spark, [evaluator("sigma", rule)]).first()
+    assert (row.priority, row.status, row.logsource) == ("3", "stable", '{"category": "tool", "product": "agent"}')
+    assert outputs.rule_catalog(spark, [evaluator("regex", regex(pattern="x"))]).first().status is None

@@ -41,8 +41,8 @@ def detection_summary(decided: DataFrame, levels: bool = False) -> DataFrame:
 
 def rule_catalog(spark: SparkSession, evaluators: list[Evaluator]) -> DataFrame:
     """A row per rule, in the order in which they are tried."""
-    rows = [(r.id, r.title, r.description, e.name, e.type, i, n, list(e.stages), r.action, r.category) for i, e in enumerate(in_order(list(evaluators))) for n, r in enumerate(e.rules)]
-    return spark.createDataFrame(rows, "rule_id string, title string, description string, evaluator string, eval_type string, ord int, nth int, stages array<string>, action string, category string")
+    rows = [(r.id, r.title, r.description, e.name, e.type, i, n, list(e.stages), r.action, r.category, r.priority, r.status, r.logsource) for i, e in enumerate(in_order(list(evaluators))) for n, r in enumerate(e.rules)]
+    return spark.createDataFrame(rows, "rule_id string, title string, description string, evaluator string, eval_type string, ord int, nth int, stages array<string>, action string, category string, priority string, status string, logsource string")
 
 
 def with_rule_metadata(hits: DataFrame, catalog: DataFrame, keep: tuple[str, ...] = ("category", "eval_type")) -> DataFrame:

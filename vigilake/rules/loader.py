@@ -6,6 +6,7 @@ warning.  Of evaluators that share a name the last one counts, in the first one'
 
 from __future__ import annotations
 
+import json
 import logging
 from pathlib import Path
 
@@ -41,6 +42,10 @@ def _patterns(raw: dict) -> tuple[Pattern, ...]:
     return tuple(out)
 
 
+def _told(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, sort_keys=True)
+
+
 def rule_from(raw: dict, kind: str, category: str = "") -> Rule | None:
     """The rule of a configuration entry, or None if it can't work."""
     title = raw.get("title") or raw.get("name") or raw.get("id")
@@ -48,6 +53,7 @@ def rule_from(raw: dict, kind: str, category: str = "") -> Rule | None:
         log.warning("a %s rule without a title is skipped", kind)
         return None
     base = {"id": str(raw.get("id") or title), "title": str(title), "action": _action(raw, kind), "description": raw.get("description", ""), "category": raw.get("category", category)}
+    base |= {"priority": _told(raw.get("priority")), "status": _told(raw.get("status")), "logsource": _told(raw.get("logsource"))}
     if kind == "regex":
         patterns = _patterns(raw)
         fields = raw.get("fields", ())

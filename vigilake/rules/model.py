@@ -30,6 +30,10 @@ class Rule:
     action: str
     description: str = ""
     category: str = ""
+    # told in the catalogue, not matched with: priority, status, logsource as JSON
+    priority: str | None = None
+    status: str | None = None
+    logsource: str | None = None
     # regex
     patterns: tuple[Pattern, ...] = ()
     match_all: bool = False
