@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +68,6 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that all machines share, ``spark.checkpoint.dir``; one of its own for a local session without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir isn't set: executors have no folder in common")
-    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_log(events: DataFrame, path: str, times: Column | None = None) -> None:
     """Events as a log of JSON lines, as requests to evaluate are: without an id, results as JSON values.
 

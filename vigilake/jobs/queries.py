@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import fields
 from vigilake.jobs import agent_log, oracle, scans
-from vigilake.operators import matchers, outputs, rates
+from vigilake.operators import matchers, outputs, rates, retention
 from vigilake.operators.chain import evaluate, result, rule_hits
 from vigilake.operators.rate_queries import recognise
 from vigilake.operators.rates import RateSpec, trailing
@@ -18,6 +18,7 @@ from vigilake.rules.model import Evaluator, Scorer
 from vigilake.rules.pack import EVALUATORS, category, rule_pack
 from vigilake.sources import events as sources
 from vigilake.sources import traffic
+from vigilake.shared import shared_path
 from vigilake.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +467,16 @@ def w6_retain(spark, sf_dir):
     return rates.retain_history(_events(spark, sf_dir)).select("event_id")
 
 
+@_query(f"""WITH {EV}, a AS (SELECT *, row_number() OVER (ORDER BY us, event_id) AS arrival FROM ev),
+c AS (SELECT arrival // 100 AS nth, greatest((SELECT count(*) FROM a b WHERE b.us < a.us - 3600000000), arrival - 10000, 0) + 1 AS oldest FROM a WHERE arrival % 100 = 0),
+h AS (SELECT a.*, COALESCE(oldest, 1) AS oldest FROM a LEFT JOIN c ON nth = arrival // 100)
+SELECT h.event_id, h.arrival, h.arrival - h.oldest + 1 AS held, count(*) AS cnt FROM h JOIN a ON a.session_id = h.session_id AND a.arrival BETWEEN h.oldest AND h.arrival AND a.us > h.us - {DAY * 1_000_000} GROUP BY ALL""")
+def w6_as_of(spark, sf_dir):
+    """What the purged history holds at each event, in all and of its session."""
+    rows = retention.counts_as_of(_events(spark, sf_dir).select("event_id", "timestamp", "session_id"), RateSpec(("session_id",), DAY))
+    return rows.select("event_id", "arrival", (F.col("arrival") - F.col("oldest") + 1).alias("held"), "cnt")
+
+
 @_query(f"WITH {EV} SELECT event_id, tool_name, tool_name IS NULL AS no_args, left('\"' || replace(tool_result, '\"', '\\\"') || '\"', 4096) AS tool_result FROM ev")
 def w7_history(spark, sf_dir):
     return rates.history_rows(_events(spark, sf_dir)).select("event_id", "tool_name", F.col("tool_args").isNull().alias("no_args"), "tool_result")
@@ -479,7 +490,7 @@ _LINES = f"WITH {EV}, lines AS (SELECT ev.*, CASE WHEN event_id % 5 = 0 THEN 170
 
 def _log(spark, sf_dir) -> DataFrame:
     """Events written as a log and read back: every fifth line has no time, and half of those stand there twice."""
-    path = agent_log.shared_path(spark, "log")
+    path = shared_path(spark, "log")
     e = _events(spark, sf_dir)
     agent_log.write_log(e.unionByName(e.filter("event_id % 10 = 0")), path, F.col("event_id") % 5 != 0)
     return sources.read_events(spark, path, arrived=1_700_000_000.0)[0]
@@ -566,14 +577,14 @@ def f1_custom(spark, sf_dir):
 
 def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A stream of the rows of a table."""
-    path = agent_log.shared_path(spark, "stream")
+    path = shared_path(spark, "stream")
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """What the stream gives when all of its input has been read."""
-    out = agent_log.shared_path(spark, "sink")
+    out = shared_path(spark, "sink")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", scoring.ROCKSDB)
     try:
@@ -605,7 +616,7 @@ def x2_rate_decisions(spark, sf_dir):
 
 @_query(f"WITH {oracle.decisions_sql(category('recon'))} SELECT event_id, action, n_results FROM decided")
 def x4_audit_stream(spark, sf_dir):
-    out = agent_log.shared_path(spark, "audit")
+    out = shared_path(spark, "audit")
     events = _events(spark, sf_dir).withColumn("session_id", F.col("event_id").cast("string"))
     scoring.write_audit_stream(scoring.evaluate_stream(_streamed(spark, events), category("recon")), out, f"{out}-state").awaitTermination()
     record = F.from_json("value", "action string, session_id string, evaluator_results array<struct<evaluator:string>>")
@@ -629,7 +640,7 @@ def x2_pack_stream(spark, sf_dir):
     ends = e.agg(F.min("_us"), F.max("_us")).first()
     mid = (ends[0] + ends[1]) // 2
     late = (F.col("event_id") % 50 == 0) & (F.col("_us") < mid - 2 * DAY * 1_000_000)
-    place = agent_log.shared_path(spark, "pack-stream")
+    place = shared_path(spark, "pack-stream")
 
     def deliver(decided: DataFrame, number: int) -> None:
         rows = decided.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), "n_results", "late")
@@ -645,7 +656,7 @@ def x2_pack_stream(spark, sf_dir):
 @_query(_ALERTS)
 def x3_alerts_stream(spark, sf_dir):
     """The alerts on a stream, whose windows are given out whole when all has been read."""
-    out = agent_log.shared_path(spark, "alerts")
+    out = shared_path(spark, "alerts")
     stream = sources.with_event_time(_streamed(spark, _events(spark, sf_dir)))
     alerts = scoring.rate_alerts_stream(stream, length="1 day", slide=None, more_than=2)
     write = lambda rows, n: rows.write.mode("overwrite").parquet(out)
@@ -662,7 +673,7 @@ UNION ALL SELECT event_id, 0, CAST(n AS INTEGER), {[_START, _PART, _STOP]}[n + 1
 def x5_rewrite_stream(spark, sf_dir):
     """Records of calls, in two runs of which the second ends the calls of the first; blocked calls are replaced."""
     chunks = _chunks(spark, sf_dir).withColumn("seq", F.col("seq").cast("int"))
-    place = agent_log.shared_path(spark, "records")
+    place = shared_path(spark, "records")
     for part in ("seq < 2", "seq >= 2"):
         chunks.filter(part).write.mode("append").parquet(f"{place}/in")
         stream = spark.readStream.schema(chunks.schema).parquet(f"{place}/in")
