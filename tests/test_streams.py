@@ -164,3 +164,56 @@ def test_held_records_and_state_of_calls(spark, tmp_path):
     calls = {(r.stream_id, r.tool_args) for r in spark.read.parquet(f"{place}/calls").collect()}
     assert calls == {("a", '{"command":"rm x"}'), ("b", '{"command":"ls"}')}
     assert states[0] > 0 and states[-1] == 0
+
+
+DECIDED = "request_id long, step int, pos int, event_id long, action string, reasons array<string>, blocked boolean, event_time timestamp"
+
+
+def gate(spark, place, decided, own, name):
+    """One run of the gate over what has come by now."""
+    import datetime
+
+    at = lambda s: datetime.datetime.fromtimestamp(s, datetime.UTC)
+    d = spark.createDataFrame([(*r[:-1], at(r[-1])) for r in decided], DECIDED)
+    o = spark.createDataFrame([(*r[:-1], at(r[-1])) for r in own], "request_id long, own int, event_time timestamp")
+    for df, kind in ((d, "decided"), (o, "own")):
+        df.coalesce(1).write.mode("append").parquet(f"{place}/{kind}")
+    read = lambda df, kind: spark.readStream.schema(df.schema).parquet(f"{place}/{kind}")
+    return drain(scoring.gate_stream(read(d, "decided"), read(o, "own"), 60, "1 hour"), place, name)
+
+
+def test_the_gate_on_a_stream_equals_the_batch(spark, tmp_path):
+    """Decisions of 60 requests in three runs without order, some of them twice; requests without events of their own too."""
+    from vigilake.sources import traffic
+
+    r = random.Random(4)
+    decided, own = [], []
+    for q in range(60):
+        mine = [(0, 0)] * (q % 2) + [(1, p) for p in range(q % 4)]
+        own.append((q, len(mine), 1000.0 + q))
+        for step, pos in mine + [(2, p) for p in range(1 + q % 3)]:
+            bad = r.random() < 0.3
+            decided.append((q, step, pos, None, "block" if bad else "allow", ["why"] if bad else [], bad, 1000.0 + q))
+    want = sorted((x.request_id, x.step, x.pos, x.action) for x in traffic.gate_traffic(spark.createDataFrame([d[:-1] for d in decided], DECIDED.rpartition(",")[0])).collect())
+    sent = decided[:]
+    r.shuffle(sent)
+    r.shuffle(own)
+    place = str(tmp_path)
+    gate(spark, place, sent[:80] + sent[:5], own[:20], "out")
+    gate(spark, place, sent[80:130], own[20:40], "out")
+    gate(spark, place, sent[130:], own[40:], "out")
+    rows = spark.read.parquet(f"{place}/out").collect()
+    assert all(x.complete for x in rows)
+    assert sorted((x.request_id, x.step, x.pos, x.action) for x in rows) == want
+    assert len(want) < len(decided)
+
+
+def test_what_waits_in_vain_is_given_out_as_not_complete(spark, tmp_path):
+    place = str(tmp_path)
+    call = lambda q, t: (q, 2, 0, 7, "allow", [], False, t)
+    gate(spark, place, [call(1, 1000.0), call(2, 1000.0)], [(1, 1, 1000.0), (2, 0, 1000.0)], "out")  # the message of 1 never comes
+    gate(spark, place, [call(3, 10_000.0)], [(3, 0, 10_000.0)], "out")
+    q = gate(spark, place, [call(4, 20_000.0)], [(4, 0, 20_000.0)], "out")
+    got = {x.request_id: (x.complete, x.event_id) for x in spark.read.parquet(f"{place}/out").collect()}
+    assert got == {1: (False, 7), 2: (True, 7), 3: (True, 7), 4: (True, 7)}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 8  # requests 1 and 2 are forgotten

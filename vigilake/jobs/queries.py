@@ -528,13 +528,19 @@ def s7_traffic(spark, sf_dir):
     return e.select("request_id", "step", "pos", "stage", "tool_name", F.coalesce("message_text", "tool_result", F.get_json_object("tool_args", "$.command")).alias("txt"))
 
 
-@_query(f"{_TRAFFIC}, bad AS (SELECT request_id, min(step * 1000 + pos) AS stop FROM traffic WHERE step = 0 OR (step = 1 AND txt LIKE '%7') GROUP BY 1) SELECT request_id, CAST(step AS INTEGER) AS step, CAST(pos AS INTEGER) AS pos FROM traffic LEFT JOIN bad USING (request_id) WHERE stop IS NULL OR step * 1000 + pos <= stop")
+def _gate_rules() -> list[Evaluator]:
+    rule = {"id": "seven", "title": "seven", "pattern": "7$", "action": "block"}
+    return category("prompt_injection") + _evaluator("regex", rule, stages=("tool.after",))
+
+
+_GATED = f"{_TRAFFIC}, bad AS (SELECT request_id, min(step * 1000 + pos) AS stop FROM traffic WHERE step = 0 OR (step = 1 AND txt LIKE '%7') GROUP BY 1) SELECT request_id, CAST(step AS INTEGER) AS step, CAST(pos AS INTEGER) AS pos FROM traffic LEFT JOIN bad USING (request_id) WHERE stop IS NULL OR step * 1000 + pos <= stop"
+
+
+@_query(_GATED)
 def s7_gate(spark, sf_dir):
     """A message that asks to ignore instructions, or a result that ends in 7, hides what comes after it."""
-    rule = {"id": "seven", "title": "seven", "pattern": "7$", "action": "block"}
     e = traffic.traffic_events(_spoken_requests(spark, sf_dir), _responses(spark, sf_dir))
-    decided = evaluate(e, category("prompt_injection") + _evaluator("regex", rule, stages=("tool.after",)))
-    return traffic.gate_traffic(decided).select("request_id", "step", "pos")
+    return traffic.gate_traffic(evaluate(e, _gate_rules())).select("request_id", "step", "pos")
 
 
 @_query(f"{_calls_decided_sql()} SELECT rid AS response_id, 'm' || rid AS id, 1.5 AS cost, CAST(count(*) FILTER (WHERE bad) AS INTEGER) AS n_blocked, bool_or(bad) AS changed FROM d GROUP BY rid")
@@ -683,6 +689,24 @@ def x5_rewrite_stream(spark, sf_dir):
     return rows.select("stream_id", "seq", "nth", "d.type", F.regexp_replace(F.coalesce("d.content_block.text", "d.delta.text"), "(' blocked): .*", "$1").alias("text"))
 
 
+@_query(_GATED)
+def x6_gate_stream(spark, sf_dir):
+    """The gate on streams, in two runs: all responses, with the requests of every third; then the other requests."""
+    place = shared_path(spark, "gate")
+    at = lambda c: F.timestamp_seconds(F.col(c) + DAY)  # noqa: E731  (a stream's watermark begins with 1970)
+    asked = _spoken_requests(spark, sf_dir).withColumn("event_time", at("request_id"))
+    answered = _responses(spark, sf_dir).withColumn("event_time", at("response_id"))
+    answered.write.parquet(f"{place}/responses")
+    for part in ("request_id % 3 = 0", "request_id % 3 <> 0"):
+        asked.filter(part).write.mode("append").parquet(f"{place}/requests")
+        read = lambda kind, schema: spark.readStream.schema(schema).parquet(f"{place}/{kind}")
+        req, resp = read("requests", asked.schema), read("responses", answered.schema)
+        decided = scoring.evaluate_stream(traffic.traffic_events(req, resp), _gate_rules())
+        passed = scoring.gate_stream(decided, traffic.own_events(req), wait_s=600, watermark="36500 days")
+        passed.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out").filter("complete").select("request_id", "step", "pos")
+
+
 _CUES = ["password", "http", "/etc/", "curl", "api_key"]
 
 

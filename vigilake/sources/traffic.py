@@ -25,16 +25,34 @@ def _texts(blocks: Column) -> Column:
 
 def _requests(req: DataFrame) -> DataFrame:
     """(request_id, session_id, messages, last): ``last`` is the last user message's blocks."""
-    parsed = req.select("request_id", F.from_json("body", _REQUEST).alias("b"))
+    parsed = req.select("request_id", F.from_json("body", _REQUEST).alias("b"), *_time(req))
     last = F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(-1))["content"]
-    rows = parsed.select("request_id", F.coalesce("b.metadata.session_id", F.lit("")).alias("session_id"), F.col("b.messages").alias("messages"))
+    rows = parsed.select("request_id", F.coalesce("b.metadata.session_id", F.lit("")).alias("session_id"), F.col("b.messages").alias("messages"), *_time(parsed))
     return rows.withColumn("last", _blocks(last))
 
 
+def _time(records: DataFrame) -> list[str]:
+    """Records of a stream have an ``event_time``, which their events keep."""
+    return [c for c in records.columns if c == "event_time"]
+
+
+def _plain(content: Column) -> Column:
+    """What a tool result says: its text blocks, or the text that it is."""
+    return F.when(F.substring(F.ltrim(content), 1, 1) == "[", F.array_join(F.filter(_texts(F.from_json(content, f"array<{_BLOCK}>")), lambda t: t != ""), " ")).otherwise(content)
+
+
+def own_events(req: DataFrame) -> DataFrame:
+    """(request_id, own): how many events a request makes itself, before there is a response."""
+    rows = _requests(req)
+    said = F.coalesce((F.array_join(_texts(F.col("last")), "\n") != "").cast("int"), F.lit(0))
+    results = F.filter("last", lambda b: (b["type"] == "tool_result") & (_plain(b["content"]) != ""))
+    return rows.select("request_id", (said + F.coalesce(F.size(results), F.lit(0))).alias("own"), *_time(rows)).withColumn("own", F.greatest("own", F.lit(0)))
+
+
 def user_message_events(req: DataFrame) -> DataFrame:
     """(request_id, ...event): the last user message of each request (body JSON), text blocks a line each; none without text."""
     rows = _requests(req).withColumn("message_text", F.array_join(_texts(F.col("last")), "\n")).filter("message_text <> ''")
-    return as_events(rows.select("request_id", "session_id", F.lit("message.before").alias("stage"), "message_text"))
+    return as_events(rows.select("request_id", "session_id", F.lit("message.before").alias("stage"), "message_text", *_time(rows)))
 
 
 def tool_result_events(req: DataFrame) -> DataFrame:
@@ -44,10 +62,9 @@ def tool_result_events(req: DataFrame) -> DataFrame:
     """
     rows = _requests(req)
     calls = F.flatten(F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.filter(_blocks(m["content"]), lambda b: b["type"] == "tool_use")))
-    each = rows.select("request_id", "session_id", calls.alias("calls"), F.posexplode(F.filter("last", lambda b: b["type"] == "tool_result")).alias("pos", "r"))
+    each = rows.select("request_id", "session_id", *_time(rows), calls.alias("calls"), F.posexplode(F.filter("last", lambda b: b["type"] == "tool_result")).alias("pos", "r"))
     call = F.try_element_at(F.filter("calls", lambda c: c["id"] == F.col("r.tool_use_id")), F.lit(-1))
-    plain = F.when(F.substring(F.ltrim("r.content"), 1, 1) == "[", F.array_join(F.filter(_texts(F.from_json("r.content", f"array<{_BLOCK}>")), lambda t: t != ""), " ")).otherwise(F.col("r.content"))
-    named = each.select("request_id", "pos", "session_id", F.lit("tool.after").alias("stage"), F.coalesce(call["name"], F.col("r.tool_use_id")).alias("tool_name"), plain.alias("tool_result"))
+    named = each.select("request_id", "pos", "session_id", F.lit("tool.after").alias("stage"), F.coalesce(call["name"], F.col("r.tool_use_id")).alias("tool_name"), _plain(F.col("r.content")).alias("tool_result"), *_time(each))
     return as_events(named.filter("tool_result <> ''"))
 
 
@@ -63,8 +80,8 @@ def _object_or_none(text: Column) -> Column:
 
 def tool_use_events(resp: DataFrame) -> DataFrame:
     """(response_id, pos, ...event): a call for each tool_use block of a response (body JSON); ``pos`` is the block's place."""
-    rows = resp.select("response_id", F.posexplode(F.from_json("body", _RESPONSE)["content"]).alias("pos", "raw")).withColumn("b", F.from_json("raw", _BLOCK)).filter("b.type = 'tool_use'")
-    return as_events(rows.select("response_id", "pos", F.lit("tool.before").alias("stage"), F.coalesce("b.name", F.lit("")).alias("tool_name"), _object_or_none(F.coalesce(F.col("b.input"), F.lit("{}"))).alias("tool_args")))
+    rows = resp.select("response_id", *_time(resp), F.posexplode(F.from_json("body", _RESPONSE)["content"]).alias("pos", "raw")).withColumn("b", F.from_json("raw", _BLOCK)).filter("b.type = 'tool_use'")
+    return as_events(rows.select("response_id", "pos", F.lit("tool.before").alias("stage"), F.coalesce("b.name", F.lit("")).alias("tool_name"), _object_or_none(F.coalesce(F.col("b.input"), F.lit("{}"))).alias("tool_args"), *_time(rows)))
 
 
 _CHUNK = "struct<type:string,index:int,content_block:struct<type:string,name:string>,delta:struct<type:string,partial_json:string>>"

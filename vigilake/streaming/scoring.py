@@ -297,6 +297,84 @@ def decide_stream(events: DataFrame, evaluators: list[Evaluator], deliver: Deliv
     return _start(events, lambda batch, number: decide_batch(batch, number, evaluators, kept, deliver, mode) and None, checkpoint, trigger)
 
 
+class _Gate(StatefulProcessor):
+    """A request's decisions, held until its own are all in, and where its first block among those is.
+
+    ``wait_ms`` after a request's last decision its state goes; what is still held then is given out as not complete.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "own int, complete boolean, stop_step int, stop_pos int, timer bigint")
+        self.held = handle.getListState("held", "step int, pos int, event_id bigint, action string, reasons string, blocked boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        new = pd.concat(list(rows))
+        own, complete, *stop, timer = self.seen.get() if self.seen.exists() else (None, False, None, None, None)
+        stop = None if stop[0] is None else tuple(stop)
+        told = new["own"].dropna()
+        own = int(told.max()) if len(told) else own
+        fresh = [self._row(r) for r in new[new["step"].notna()].itertuples()]
+        if not complete:
+            known = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+            fresh = list({(r[0], r[1]): r for r in fresh + known}.values())  # what came again, once
+            before = sorted(r for r in fresh if r[0] < 2)
+            complete = own is not None and len(before) >= own
+            if complete:
+                stop = next((r[:2] for r in before if r[5]), None)
+                self.held.clear()
+            elif fresh:
+                self.held.put(fresh)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = max(int(new["at"].max()), timers.getCurrentWatermarkInMs()) + self.wait_ms
+        self.handle.registerTimer(timer)
+        self.seen.update((own, complete, *(stop or (None, None)), timer))
+        yield self._frame(key, [r for r in fresh if stop is None or r[:2] <= stop] if complete else [], True)
+
+    @staticmethod
+    def _row(r) -> tuple:
+        known = lambda v: None if pd.isna(v) else v
+        event = known(r.event_id)
+        return (int(r.step), int(r.pos), None if event is None else int(event), known(r.action), known(r.reasons), bool(known(r.blocked)))
+
+    @staticmethod
+    def _frame(key, rows: list[tuple], complete: bool) -> pd.DataFrame:
+        made = pd.DataFrame([(key[0], *r, complete) for r in sorted(rows, key=lambda r: r[:2])], columns=["request_id", "step", "pos", "event_id", "action", "reasons", "blocked", "complete"])
+        return made.astype({"event_id": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        self.held.clear()
+        self.seen.clear()
+        yield self._frame(key, held, False)
+
+    def close(self) -> None:
+        pass
+
+
+def gate_stream(decisions: DataFrame, own: DataFrame, wait_s: float = 600, watermark: str = "10 minutes") -> DataFrame:
+    """(request_id, step, pos, event_id, action, reasons, blocked, complete) of the decisions of a stream that come to pass.
+
+    ``decisions``: decided :func:`traffic_events` with ``event_time``; ``own``: :func:`own_events` of the same requests.  All of a
+    request's decisions wait until as many of steps 0 and 1 are in as the request has; then :func:`gate_traffic` holds of them,
+    and of calls (step 2) that come later.  When the watermark passes ``wait_s`` after a request's last record its state goes,
+    and what still waits is given out with ``complete`` false: some verdict before it never came, so it isn't known to pass.
+    A decision that comes twice before its request is complete counts once.  Rows with a null request are one request, of which
+    nothing tells how many decisions it has.  Spark drops records older than the watermark and counts them.
+    """
+    kind = decisions.schema["request_id"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    rows = decisions.select("request_id", F.col("step").cast("int"), F.col("pos").cast("int"), F.col("event_id").cast("long"), "action", F.array_join("reasons", "; ").alias("reasons"), "blocked", none("int").alias("own"), "event_time")
+    marks = own.select("request_id", none("int").alias("step"), none("int").alias("pos"), none("long").alias("event_id"), none("string").alias("action"), none("string").alias("reasons"), none("boolean").alias("blocked"), F.col("own").cast("int"), "event_time")
+    both = rows.unionByName(marks).withWatermark("event_time", watermark).withColumn("at", F.unix_millis("event_time"))
+    made = f"request_id {kind}, step int, pos int, event_id long, action string, reasons string, blocked boolean, complete boolean"
+    return both.groupBy("request_id").transformWithStateInPandas(_Gate(int(wait_s * 1000)), made, "Append", "EventTime")
+
+
 class _Assemble(StatefulProcessor):
     """The open call of a stream: its name, and the parts of its input so far, which are only added to.
 
