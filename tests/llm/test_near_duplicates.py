@@ -250,6 +250,21 @@ def test_fingerprints_of_edits(spark):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_next_documents_over_ranges_and_buckets(spark, tmp_path):
+    """Half of the rows share an id, some are copies: each row is followed by the next one, the last by the first."""
+    from vigilake.llm.scratch import Scratch
+
+    docs = [(7 if i % 2 else i, f"text {i // 3 % 40:03d}") for i in range(300)] + [(None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = fingerprints.with_next(df, "doc_id", "text", Scratch(spark, "next"), rows_per_bucket=8).filter("not halo").collect()
+    order = sorted(((-1 if i is None else i, t or "") for i, t in docs), key=lambda x: (-x[0], x[1]))
+    want = [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+    assert sorted((-1 if r.id is None else r.id, r.text, r.next_text) for r in rows) == sorted(want)
+    assert len({r.bucket for r in rows}) > 30
+    one = spark.createDataFrame([(1, "alone")], "doc_id long, text string")
+    assert [(r.text, r.next_text) for r in fingerprints.with_next(one, "doc_id", "text", Scratch(spark, "one")).filter("not halo").collect()] == [("alone", "alone")]
+
+
 def simhash5(text):
     """As the contract's fingerprint, but over words as the operator cuts them and shingles of five."""
     return simhash(text, 5)

@@ -21,6 +21,7 @@ from vigilake.llm.simhash_dedup import shingle_hashes, words
 from vigilake.llm.votes import hex16, longs, majority, vote_sums
 
 _LEAST = -(1 << 63)
+_ROW_BITS = 33  # of monotonically_increasing_id: the row's number in its partition
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -58,38 +59,28 @@ def search(queries: DataFrame, corpus: DataFrame, radius: int = 3, blocks: int =
     return c.join(q, (c["key"] == q["key"]) & near).select("query", "fp").distinct()
 
 
-def _buckets(docs: DataFrame, ids: Column, rows_per_bucket: int, most: int) -> list[int]:
-    """Ids that end buckets of about equal size, the largest id last; each is an id of the table."""
-    n = docs.count()
-    k = max(1, min(most, n // rows_per_bucket))
-    at = [i / k for i in range(1, k)] + [1.0]
-    found = docs.agg(F.percentile_approx(ids, at, 20 * k + 1000).alias("p"), F.max(ids).alias("m")).first()
-    return sorted({*(found["p"] or []), found["m"]}) if found["m"] is not None else [_LEAST]
-
-
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 256, most_buckets: int = 65_536) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, rows_per_bucket: int = 256) -> DataFrame:
     """(bucket, nth, halo, id, text, next_text): the text of the next document in descending id, the first after the last.
 
-    Documents are dealt to buckets of neighbouring ids, each with a copy (``halo``) of the document that follows
-    its last; so one shuffle of the texts does.  Rows that share an id follow each other by text; null ids come last.
+    Documents are sorted by ranges, a saved table, and dealt on to buckets of neighbours, each with a copy (``halo``) of the
+    document that follows its last; of the ranges a row each is gathered and broadcast.  Rows that share an id follow
+    each other by text, as far as its first 256 characters tell them apart; null ids come last.  Rows of one id may be many ranges.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
-    ends = _buckets(docs, F.col(id_col).cast("long"), rows_per_bucket, most_buckets)
-    known = longs(ends)
-    steps = F.lit([1 << k for k in range(max(len(ends) - 1, 1).bit_length(), -1, -1)])
-    # how many ends are below the id, by doubling steps; past the last end there is none to compare with
-    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(known, at + s - 1) < F.col("_key"), at + s).otherwise(at))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("_key"))
-    rows = rows.select("*", below.alias("_own"))
-    places = F.array_compact(
-        F.array(
-            F.struct(F.col("_own").alias("bucket"), F.lit(False).alias("halo")),
-            F.when(F.get(known, F.col("_own")) == F.col("_key"), F.struct(((F.col("_own") + 1) % len(ends)).alias("bucket"), F.lit(True).alias("halo"))),
-        )
-    )
-    placed = rows.select("id", "text", "_key", F.explode(places).alias("p")).select("id", "text", "_key", "p.bucket", "p.halo")
-    w = Window.partitionBy("bucket").orderBy("halo", F.desc("_key"), "text")
-    return placed.select("bucket", F.row_number().over(w).alias("nth"), "halo", "id", "text", F.lead("text").over(w).alias("next_text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    ranges = rows.withColumn("_begins", F.substring("text", 1, 256)).repartitionByRange(F.desc("_key"), "_begins", "_row")
+    placed = scratch.save(ranges.sortWithinPartitions(F.desc("_key"), "text", "_row").select("id", "text", F.monotonically_increasing_id().alias("place")))
+    part, nth = F.shiftright("place", _ROW_BITS), F.col("place").bitwiseAND((1 << _ROW_BITS) - 1)
+    placed = placed.select("id", "text", part.alias("_part"), nth.alias("_nth"), (F.shiftleft(part, 31) + F.floor(nth / rows_per_bucket)).alias("_own"))
+    last = placed.groupBy(F.col("_part").alias("_p")).agg(F.max("_own").alias("_last"))
+    of_all = Window.orderBy("_p")
+    before = last.select("_p", F.coalesce(F.lag("_last").over(of_all), F.max("_last").over(of_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
+    ends = F.when(F.col("_nth") == 0, F.col("_before")).when(F.col("_nth") % rows_per_bucket == 0, F.col("_own") - 1)  # the bucket that this row follows
+    at = lambda bucket, halo: F.struct(bucket.alias("bucket"), F.lit(halo).alias("halo"))
+    places = F.array_compact(F.array(at(F.col("_own"), False), F.when(ends.isNotNull(), at(ends, True))))
+    copied = placed.join(F.broadcast(before), F.col("_part") == F.col("_p")).select("id", "text", "_nth", F.explode(places).alias("p")).select("id", "text", "_nth", "p.bucket", "p.halo")
+    w = Window.partitionBy("bucket").orderBy("halo", "_nth")
+    return copied.select("bucket", F.row_number().over(w).alias("nth"), "halo", "id", "text", F.lead("text").over(w).alias("next_text"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, query_every: int = 50) -> DataFrame:
@@ -101,7 +92,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     follow each other and each keep theirs.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    rows = with_next(docs, id_col, text_col)
+    rows = with_next(docs, id_col, text_col, scratch)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("bucket", "nth", "halo", "id", "text", F.when(~F.col("halo"), edited).alias("edited"))
