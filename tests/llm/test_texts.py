@@ -252,6 +252,15 @@ def test_main_text(spark):
     assert [got[i] for i in range(len(pages))] == list(pages.values())
 
 
+def test_what_articles_repeat_stays(spark):
+    """A block that says the same in every article is the article's own, unless it is marked or all articles are built alike."""
+    story = lambda i: "".join(f"<p>part {j} of story {i}</p>" for j in range(1 + i % 5))
+    page = lambda i, tail: f"<body><div class='top'>menu of all</div><article>{story(i)}{tail}</article></body>"
+    rows = [(i, "http://h.example/", page(i, "<p class='note'>Prices are in euros.</p><div class='advert'>buy now</div>")) for i in range(60)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(60)] == [" ".join([*(f"part {j} of story {i}" for j in range(1 + i % 5)), "Prices are in euros."]) for i in range(60)]
+
+
 def test_style_trees(spark):
     rows = [(i, "http://h.example/x", f"<body><div class=box>sign up now</div><div class=text>story number {i} of many</div></body>") for i in range(20)]
     rows += [(100, "http://few.example/", "<body><div class=box>sign up now</div></body>"), (101, None, None), (102, "http://h.example/y", PAGE)]
@@ -326,12 +335,12 @@ def test_words_encode_as_texts():
 
 
 def plain_importance(counts):
-    """(node -> n, importance, own, prior) from {(node, kind, feature): [df, up, ups, length, share, prior, mark, heading]}."""
+    """(node -> n, importance, own, prior) from {(node, kind, feature): [df, up, ups, length, share, prior, mark, heading, inside]}."""
     ln, nodes = np.log, {}
-    for (node, kind, _), (df, up, ups, length, share, prior, mark, heading) in counts.items():
-        x = nodes.setdefault(node, {"n": 0, "up": None, "ups": (), "sums": np.zeros(4), "lists": 0, "h": 0.0, "length": 0.0, "said": 0.0})
+    for (node, kind, _), (df, up, ups, length, share, prior, mark, heading, inside) in counts.items():
+        x = nodes.setdefault(node, {"n": 0, "up": None, "ups": (), "sums": np.zeros(5), "lists": 0, "h": 0.0, "length": 0.0, "said": 0.0})
         if kind == "node":
-            x["n"], x["up"], x["ups"], x["sums"] = x["n"] + df, up, ups, x["sums"] + [share, prior, mark, heading]
+            x["n"], x["up"], x["ups"], x["sums"] = x["n"] + df, up, ups, x["sums"] + [share, prior, mark, heading, inside]
         elif kind == "shown":
             x["lists"], x["h"] = x["lists"] + df, x["h"] + df * ln(df)
         else:
@@ -341,12 +350,14 @@ def plain_importance(counts):
         x["new"] = max(x["length"] - (x["said"] / ln(x["n"]) if x["n"] > 1 else 0.0), 0.0)
     out = {}
     for node, x in nodes.items():
-        share, prior, mark, heading = x["sums"] / x["n"]
+        share, prior, mark, heading, inside = x["sums"] / x["n"]
         under = [y for y in nodes.values() if y["length"] and node in y["ups"]]
         content = sum(y["new"] for y in under) / sum(y["length"] for y in under) if under else 1.0
         flow = nodes[x["up"]]["varied"] if x["up"] in nodes else 1.0
         size = share * 0.6 if mark > 0.5 else 1.0 if heading > 0.5 else max(share, x["varied"], flow)
-        out[node] = x["n"], size * content, size * (x["new"] / x["length"] if x["length"] else 1.0), prior
+        own = x["new"] / x["length"] if x["length"] else 1.0
+        least = (flow if x["up"] in nodes else 0.0) if inside > 0.5 and mark <= 0.5 and not x["lists"] else 0.0
+        out[node] = x["n"], max(size * content, least), max(size * own, least), prior
     return out
 
 
@@ -359,6 +370,7 @@ def test_style_tree_equals_a_plain_one(spark):
             items = "".join(f"<li><a>item {j}</a></li>" for j in range(3 + h))
             body = "".join(f"<p>{r.choice(['same line', f'story {i} {j}', f'other {i % 3}'])}</p>" for j in range(r.randrange(1, 5)))
             pages.append((f"h{h}", f"<body><div class='top'><ul>{items}</ul></div><div class='x{h}'><h1>title {i}</h1>{body}</div><div id=footer>all rights</div></body>"))
+    pages += [(f"h{i % 2}", f"<article><h1>title {i}</h1>{'<p>line</p>' * (i % 4)}<p class='note'>same</p><div class='x'><i>same</i></div></article>") for i in range(8)]
     pages += [pages[0], pages[1], ("h3", pages[0][1])]  # copies
     once = {}
     for host, page in pages:
@@ -366,12 +378,12 @@ def test_style_tree_equals_a_plain_one(spark):
             once.setdefault((host, node, kind, feature, copy), []).append((up, tuple(ups or ()), numbers))
     counts = {}
     for (host, node, kind, feature, _), same in once.items():
-        x = counts.setdefault((host, node, kind, feature), [0, same[0][0], same[0][1], *[0.0] * 5])
+        x = counts.setdefault((host, node, kind, feature), [0, same[0][0], same[0][1], *[0.0] * 6])
         x[0] += 1
         x[3:] = list(np.array(x[3:]) + np.mean([s[2] for s in same], axis=0))
     everywhere = {}
     for (_, node, kind, feature), x in counts.items():
-        y = everywhere.setdefault((node, kind, feature), [0, x[1], x[2], *[0.0] * 5])
+        y = everywhere.setdefault((node, kind, feature), [0, x[1], x[2], *[0.0] * 6])
         y[0] += 1
         y[3:] = list(np.array(y[3:]) + np.array(x[3:]) / x[0])
     blend = lambda seen, borrowed, n: ((n - 1) * seen + 8 * borrowed) / (n + 7)

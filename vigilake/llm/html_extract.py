@@ -192,7 +192,7 @@ def read_page(page: str) -> tuple[list[Element], list[tuple[Element, str]], bool
 
 # --- the tree ----------------------------------------------------------------------------------------------
 
-_FEATURES = "host string, node long, kind string, feature long, copy long, up long, ups array<long>, length double, share double, prior double, mark double, heading double"
+_FEATURES = "host string, node long, kind string, feature long, copy long, up long, ups array<long>, length double, share double, prior double, mark double, heading double, inside double"
 
 
 def page_features(page: str) -> list[tuple]:
@@ -217,31 +217,32 @@ def page_features(page: str) -> list[tuple]:
     nodes: dict[int, list] = {}
     for e in elements:
         prior = 0.0 if e.mark else 1.0 if not article or id(e) in around else _BESIDE
-        got = nodes.setdefault(e.node, [e, 0, 0, 0.0, 0, 0])
+        got = nodes.setdefault(e.node, [e, 0, 0, 0.0, 0, 0, 0])
         got[1] += 1
         got[2] += e.length
         got[3] += prior
         got[4] += e.mark > 0
         got[5] += e.heading
+        got[6] += e.inside
     out = []
-    for node, (e, n, length, prior, mark, heading) in nodes.items():
+    for node, (e, n, length, prior, mark, heading, inside) in nodes.items():
         ups, up = [], e
         while up:
             ups.append(up.node)
             up = up.parent
-        out.append((node, "node", 0, copy, e.parent.node if e.parent else None, ups, float(length), length / total, prior / n, mark / n, heading / n))
-    none = (None, None, 0.0, 0.0, 0.0, 0.0, 0.0)
+        out.append((node, "node", 0, copy, e.parent.node if e.parent else None, ups, float(length), length / total, prior / n, mark / n, heading / n, inside / n))
+    none = (None, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     out += [(node, "shown", shown, copy, *none) for node, shown in {(e.node, _hash(*e.children)) for e in elements if e.children}]
     texts: dict[tuple[int, int], int] = {}
     for e, t in found:
         key = (e.node, _hash(t))
         texts[key] = texts.get(key, 0) + len(t)
-    out += [(node, "text", text, copy, None, None, float(n), 0.0, 0.0, 0.0, 0.0) for (node, text), n in texts.items()]
+    out += [(node, "text", text, copy, None, None, float(n), 0.0, 0.0, 0.0, 0.0, 0.0) for (node, text), n in texts.items()]
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.float64()] * 5)
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.float64()] * 6)
     names = [f.split()[0] for f in _FEATURES.split(", ")]
     for batch in batches:
         out = []
@@ -262,7 +263,7 @@ def _importance(counts: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(is_node).alias("n"),
         F.max("up").alias("up"),
         F.max("ups").alias("ups"),
-        *[(F.sum(F.when(kind == "node", F.col(c))) / F.sum(is_node)).alias(c) for c in ("share", "prior", "mark", "heading")],
+        *[(F.sum(F.when(kind == "node", F.col(c))) / F.sum(is_node)).alias(c) for c in ("share", "prior", "mark", "heading", "inside")],
         F.sum(F.when(kind == "shown", df)).alias("lists"),
         F.sum(F.when(kind == "shown", df * F.log(df))).alias("h"),
         F.sum(F.when(kind == "text", F.col("length"))).alias("length"),
@@ -272,13 +273,16 @@ def _importance(counts: DataFrame, keys: list[str]) -> DataFrame:
     varied = F.coalesce(F.when(F.col("lists") > 1, 1 - F.col("h") / F.col("lists") / F.log("lists")), F.lit(0.0))
     # entropy of texts over the pages that have the node, weighted by length; then summed up the branches
     new = F.col("length") - F.when(F.col("n") > 1, F.col("said") / F.log("n")).otherwise(0.0)
-    nodes = sums.select(*keys, "node", "n", "up", "ups", "share", "prior", "mark", "heading", varied.alias("varied"), "length", F.greatest(new, F.lit(0.0)).alias("new"))
+    nodes = sums.select(*keys, "node", "n", "up", "ups", "share", "prior", "mark", "heading", "inside", F.col("lists").isNull().alias("leaf"), varied.alias("varied"), "length", F.greatest(new, F.lit(0.0)).alias("new"))
     branch = nodes.filter("length > 0").select(*keys, F.explode("ups").alias("node"), "length", "new").groupBy(*keys, "node").agg((F.sum("new") / F.sum("length")).alias("content"))
     whole = nodes.withColumn("own_content", F.col("new") / F.col("length")).join(branch, [*keys, "node"], "left")
     parents = nodes.select(*keys, F.col("node").alias("up"), F.col("varied").alias("flow"))
     whole = whole.join(parents, [*keys, "up"], "left")
     size = F.when(F.col("mark") > 0.5, F.col("share") * 0.6).when(F.col("heading") > 0.5, 1.0).otherwise(F.greatest("share", "varied", F.coalesce("flow", F.lit(1.0))))
-    return whole.select(*keys, "node", "n", "prior", (size * F.coalesce("content", F.lit(1.0))).alias("importance"), (size * F.coalesce("own_content", F.lit(1.0))).alias("own"))
+    # what an article's own flow holds may repeat: an unmarked leaf there goes only if the flow is the same everywhere too
+    flows = F.when(F.col("leaf") & (F.col("inside") > 0.5) & (F.col("mark") <= 0.5), F.coalesce("flow", F.lit(0.0))).otherwise(0.0)
+    weigh = lambda content: F.greatest(size * F.coalesce(content, F.lit(1.0)), flows)
+    return whole.select(*keys, "node", "n", "prior", weigh("content").alias("importance"), weigh("own_content").alias("own"))
 
 
 def style_tree(pages: DataFrame, scratch: Scratch, prior_pages: float = 8.0) -> DataFrame:
@@ -288,7 +292,7 @@ def style_tree(pages: DataFrame, scratch: Scratch, prior_pages: float = 8.0) ->
     hosts, whose hosts are weighed in the same way against the prior.
     """
     rows = pages.mapInArrow(_features, _FEATURES)
-    first = ("length", "share", "prior", "mark", "heading")
+    first = ("length", "share", "prior", "mark", "heading", "inside")
     once = rows.groupBy("host", "node", "kind", "feature", "copy").agg(F.max("up").alias("up"), F.max("ups").alias("ups"), *[F.avg(c).alias(c) for c in first])
     counts = scratch.save(once.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("df"), F.max("up").alias("up"), F.max("ups").alias("ups"), *[F.sum(c).alias(c) for c in first]))
     # in the tree of all hosts each host counts once, however many pages it has
