@@ -588,9 +588,9 @@ def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """What the stream gives when all of its input has been read."""
-    out = shared_path(spark, "sink")
+def _drained(spark: SparkSession, stream: DataFrame, out: str | None = None) -> DataFrame:
+    """What the stream gives when all of its input has been read; with ``out``, it goes on where it was left there."""
+    out = out or shared_path(spark, "sink")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", scoring.ROCKSDB)
     try:
@@ -703,8 +703,8 @@ def x6_gate_stream(spark, sf_dir):
         req, resp = read("requests", asked.schema), read("responses", answered.schema)
         decided = scoring.evaluate_stream(traffic.traffic_events(req, resp), _gate_rules())
         passed = scoring.gate_stream(decided, traffic.own_events(req), wait_s=600, watermark="36500 days")
-        passed.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out").filter("complete").select("request_id", "step", "pos")
+        out = _drained(spark, passed, f"{place}/out")
+    return out.filter("complete").select("request_id", "step", "pos")
 
 
 _CUES = ["password", "http", "/etc/", "curl", "api_key"]
