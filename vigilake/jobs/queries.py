@@ -440,13 +440,13 @@ whole AS (SELECT * REPLACE (CASE WHEN hit IS NOT NULL AND action = 'allow' THEN
 
 @_query(f"{_WHOLE} SELECT event_id, action, reasons, n_results FROM whole")
 def a1_decisions(spark, sf_dir):
-    d = scans.decide(_events(spark, sf_dir))
+    d = scans.decide(_events(spark, sf_dir), details=False)
     return d.select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"), "n_results")
 
 
 @_query(f"{_WHOLE} SELECT stage, action, count(*) AS n FROM whole GROUP BY 1, 2")
 def a7_summary(spark, sf_dir):
-    return scans.decide(_events(spark, sf_dir)).groupBy("stage", "action").agg(F.count("*").alias("n"))
+    return scans.decide(_events(spark, sf_dir), details=False).groupBy("stage", "action").agg(F.count("*").alias("n"))
 
 
 @_query(f"{_WHOLE} SELECT event_id, action, n_results, reasons FROM whole")

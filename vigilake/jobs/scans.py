@@ -14,13 +14,13 @@ def scan(name: str, events: DataFrame) -> DataFrame:
     """Events on which a rule of the category fires: event_id, action, reasons joined by "; "."""
     from pyspark.sql import functions as F
 
-    decided = evaluate(events, category(name))
+    decided = evaluate(events, category(name), details=False)
     return decided.filter("action <> 'allow'").select("event_id", "action", F.array_join("reasons", "; ").alias("reasons"))
 
 
-def decide(events: DataFrame) -> DataFrame:
-    """Every event's decision by the whole pack."""
-    return evaluate(events, list(rule_pack()))
+def decide(events: DataFrame, details: bool = True) -> DataFrame:
+    """Every event's decision by the whole pack; ``details``: with results and masked texts."""
+    return evaluate(events, list(rule_pack()), details=details)
 
 
 STATELESS = [c for c in CATEGORIES if c != RATE_CATEGORY]

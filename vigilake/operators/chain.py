@@ -190,9 +190,11 @@ def _with_scores(df: DataFrame, e: Evaluator, order: int) -> DataFrame:
     return asked.unionByName(df.filter(~live))
 
 
-def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True, history: DataFrame | None = None) -> DataFrame:
+def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity", compose: bool = False, bucketed: bool = True, history: DataFrame | None = None, details: bool = True) -> DataFrame:
     """``events`` with columns action, blocked, reasons, redacted, results, n_results.
 
+    ``details`` false leaves out redacted and results: the plan of a large pack is then built and analysed in half the time.
+
     Rules without history are one narrow stage.  Each rate evaluator then sees the events in its stages that
     nothing has blocked, which are its history; its rules share one exchange, which carries what is read of the events
     and the numbers of their verdicts, and its results go behind the others.  Who doesn't ask for ``results`` or texts
@@ -207,17 +209,23 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
     own = [(i, e) for i, e in chain.ordered if e.custom]
     rated = [(i, e) for i, e in chain.ordered if e.type == "sql" and not e.custom]
     by_result = bool(own or scored)  # verdicts that have no number
+    if compose and not details:
+        raise ValueError("composed texts are details")
+    told = details or by_result
     with hoisted() as args:
         numbers = [chain.number(e, i).alias(f"n{i}") for i, e in plain] + [F.when(F.col("stage").isin(*e.stages), e.custom().cast(RESULT)).alias(f"r{i}") for i, e in own]
-        each = sorted([(i, F.when(F.col(f"_v.n{i}").isNotNull(), chain.full(F.col(f"_v.n{i}"), i))) for i, _ in plain] + [(i, F.col(f"_v.r{i}")) for i, _ in own], key=lambda x: x[0])
+        full = chain.full if details else lambda n, _: chain.said(n)
+        each = sorted([(i, F.when(F.col(f"_v.n{i}").isNotNull(), full(F.col(f"_v.n{i}"), i))) for i, _ in plain] + [(i, F.col(f"_v.r{i}")) for i, _ in own], key=lambda x: x[0]) if told else []
         masks = _composed([(e, r) for _, e in plain if e.type == "regex" for r in e.rules if r.action == "redact" and not r.fields]) if compose else None
     df = with_arguments(prepare(events), args)
     # exploding an array of one keeps later filters from being pushed into, and so copying, the rules' expressions
     df = df.withColumn("_v", F.explode(F.array(F.struct(*numbers, F.lit(0).alias("none")))))
-    results = F.array_compact(F.array(*[c for _, c in each])) if each else F.array()
-    df = df.withColumn("results", _upto_block(results.cast(f"array<{RESULT}>"), lambda r: r["action"]))
-    masked = F.filter("results", lambda r: r["redacted"].isNotNull())
-    df = df.withColumn("redacted", F.try_element_at(masked, F.lit(-1))["redacted"])
+    if told:
+        results = F.array_compact(F.array(*[c for _, c in each])) if each else F.array()
+        df = df.withColumn("results", _upto_block(results.cast(f"array<{RESULT}>"), lambda r: r["action"]))
+    if details:
+        masked = F.filter("results", lambda r: r["redacted"].isNotNull())
+        df = df.withColumn("redacted", F.try_element_at(masked, F.lit(-1))["redacted"])
     if compose:
         df = df.withColumn("redacted", masks)
     blocks = F.array(*[F.lit(n) for n, v in enumerate(chain.verdicts) if v.action == "block"]).cast("array<int>")
@@ -244,10 +252,10 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
             entered = F.when(F.col("_admitted"), F.array(F.lit(e.name))).otherwise(F.array().cast("array<string>"))
             df = df.withColumn("_entered", F.concat("_entered", entered) if "_entered" in df.columns else entered)
         df = df.withColumn("_n", F.when(F.col("_admitted"), chain.number(e, i)))
-        df = df.withColumn("results", F.array_compact(F.concat("results", F.array(chain.said(F.col("_n"))))))
+        results = {"results": F.array_compact(F.concat("results", F.array(chain.said(F.col("_n")))))} if told else {}
         stopped = F.col("_stopped") | F.coalesce(F.array_contains(blocks, F.col("_n")), F.lit(False))
         said = {} if by_result else {"_said": F.array_compact(F.concat("_said", F.array("_n")))}
-        df = df.withColumns(said | {"_stopped": stopped}).drop("_admitted", "_n", *[_rate_column(i, r) for r in e.rules])
+        df = df.withColumns(results | said | {"_stopped": stopped}).drop("_admitted", "_n", *[_rate_column(i, r) for r in e.rules])
     for i, e in scored:
         df = _with_scores(df, e, i)
     if by_result:
@@ -258,7 +266,7 @@ def evaluate(events: DataFrame, evaluators: list[Evaluator], mode: str = "parity
         df = df.withColumns({"action": F.get(F.array(*map(F.lit, ACTIONS)), top), "reasons": reasons, "n_results": F.size("_said")}).drop("_said")
     if history is not None:
         df = df.withColumnRenamed("_entered", "entered") if rated else df.withColumn("entered", F.array().cast("array<string>"))
-    return df.withColumn("blocked", F.col("action") == "block").drop("_stopped")
+    return df.withColumn("blocked", F.col("action") == "block").drop("_stopped", *([] if details else ["results"]))
 
 
 def _composed(rules: list[tuple[Evaluator, Rule]]) -> Column:
