@@ -217,3 +217,39 @@ def test_what_waits_in_vain_is_given_out_as_not_complete(spark, tmp_path):
     got = {x.request_id: (x.complete, x.event_id) for x in spark.read.parquet(f"{place}/out").collect()}
     assert got == {1: (False, 7), 2: (True, 7), 3: (True, 7), 4: (True, 7)}
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 8  # requests 1 and 2 are forgotten
+
+
+def test_state_is_kept_for_buckets_of_keys(spark, tmp_path, monkeypatch):
+    """Calls of 600 streams over two runs in far fewer rows of state; null and odd keys are like others."""
+    monkeypatch.setattr(scoring, "BUCKETS", 2, raising=False)
+    place, n = str(tmp_path), 600
+    start, stop = record("content_block_start", content_block={"type": "tool_use", "name": "exec"}), record("content_block_stop")
+    part = record("content_block_delta", delta={"type": "input_json_delta", "partial_json": '{"a":1}'})
+    name = lambda i: None if i == 0 else f's{i}\x1f"é'
+    for run in ([(0, start), (1, part)], [(2, stop)]):
+        stream = feed(spark, place, [(name(i), seq, d) for i in range(n) for seq, d in run], "stream_id string, seq int, data string")
+        q = drain(scoring.assemble_tool_calls_stream(stream), place)
+    rows = spark.read.parquet(f"{place}/out").collect()
+    assert len(rows) == n and {(r.stream_id, r.block, r.tool_args) for r in rows} == {(name(i), 0, '{"a":1}') for i in range(n)}
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 128
+
+
+def test_requests_share_rows_of_state(spark, tmp_path, monkeypatch):
+    """300 requests whose messages never come, of which all but the last are given out as not complete."""
+    monkeypatch.setattr(scoring, "BUCKETS", 2, raising=False)
+    place, event = str(tmp_path), (1 << 60) + 1
+    q = gate(spark, place, [(i, 2, 0, event, "allow", [], False, 1000.0 + i % 3) for i in range(300)] + [(-1, 2, 0, None, "allow", [], False, 1000.0)], [(-1, 0, 1000.0)], "out")
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 132
+    gate(spark, place, [(1000, 2, 0, 7, "allow", [], False, 90_000.0)], [(1000, 1, 90_000.0)], "out")
+    got = {r.request_id: (r.complete, r.event_id) for r in spark.read.parquet(f"{place}/out").collect()}
+    assert got == {i: (False, event) for i in range(300)} | {-1: (True, None)}
+
+
+def test_sessions_share_rows_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scoring, "BUCKETS", 2, raising=False)
+    rows = [(i, "tool.before", f"s{i % 200}", float(1 + i // 200), "exec", 1.0) for i in range(400)]
+    stream = feed(spark, str(tmp_path), rows)
+    q = drain(scoring.rate_stream(sources.with_event_time(stream), RateSpec(("session_id",), 1600, name="x")), str(tmp_path))
+    got = {r.event_id: (r.key, r.x) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {i: (f"s{i % 200}", 1 + i // 200) for i in range(400)}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 10

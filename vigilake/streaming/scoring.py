@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,11 +28,64 @@ def evaluate_stream(events: DataFrame, evaluators: list[Evaluator], mode: str =
     return evaluate(events, [e for e in evaluators if e.type != "sql"], mode)
 
 
+BUCKETS = 1024
+
+
+def _bucket(key: str) -> Column:
+    """State is kept, and Python called, for a bucket of keys: a call and a frame for each key would cost far more than its rows."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _by_key(rows: pd.DataFrame, key: str, columns: list[str]) -> dict[str | None, list[tuple]]:
+    out: dict[str | None, list[tuple]] = {}
+    for k, *values in zip(rows[key], *[rows[c] for c in columns], strict=True):
+        out.setdefault(None if k is None or k != k else k, []).append(tuple(values))
+    return out
+
+
+def _remind(handle: StatefulProcessorHandle, at: int) -> None:
+    """A bucket has one timer: the earliest of those asked for."""
+    held = next(iter(handle.listTimers()), None)
+    if held is None or at < held:
+        if held is not None:
+            handle.deleteTimer(held)
+        handle.registerTimer(at)
+
+
+class _Slots:
+    """Values (JSON) of a bucket's keys, many to a row of state: a row for each would cost calls for each.
+
+    Keys are dealt into so many slots that a row stays small where few of them come in a batch.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, slots: int = 64):
+        self.rows, self.slots = handle.getMapState(name, "slot int", "held string"), slots
+
+    def read(self, keys) -> dict[int, dict]:
+        """Slot -> key -> value, of the slots of these keys."""
+        known = self.rows.exists()
+        found = {n: self.rows.getValue((n,)) if known else None for n in {self.slot(k) for k in keys}}
+        return {n: dict(json.loads(v[0])) if v else {} for n, v in found.items()}
+
+    def every(self) -> dict[int, dict]:
+        return {k[0]: dict(json.loads(v[0])) for k, v in self.rows.iterator()}
+
+    def write(self, held: dict[int, dict]) -> None:
+        for n, values in held.items():
+            if values:
+                self.rows.updateValue((n,), (json.dumps(list(values.items())),))
+            elif self.rows.containsKey((n,)):
+                self.rows.removeKey((n,))
+
+    def slot(self, key: str | None) -> int:
+        return zlib.crc32((key or "").encode("utf-8", "surrogatepass")) % self.slots
+
+
 class _Trailing(StatefulProcessor):
-    """A key's recent events by slices of time; each new event takes its rate over those less than the window older, itself last.
+    """Recent events of a bucket of keys by slices of time; each new event takes its key's rate over those less than the window older, itself last.
 
     Only slices that get events are written again; slices that no event to come can reach are removed when the watermark
-    passes, by a timer where the key is idle.
+    passes, by a timer where the bucket is idle.
     """
 
     def __init__(self, window_us: int, agg: str, slices: int = 16):
@@ -38,44 +93,54 @@ class _Trailing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slices = handle.getMapState("slices", "slice bigint", "us array<bigint>, ids array<bigint>, xs array<double>, vs array<string>")
+        self.slices = handle.getMapState("slices", "slice bigint", "us binary, ids binary, xs binary, ks string, vs string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
+        new = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
+        fresh = (new["us"].to_numpy("i8"), new["event_id"].to_numpy("i8"), new["x"].to_numpy("f8"), self._texts(new["k"]), self._texts(new["v"]))
         held = {k[0] for k in self.slices.keys()}  # noqa: SIM118
-        first = (int(new["us"].iloc[0]) - self.window_us) // self.width
-        fresh = {int(n): g for n, g in new.groupby(new["us"] // self.width)}
-        parts = []
-        for n in sorted({*(k for k in held if k >= first), *fresh}):
-            old = self._frame(self.slices.getValue((n,))) if n in held else None
-            if n in fresh:
-                both = fresh[n].assign(new=True) if old is None else pd.concat([old, fresh[n].assign(new=True)]).sort_values(["us", "event_id"], kind="stable")
-                self.slices.updateValue((n,), (both["us"].tolist(), both["event_id"].tolist(), [None if pd.isna(x) else float(x) for x in both["x"]], [None if v is None or v != v else v for v in both["v"]]))
-                old = both
-            parts.append(old.assign(slice=n))
-        known = pd.concat(parts).reset_index(drop=True)
-        at = np.flatnonzero(known["new"].to_numpy(bool))
-        us = known["us"].to_numpy("i8")
-        gone = np.searchsorted(us, us[at] - self.window_us, "right")
-        yield pd.DataFrame({"key": "\x1f".join(map(str, key)), "event_id": known["event_id"].to_numpy("i8")[at], "rate": self._rates(known, gone, at + 1)})
+        first = (int(fresh[0][0]) - self.window_us) // self.width
+        n = fresh[0] // self.width
+        starts = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+        mine = {int(n[s]): slice(s, e) for s, e in zip(starts, np.r_[starts[1:], len(n)], strict=True)}
+        olds = {m: self._read(self.slices.getValue((m,))) for m in held if m >= first}
+        for m, at in mine.items():
+            part = tuple(x[at] for x in fresh)
+            self.slices.updateValue((m,), self._written(tuple(map(np.concatenate, zip(olds[m], part, strict=True))) if m in olds else part))
+        us, ids, x, k, v = map(np.concatenate, zip(*olds.values(), fresh, strict=True))
+        codes = pd.factorize(k)[0]
+        is_new = np.arange(len(us)) >= len(us) - len(n)
+        order = np.lexsort((ids, us, codes))
+        us, ids, x, k, v, codes, is_new = (a[order] for a in (us, ids, x, k, v, codes, is_new))
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        gone = np.concatenate([s + np.searchsorted(us[s:e], us[s:e] - self.window_us, "right") for s, e in zip(starts, np.r_[starts[1:], len(us)], strict=True)])
+        at = np.flatnonzero(is_new)
+        yield pd.DataFrame({"key": k[at], "event_id": ids[at], "rate": self._rates(x, v, codes, us // self.width, gone[at], at + 1)})
         self._forget(timers.getCurrentWatermarkInMs() * 1000)
 
     @staticmethod
-    def _frame(value: tuple) -> pd.DataFrame:
-        us, ids, xs, vs = value
-        return pd.DataFrame({"us": np.array(us, "i8"), "event_id": np.array(ids, "i8"), "x": np.array([np.nan if x is None else x for x in xs], "f8"), "v": pd.Series(vs, dtype=object), "new": False})
+    def _texts(values: pd.Series) -> np.ndarray:
+        return np.array([None if v is None or v != v else v for v in values] + [None], dtype=object)[:-1]
+
+    @staticmethod
+    def _written(part: tuple) -> tuple:
+        return (*[a.tobytes() for a in part[:3]], *[json.dumps(a.tolist()) for a in part[3:]])
+
+    @classmethod
+    def _read(cls, value: tuple) -> tuple:
+        us, ids, xs, ks, vs = value
+        return (np.frombuffer(us, "i8"), np.frombuffer(ids, "i8"), np.frombuffer(xs, "f8"), cls._texts(json.loads(ks)), cls._texts(json.loads(vs)))
 
-    def _rates(self, known: pd.DataFrame, lows: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The aggregate of rows ``low`` to ``end`` (exclusive): ends of slices by row, whole slices by what they come to."""
-        x = known["x"].to_numpy("f8")
+    def _rates(self, x: np.ndarray, v: np.ndarray, codes: np.ndarray, slices: np.ndarray, lows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The aggregate of rows ``low`` to ``end`` (exclusive), all of one key: ends of slices by row, whole slices by what they come to."""
         counts = ~np.isnan(x)
         if self.agg == "distinct":
-            codes = pd.factorize(known["v"])[0]
+            codes = pd.factorize(v)[0]
             return np.array([len(np.unique(c[c >= 0])) for c in (codes[a:b] for a, b in zip(lows, ends, strict=True))], "f8")
         if self.agg == "count":
             upto = np.concatenate([[0], np.cumsum(counts)])
             return (upto[ends] - upto[lows]).astype("f8")
-        starts = np.flatnonzero(np.diff(known["slice"].to_numpy("i8"), prepend=-(1 << 62)))
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (slices[1:] != slices[:-1])])
         if self.agg in ("sum", "avg"):
             filled, reduce = np.where(counts, x, 0.0), np.add
         else:
@@ -127,8 +192,10 @@ def rate_stream(events: DataFrame, spec: RateSpec, watermark: str = "10 minutes"
     for k in spec.keys:
         unknown = unknown | F.col(k).isNull()
     timed = events.withWatermark("event_time", watermark)
-    rows = timed.filter(~unknown).select(*spec.keys, "event_id", ts_us().alias("us"), x.alias("x"), v.alias("v"), "event_time")
-    found = rows.groupBy(*spec.keys).transformWithStateInPandas(_Trailing(int(round(spec.window * 1_000_000)), spec.agg), "key string, event_id long, rate double", "Append", "EventTime")
+    k = F.to_json(F.array(*[F.col(c).cast("string") for c in spec.keys]))  # tells all keys apart
+    rows = timed.filter(~unknown).select(k.alias("k"), "event_id", ts_us().alias("us"), x.alias("x"), v.alias("v"), "event_time").select("*", _bucket("k"))
+    found = rows.groupBy("bucket").transformWithStateInPandas(_Trailing(int(round(spec.window * 1_000_000)), spec.agg), "key string, event_id long, rate double", "Append", "EventTime")
+    found = found.withColumn("key", F.array_join(F.from_json("key", "array<string>"), "\x1f"))
     whole = spec.agg in ("count", "distinct")
     nobody = timed.filter(unknown).select(F.lit(None).cast("string").alias("key"), "event_id", (F.lit(0.0) if whole else F.lit(None).cast("double")).alias("rate"))
     both = found.unionByName(nobody)
@@ -298,7 +365,7 @@ def decide_stream(events: DataFrame, evaluators: list[Evaluator], deliver: Deliv
 
 
 class _Gate(StatefulProcessor):
-    """A request's decisions, held until its own are all in, and where its first block among those is.
+    """Decisions of a bucket of requests, a request's held until its own are all in, and where its first block among those is.
 
     ``wait_ms`` after a request's last decision its state goes; what is still held then is given out as not complete.
     """
@@ -308,49 +375,60 @@ class _Gate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "own int, complete boolean, stop_step int, stop_pos int, timer bigint")
-        self.held = handle.getListState("held", "step int, pos int, event_id bigint, action string, reasons string, blocked boolean")
+        self.requests = _Slots(handle, "requests")  # own, complete, step and place of the stop, until, decisions held
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = pd.concat(list(rows))
-        own, complete, *stop, timer = self.seen.get() if self.seen.exists() else (None, False, None, None, None)
-        stop = None if stop[0] is None else tuple(stop)
-        told = new["own"].dropna()
-        own = int(told.max()) if len(told) else own
-        fresh = [self._row(r) for r in new[new["step"].notna()].itertuples()]
-        if not complete:
-            known = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-            fresh = list({(r[0], r[1]): r for r in fresh + known}.values())  # what came again, once
-            before = sorted(r for r in fresh if r[0] < 2)
-            complete = own is not None and len(before) >= own
+        groups = _by_key(pd.concat(list(rows)), "request", ["own", "at", "step", "pos", "event_id", "action", "reasons", "blocked"])
+        state, mark, out, untils = self.requests.read(groups), timers.getCurrentWatermarkInMs(), [], []
+        for request, mine in groups.items():
+            slot = state[self.requests.slot(request)]
+            own, complete, *stop, _, held = slot.get(request, (None, False, None, None, None, []))
+            stop = None if stop[0] is None else tuple(stop)
+            own = max((int(r[0]) for r in mine if not pd.isna(r[0])), default=own)
+            fresh = [self._row(*r[2:]) for r in mine if not pd.isna(r[2])]
+            if not complete:
+                fresh = list({(r[0], r[1]): r for r in fresh + [tuple(r) for r in held]}.values())  # what came again, once
+                before = sorted(r for r in fresh if r[0] < 2)
+                complete = own is not None and len(before) >= own
+                if complete:
+                    stop = next((r[:2] for r in before if r[5]), None)
+                held = [] if complete else fresh
+            untils.append(max(mark, *(int(r[1]) for r in mine)) + self.wait_ms)
+            slot[request] = (own, complete, *(stop or (None, None)), untils[-1], held)
             if complete:
-                stop = next((r[:2] for r in before if r[5]), None)
-                self.held.clear()
-            elif fresh:
-                self.held.put(fresh)
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = max(int(new["at"].max()), timers.getCurrentWatermarkInMs()) + self.wait_ms
-        self.handle.registerTimer(timer)
-        self.seen.update((own, complete, *(stop or (None, None)), timer))
-        yield self._frame(key, [r for r in fresh if stop is None or r[:2] <= stop] if complete else [], True)
+                out += self._given(request, [r for r in fresh if stop is None or r[:2] <= stop], True)
+        self.requests.write(state)
+        _remind(self.handle, min(untils))
+        yield self._frame(out)
 
     @staticmethod
-    def _row(r) -> tuple:
+    def _row(step, pos, event, action, reasons, blocked) -> tuple:
         known = lambda v: None if pd.isna(v) else v
-        event = known(r.event_id)
-        return (int(r.step), int(r.pos), None if event is None else int(event), known(r.action), known(r.reasons), bool(known(r.blocked)))
+        return (int(step), int(pos), None if pd.isna(event) else int(event), known(action), known(reasons), bool(known(blocked)))
 
     @staticmethod
-    def _frame(key, rows: list[tuple], complete: bool) -> pd.DataFrame:
-        made = pd.DataFrame([(key[0], *r, complete) for r in sorted(rows, key=lambda r: r[:2])], columns=["request_id", "step", "pos", "event_id", "action", "reasons", "blocked", "complete"])
-        return made.astype({"event_id": "Int64"})
+    def _given(request: str | None, rows: list[tuple], complete: bool) -> list[tuple]:
+        return [(request, *r, complete) for r in sorted(rows, key=lambda r: r[:2])]
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["request", "step", "pos", "event_id", "action", "reasons", "blocked", "complete"], dtype=object)
+        return made.astype({"step": "int32", "pos": "int32", "event_id": "Int64", "blocked": bool, "complete": bool})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        self.held.clear()
-        self.seen.clear()
-        yield self._frame(key, held, False)
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        mark, out, left, touched = timerValues.getCurrentWatermarkInMs(), [], [], {}
+        for n, slot in self.requests.every().items():
+            gone = [k for k, v in slot.items() if v[-2] <= mark]
+            for request in gone:
+                out += self._given(request, [tuple(r) for r in slot.pop(request)[-1]], False)
+            left += [v[-2] for v in slot.values()]
+            if gone:
+                touched[n] = slot
+        self.requests.write(touched)
+        if left:
+            _remind(self.handle, min(left))
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -368,15 +446,17 @@ def gate_stream(decisions: DataFrame, own: DataFrame, wait_s: float = 600, water
     """
     kind = decisions.schema["request_id"].dataType.simpleString()
     none = lambda t: F.lit(None).cast(t)
-    rows = decisions.select("request_id", F.col("step").cast("int"), F.col("pos").cast("int"), F.col("event_id").cast("long"), "action", F.array_join("reasons", "; ").alias("reasons"), "blocked", none("int").alias("own"), "event_time")
-    marks = own.select("request_id", none("int").alias("step"), none("int").alias("pos"), none("long").alias("event_id"), none("string").alias("action"), none("string").alias("reasons"), none("boolean").alias("blocked"), F.col("own").cast("int"), "event_time")
+    request = F.col("request_id").cast("string").alias("request")
+    rows = decisions.select(request, F.col("step").cast("int"), F.col("pos").cast("int"), F.col("event_id").cast("string"), "action", F.array_join("reasons", "; ").alias("reasons"), "blocked", none("int").alias("own"), "event_time")
+    marks = own.select(request, none("int").alias("step"), none("int").alias("pos"), none("string").alias("event_id"), none("string").alias("action"), none("string").alias("reasons"), none("boolean").alias("blocked"), F.col("own").cast("int"), "event_time")
     both = rows.unionByName(marks).withWatermark("event_time", watermark).withColumn("at", F.unix_millis("event_time"))
-    made = f"request_id {kind}, step int, pos int, event_id long, action string, reasons string, blocked boolean, complete boolean"
-    return both.groupBy("request_id").transformWithStateInPandas(_Gate(int(wait_s * 1000)), made, "Append", "EventTime")
+    made = "request string, step int, pos int, event_id long, action string, reasons string, blocked boolean, complete boolean"
+    passed = both.select("*", _bucket("request")).groupBy("bucket").transformWithStateInPandas(_Gate(int(wait_s * 1000)), made, "Append", "EventTime")
+    return passed.select(F.col("request").cast(kind).alias("request_id"), "step", "pos", "event_id", "action", "reasons", "blocked", "complete")
 
 
 class _Assemble(StatefulProcessor):
-    """The open call of a stream: its name, and the parts of its input so far, which are only added to.
+    """The open calls of a bucket of streams: their names, and the parts of their input so far, which are only added to.
 
     A stream's state goes when its message stops, and, of records with times, when the watermark is ``idle_ms`` past the last.
     """
@@ -386,44 +466,60 @@ class _Assemble(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "name string, block int, active boolean, timer bigint")
-        self.parts = handle.getListState("parts", "part string")
+        self.open = _Slots(handle, "open")  # name, block, whether it is open, number of parts held, until
+        self.parts = handle.getMapState("parts", "stream string, n int", "part string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = pd.concat(list(rows)).sort_values("seq")
-        name, block, active, timer = self.open.get() if self.open.exists() else ("", 0, False, None)
-        out, fresh, over = [], [], False
-        for kind, block_type, called, delta, part in zip(new["type"], new["block_type"], new["name"], new["delta_type"], new["part"], strict=True):
-            if not active and kind == "content_block_start" and block_type == "tool_use":
-                name, active = called or "", True
-            elif active and kind == "content_block_stop":
-                held = [r[0] for r in self.parts.get()] if self.parts.exists() else []
-                out.append((key[0], block, name, "".join(held + fresh)))
-                self.parts.clear()
-                fresh, block, active = [], block + 1, False
-            elif active and delta == "input_json_delta":
-                fresh.append(part or "")
-            over = kind == "message_stop"
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-            timer = None
-        if over:
-            self._forget()
-        else:
+        columns = ["type", "block_type", "name", "delta_type", "part", *(["at"] if self.idle_ms is not None else [])]
+        groups = _by_key(pd.concat(list(rows)).sort_values("seq", kind="stable"), "stream", columns)
+        state, out, untils = self.open.read(groups), [], []
+        for stream, mine in groups.items():
+            slot = state[self.open.slot(stream)]
+            name, block, active, n, _ = slot.pop(stream, ("", 0, False, 0, None))
+            fresh, over = [], False
+            for kind, block_type, called, delta, part, *_ in mine:
+                if not active and kind == "content_block_start" and block_type == "tool_use":
+                    name, active = called or "", True
+                elif active and kind == "content_block_stop":
+                    out.append((stream, block, name, "".join(self._taken(stream, n) + fresh)))
+                    n, fresh, block, active = 0, [], block + 1, False
+                elif active and delta == "input_json_delta":
+                    fresh.append(part or "")
+                over = kind == "message_stop"
+            if over:
+                self._taken(stream, n)
+                continue
             if fresh:
-                self.parts.appendList([(p,) for p in fresh])
-            if self.idle_ms is not None:
-                timer = int(new["at"].max()) + self.idle_ms
-                self.handle.registerTimer(timer)
-            self.open.update((name, block, active, timer))
-        yield pd.DataFrame(out, columns=["stream_id", "block", "tool_name", "tool_args"])
-
-    def _forget(self) -> None:
-        self.open.clear()
-        self.parts.clear()
+                self.parts.updateValue((stream, n), ("".join(fresh),))
+                n += 1
+            until = None if self.idle_ms is None else max(int(r[-1]) for r in mine) + self.idle_ms
+            untils.append(until)
+            slot[stream] = (name, block, active, n, until)
+        self.open.write(state)
+        if untils and self.idle_ms is not None:
+            _remind(self.handle, min(untils))
+        yield pd.DataFrame(out, columns=["stream", "block", "tool_name", "tool_args"])
+
+    def _taken(self, stream: str | None, n: int) -> list[str]:
+        """The parts held of a stream's call, which go."""
+        held = [self.parts.getValue((stream, i))[0] for i in range(n)]
+        for i in range(n):
+            self.parts.removeKey((stream, i))
+        return held
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self._forget()
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        mark, left, touched = timerValues.getCurrentWatermarkInMs(), [], {}
+        for n, slot in self.open.every().items():
+            gone = [k for k, v in slot.items() if v[-1] <= mark]
+            for stream in gone:
+                self._taken(stream, slot.pop(stream)[-2])
+            left += [v[-1] for v in slot.values()]
+            if gone:
+                touched[n] = slot
+        self.open.write(touched)
+        if left:
+            _remind(self.handle, min(left))
         return iter([])
 
     def close(self) -> None:
@@ -439,9 +535,10 @@ def assemble_tool_calls_stream(chunks: DataFrame, idle_s: float = 3600, watermar
     timed = "event_time" in chunks.columns
     d = (chunks.withWatermark("event_time", watermark) if timed else chunks).withColumn("d", F.from_json("data", "struct<type:string,content_block:struct<type:string,name:string>,delta:struct<type:string,partial_json:string>>"))
     at = [F.unix_millis("event_time").alias("at"), F.col("event_time")] if timed else []
-    rows = d.select("stream_id", "seq", "d.type", F.col("d.content_block.type").alias("block_type"), F.col("d.content_block.name").alias("name"), F.col("d.delta.type").alias("delta_type"), F.col("d.delta.partial_json").alias("part"), *at)
+    rows = d.select(F.col("stream_id").cast("string").alias("stream"), "seq", "d.type", F.col("d.content_block.type").alias("block_type"), F.col("d.content_block.name").alias("name"), F.col("d.delta.type").alias("delta_type"), F.col("d.delta.partial_json").alias("part"), *at)
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    calls = rows.groupBy("stream_id").transformWithStateInPandas(_Assemble(int(idle_s * 1000) if timed else None), f"stream_id {kind}, block int, tool_name string, tool_args string", "Append", "EventTime" if timed else "None")
+    calls = rows.select("*", _bucket("stream")).groupBy("bucket").transformWithStateInPandas(_Assemble(int(idle_s * 1000) if timed else None), "stream string, block int, tool_name string, tool_args string", "Append", "EventTime" if timed else "None")
+    calls = calls.select(F.col("stream").cast(kind).alias("stream_id"), "block", "tool_name", "tool_args")
     return calls.withColumn("tool_args", F.when(F.schema_of_variant(F.try_parse_json("tool_args")).startswith("OBJECT"), F.col("tool_args")).otherwise(F.lit("{}")))
 
 
