@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from vigilake.jobs import queries as jobs
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,30 @@ def test_hot_sessions_are_detected(spark, tmp_path):
         got = sorted((r.event_id, r.action, r.reasons, r.n_results) for r in df.collect())
         assert got == sorted(con.execute(f"SELECT event_id, action, reasons, n_results FROM ({jobs.oracle_sql()[name]})").fetchall())
         assert sum("tool call rate" in r[2] for r in got) > 20 and any(r[1] == "detect" and r[2].startswith("Unusually") for r in got)
+
+
+def test_tables_of_few_row_groups_are_dealt_out_by_rows(spark, tmp_path, monkeypatch):
+    """A task of events, and of rates, has so many rows, however large the table."""
+    from vigilake.jobs import agent_log
+    from vigilake.operators.rates import RateSpec, trailing
+
+    monkeypatch.setattr(agent_log, "TASK_ROWS", 500, raising=False)
+    spark.range(10_000).selectExpr("id AS event_id", "'a' AS session_id", "CAST(id AS double) AS timestamp").coalesce(1).write.parquet(f"{tmp_path}/t")
+    dealt = agent_log.spread(spark.read.parquet(f"{tmp_path}/t"))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1000
+    rated = trailing(dealt, RateSpec(("session_id",), 100), partitions=agent_log.tasks(dealt))
+    assert rated.rdd.getNumPartitions() == 20
+    assert {r.cnt for r in rated.filter("event_id >= 99").collect()} == {100}
+
+
+def test_verdicts_are_results_without_evidence(spark):
+    from vigilake import schema
+    from vigilake.operators.chain import evaluate
+    from vigilake.rules.pack import rule_pack
+
+    rows = [(i, "tool.before", "s", float(i), "exec", c) for i, c in enumerate(['{"command":"rm -rf /"}', '{"command":"ls"}', '{"command":"printenv"}'] * 25)]
+    df = schema.as_events(spark.createDataFrame(rows, "event_id long, stage string, session_id string, timestamp double, tool_name string, tool_args string"))
+    bare = lambda r: [x.asDict() | {"match": None, "redacted": None, "keyword": None} for x in r.results]
+    whole, lean = ({r.event_id: (r.action, r.reasons, r.n_results, bare(r)) for r in evaluate(df, list(rule_pack()), details=d).collect()} for d in (True, "verdicts"))
+    assert whole == lean and any(r[1] for r in whole.values())

@@ -29,7 +29,7 @@ def write_audit(decided: DataFrame, path: str) -> None:
 def alert_feed(decided: DataFrame, actions: tuple[str, ...] = DEFAULT_ALERTS) -> DataFrame:
     """Decisions worth an alert: of the given actions (none given: block and redact)."""
     rows = decided.filter(F.col("action").isin(*(actions or DEFAULT_ALERTS)))
-    return rows.select("timestamp", "stage", "session_id", "user_id", "channel", "tool_name", "action", "reasons", F.size("results").alias("evaluator_count"))
+    return rows.select("timestamp", "stage", "session_id", "user_id", "channel", "tool_name", "action", "reasons", F.col("n_results").alias("evaluator_count"))
 
 
 def detection_summary(decided: DataFrame, levels: bool = False) -> DataFrame:
