@@ -16,7 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; five-word shingle sets of Jaccard similarity 0.8 or more link."""
+    """One document of each group stays; SimHash fingerprints of at most 4 differing bits link, and five-word shingle sets of Jaccard similarity 0.8 or more."""
     return simhash_dedup.keep_one_of_each(docs, shingle=5, similarity=0.8)
 
 

@@ -75,3 +75,11 @@ def test_stages_keep_clashing_columns_and_odd_rows(spark, tmp_path):
 def test_nothing_to_learn_languages_from(spark):
     df = spark.createDataFrame([(1, EN, None, "s", 1), (2, None, None, "s", 0), (3, "12", None, "s", 2)], COLUMNS)
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()] == [1]
+
+
+def test_fingerprints_link_in_the_pipeline(spark):
+    """Two texts of one much repeated line and different ends: fingerprints agree, shingle sets don't; two that only sets link."""
+    line, end = "one two three four five " * 200, lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, line + end("a")), (2, line + end("b")), (3, end("c")), (4, end("d")), (5, end("c") + " more")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3, 4]

@@ -307,10 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _united(found: list[DataFrame], id_col: str, scratch: Scratch) -> DataFrame:
+    """(id, component_id) of what the groups of several searches over the same rows connect."""
+    named = [g.select(F.col(id_col).cast("long").alias("a"), F.col("component_id").alias("b")) for g in found]
+    links = scratch.save(named[0].unionByName(named[1]).filter("a <> b"))
+    parts = connected_components(links, scratch)
+    least = parts.groupBy("component").agg(F.min("node").alias("least"))
+    dropped = parts.join(least, "component").filter("node <> least").select(F.col("node").alias("a"), "least")
+    return named[0].select("a").filter("a is not null").distinct().join(dropped, "a", "left").select(F.col("a").alias(id_col), F.coalesce("least", "a").alias("component_id"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
-    With ``similarity``, near-duplicates are those of ``set_dedup``: shingle sets of at least that Jaccard similarity.
+    With ``similarity``, groups are what links of fingerprints and links of ``set_dedup`` (shingle sets of at least that
+    Jaccard similarity, of which fingerprints miss many) connect together.
 
     Of rows that repeat the kept id, the one with the smallest text stays.  Rows with a null id can't be named
     as copies and all stay.
@@ -320,7 +331,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         from vigilake.llm import set_dedup  # it needs this module's words
 
-        groups = set_dedup.near_duplicates(docs, id_col, text_col, shingle, similarity)
+        scratch = Scratch(docs.sparkSession, "united")
+        groups = _united([scratch.save(f) for f in (near_duplicates(docs, id_col, text_col, shingle), set_dedup.near_duplicates(docs, id_col, text_col, shingle, similarity))], id_col, scratch)
     name, nth = unused(docs, "kept"), unused(docs, "nth")
     kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
     named = docs.join(kept, F.col(id_col) == F.col(name), "left_semi")
