@@ -253,3 +253,8 @@ def test_sessions_share_rows_of_state(spark, tmp_path, monkeypatch):
     got = {r.event_id: (r.key, r.x) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {i: (f"s{i % 200}", 1 + i // 200) for i in range(400)}
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 10
+
+
+def test_exchanges_of_a_batch_grow_with_it(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TASK_ROWS", 10)
+    assert [scoring._partitions(spark.range(n)) for n in (0, 40, 101)] == [4, 4, 11]

@@ -281,6 +281,14 @@ def deliver_alerts_stream(decided: DataFrame, deliver: Deliver, ledger: str, che
     return _start(decided, lambda batch, number: once(alert_feed(batch, actions), number), checkpoint, trigger)
 
 
+TASK_ROWS = 100_000
+
+
+def _partitions(batch: DataFrame) -> int:
+    """For the exchanges of a batch, which nothing adapts to its size: the session's, more where tasks would have more than ``TASK_ROWS``."""
+    return max(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-batch.count() // TASK_ROWS))
+
+
 class _History:
     """Admitted events of earlier batches, in folders of a batch each, as far back as some rate looks."""
 
@@ -327,7 +335,7 @@ class _History:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def decide_batch(batch: DataFrame, number: int, evaluators: list[Evaluator], history: _History, deliver: Deliver, mode: str = "parity") -> int:
+def decide_batch(batch: DataFrame, number: int, evaluators: list[Evaluator], history: _History, deliver: Deliver, mode: str = "parity", details: bool | str = True) -> int:
     """Decisions of one batch of a stream by all evaluators; gives the number of late events."""
     spark = batch.sparkSession
     kinds = [batch.schema[c] for c in history.columns]
@@ -338,8 +346,8 @@ def decide_batch(batch: DataFrame, number: int, evaluators: list[Evaluator], his
     seen = Observation(f"batch {number}")
     rows = batch.withColumn("late", late).observe(seen, F.count_if("late").alias("late"), F.max("timestamp").alias("newest"))
     rows = rows.persist()
-    timely = evaluate(rows.filter("not late"), evaluators, mode, history=past)
-    alone = evaluate(rows.filter("late"), [e for e in evaluators if e.type != "sql"], mode).withColumn("entered", F.array().cast("array<string>"))
+    timely = evaluate(rows.filter("not late"), evaluators, mode, history=past, details=details, partitions=_partitions(rows))
+    alone = evaluate(rows.filter("late"), [e for e in evaluators if e.type != "sql"], mode, details=details).withColumn("entered", F.array().cast("array<string>"))
     decided = timely.unionByName(alone).persist()
     deliver(decided.drop("entered"), number)
     decided.filter(F.size("entered") > 0).select(*history.columns, "entered").write.mode("overwrite").parquet(f"{history.path}/events/batch={number}")
@@ -351,17 +359,17 @@ def decide_batch(batch: DataFrame, number: int, evaluators: list[Evaluator], his
     return counted["late"]
 
 
-def decide_stream(events: DataFrame, evaluators: list[Evaluator], deliver: Deliver, history: str, checkpoint: str, lateness_s: float = 600, mode: str = "parity", trigger: dict | None = None):
+def decide_stream(events: DataFrame, evaluators: list[Evaluator], deliver: Deliver, history: str, checkpoint: str, lateness_s: float = 600, mode: str = "parity", trigger: dict | None = None, details: bool | str = True):
     """Decisions of a stream by all evaluators, rate rules of any aggregate over bounded windows included.
 
     ``deliver`` (decisions, batch number) gets each batch; a batch that is run again meets the same history and has the same
     number.  An event older than the newest one of earlier batches by more than ``lateness_s`` is ``late``: it gets the verdict
     of the rules without history and enters none.  Late events are counted by ``observe``; the counts stand, a row a
     batch, under ``history``/marks.  History is a narrow table of admitted events, a folder a batch, and reaches back as far
-    as lateness and the longest window; decisions once given aren't revised.
+    as lateness and the longest window; decisions once given aren't revised.  ``details``: as of :func:`evaluate`.
     """
     kept = _History(history, evaluators, lateness_s)
-    return _start(events, lambda batch, number: decide_batch(batch, number, evaluators, kept, deliver, mode) and None, checkpoint, trigger)
+    return _start(events, lambda batch, number: decide_batch(batch, number, evaluators, kept, deliver, mode, details) and None, checkpoint, trigger)
 
 
 class _Gate(StatefulProcessor):
@@ -560,9 +568,14 @@ def rewrite_stream(records: DataFrame, evaluators: list[Evaluator], deliver: Del
         if before is not None:
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{held}/batch={before}"))
         rows = rows.persist()
-        through, waiting = rewrite_records(rows, evaluators)
-        deliver(through, number)
-        waiting.write.mode("overwrite").parquet(f"{held}/batch={number}")
+        given = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", _partitions(rows))
+        try:
+            through, waiting = rewrite_records(rows, evaluators)
+            deliver(through, number)
+            waiting.write.mode("overwrite").parquet(f"{held}/batch={number}")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", given)
         rows.unpersist()
         for n in [n for n in found if before is not None and n < before]:
             files.delete(found[n], True)
