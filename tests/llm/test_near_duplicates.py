@@ -123,6 +123,22 @@ def test_long_runs_meet_at_midpoints(spark):
     assert {x["b"] for x in out if x["hot"]} == {i for i, k in enumerate(key) if k in long}
 
 
+def test_midpoints_are_not_broadcast(spark):
+    """Midpoints are 2,081 times the rows that Spark expects: none go through the driver, and no task gets all of them."""
+    r = random.Random(6)
+    center = r.getrandbits(64)
+    fps = list({r.getrandbits(64) for _ in range(1800)} | {center ^ 1 << b for b in range(64)})
+    hot = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, rep long").distinct()
+    links = simhash_dedup._midpoint_links(hot, 4)
+    found = [(x.a, x.b) for x in links.collect()]
+    near = [i for i, x in enumerate(fps) if (x ^ center).bit_count() == 1]
+    got = groups(range(len(fps)), found)
+    assert len(near) == 64 and {got[i] for i in near} == {min(near)} and all(got[i] == i for i in got if i not in near)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert all(len(fps) * 2081 / int(n) <= 2_000_000 for n in re.findall(r"hashpartitioning\((?:fp|mid)#\d+L?, (\d+)\), REPARTITION", plan)) and "REPARTITION_BY_NUM" in plan
+
+
 @pytest.mark.parametrize("m", [2, 3, 5])
 def test_masks_miss_nothing(m):
     groups_ = simhash_dedup.correlated_partitions(np.eye(64) * 10, 20, m)

@@ -261,16 +261,22 @@ def run_links(radius: int, run_limit: int, small: int = 48):
     return go
 
 
-def _midpoint_links(hot: DataFrame, radius: int) -> DataFrame:
+def _midpoint_links(hot: DataFrame, radius: int, task_rows: int = 2_000_000) -> DataFrame:
     """(a, b) links of reps that connect exactly what links of at most ``radius`` bits connect.
 
     Words at distance d <= radius share a word within radius / 2 of both, and only such do (radius is even).
+
+    Spark's estimate of a table's size knows nothing of an explode and takes the midpoints, some 2,000 times as many
+    rows, for as small as ``hot``: a join would broadcast them through the driver, and an exchange be merged into one
+    task.  So there is no join, and as many tasks as make about ``task_rows`` midpoints each.
     """
     flips = [0] + [sum(1 << b for b in c) for k in range(1, radius // 2 + 1) for c in combinations(range(64), k)]
     flips = [x - (1 << 64) if x >> 63 else x for x in flips]
-    at = hot.select("fp", "rep", F.explode(longs(flips)).alias("x")).select("rep", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"))
-    least = at.groupBy("mid").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c").select("mid", "b")
-    return at.join(least, "mid").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    tasks = -(-hot.count() * len(flips) // task_rows) or 1
+    at = hot.select("fp", "rep").repartition(tasks, "fp").select("rep", "fp", F.explode(longs(flips)).alias("x"))
+    at = at.select("rep", F.col("fp").bitwiseXOR(F.col("x")).alias("mid")).repartition(tasks, "mid")
+    least = F.min("rep").over(Window.partitionBy("mid"))
+    return at.select(F.col("rep").alias("a"), least.alias("b")).filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, run_limit: int = 4096) -> DataFrame:
@@ -294,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.save(keyed.mapInArrow(run_links(radius, run_limit), "a long, b long, hot boolean"))
     links = found.filter("not hot").select("a", "b")
     if found.filter("hot").limit(1).count():
-        hot = found.filter("hot").select(F.col("a").alias("fp"), F.col("b").alias("rep")).distinct()
+        hot = scratch.save(found.filter("hot").select(F.col("a").alias("fp"), F.col("b").alias("rep")).distinct())
         links = links.unionByName(_midpoint_links(hot, radius))
     # rows of one id with different texts are one document: the id itself joins their fingerprints
     many = rows.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y and id is not null").select("id")
